@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxtally.plans import region_queries  # noqa: F401
+from voxtally.plans import agreement_queries, region_queries  # noqa: F401
 from voxtally.plans.registry import RUNS, SQL, Run
 
 

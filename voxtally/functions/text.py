@@ -67,7 +67,8 @@ def version_from_banner(banner: Column) -> Column:
 
 
 def fixed(value: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", value)
+    """Fixed-point text; ties go to the even digit, as printing a double does."""
+    return F.format_string(f"%.{decimals}f", F.bround(value, decimals))
 
 
 def robust_cell(median: Column, q1: Column, q3: Column, n_used: Column, metric: Column) -> Column:

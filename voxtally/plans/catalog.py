@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from voxtally.plans import agreement_queries, region_queries  # noqa: F401
+from voxtally.plans import (  # noqa: F401
+    agreement_queries,
+    region_queries,
+    robust_queries,
+    rollup_queries,
+)
 from voxtally.plans.registry import RUNS, SQL, Run
 
 

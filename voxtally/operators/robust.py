@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxtally.constants import COMPARTMENTS, METRICS
 from voxtally.functions.text import robust_cell
 from voxtally.operators.order_statistics import exact_percentiles
+from voxtally.session import cut_lineage
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -26,6 +27,7 @@ def cell_summary(
     Without ``pairs`` the summary pools everything in ``long`` as one pair.
     """
     keys = ["compartment", "metric"] if pairs is None else ["pair_id", "compartment", "metric"]
+    long = cut_lineage(long.select(*keys, "value", "status"))
     grid = [(c, m) for c in compartments for m in metrics]
     if pairs is not None:
         grid = [(p, *cell) for p in pairs for cell in grid]
@@ -71,6 +73,7 @@ def metric_spread(wide: DataFrame, metrics: Sequence[str]) -> DataFrame:
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
         for m in metrics
     ]))).where(F.col("value").isNotNull())
+    long = cut_lineage(long)
     edges = long.groupBy("metric").agg(F.min("value").alias("min"), F.max("value").alias("max"))
     return exact_percentiles(long, ["metric"], "value", QUARTILES).join(edges, "metric")
 

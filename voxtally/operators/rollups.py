@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxtally.constants import COMPARTMENTS, FUNCTIONAL_GROUPS, LOBES, TERTILES
 from voxtally.functions.text import hemisphere, lobe, stem
 from voxtally.operators.order_statistics import exact_percentiles
+from voxtally.session import cut_lineage
 
 LOBE_IDS = tuple(f"lobe:{name}" for name in LOBES)
 GROUP_LABELS = {
@@ -69,23 +70,20 @@ def _rollup(table: DataFrame, members: Mapping[str, Column], key: str, size: str
     overlapping groups need no fan-out; the compartment total is taken over the regions.
     """
     names = list(members)
-    sums = [F.sum(c).alias(f"_all_{c}") for c in COMPARTMENTS]
-    for i, name in enumerate(names):
-        inside = members[name]
-        sums.append(F.sum(F.when(inside, F.col("parcel_voxels")).otherwise(0)).alias(f"_size_{i}"))
-        sums += [
-            F.sum(F.when(inside, F.col(c)).otherwise(0.0)).alias(f"_{c}_{i}") for c in COMPARTMENTS
-        ]
-    wide = _per_label(table).groupBy("subject_id").agg(*sums)
+    marked = _per_label(table).withColumn("_lobe", lobe(F.col("name"))).select(
+        "subject_id", "parcel_voxels", *COMPARTMENTS,
+        *[members[name].alias(f"_in_{i}") for i, name in enumerate(names)],
+    )
+    sums = [F.expr(f"sum({c}) AS _all_{c}") for c in COMPARTMENTS]
+    for i in range(len(names)):
+        sums.append(F.expr(f"sum(if(_in_{i}, parcel_voxels, 0)) AS _size_{i}"))
+        sums += [F.expr(f"sum(if(_in_{i}, {c}, 0.0D)) AS _{c}_{i}") for c in COMPARTMENTS]
+    wide = marked.groupBy("subject_id").agg(*sums)
     wide = wide.join(inferred_voxel_volume(table), "subject_id")
-    long = wide.select("subject_id", "voxel_volume_mm3", F.inline(F.array(*[
-        F.struct(
-            F.lit(name).alias(key), F.lit(c).alias("compartment"),
-            F.col(f"_size_{i}").alias("_size"), F.col(f"_{c}_{i}").alias("overlap_volume_mm3"),
-            F.col(f"_all_{c}").alias("_total"),
-        )
-        for i, name in enumerate(names) for c in COMPARTMENTS
-    ])))
+    long = wide.selectExpr("subject_id", "voxel_volume_mm3", "inline(array({}))".format(", ".join(
+        f"struct('{name}' AS {key}, '{c}' AS compartment, _size_{i} AS _size, "
+        f"_{c}_{i} AS overlap_volume_mm3, _all_{c} AS _total)"
+        for i, name in enumerate(names) for c in COMPARTMENTS)))
     volume = F.col("_size") * F.col("voxel_volume_mm3")
     overlap = 100.0 * F.col("overlap_volume_mm3")
     return long.select(
@@ -97,17 +95,15 @@ def _rollup(table: DataFrame, members: Mapping[str, Column], key: str, size: str
 
 def lobe_cells(table: DataFrame) -> DataFrame:
     """Every (subject, lobe, compartment) with its volume and both shares."""
-    region_lobe = lobe(F.col("name"))
-    members = {name: region_lobe == name for name in LOBES}
+    members = {name: F.col("_lobe") == name for name in LOBES}
     return _rollup(table, members, "lobe", "lobe_volume_mm3").withColumnRenamed(
         "share_of_group_pct", "share_of_lobe_pct")
 
 
 def group_cells(table: DataFrame, tertiles: DataFrame | None = None) -> DataFrame:
     """Every (subject, group, compartment); functional groups overlap each other."""
-    column = F.col("name")
-    members: dict[str, Column] = {f"lobe:{name}": lobe(column) == name for name in LOBES}
-    members.update({g: functional_member(column, g) for g, *_ in FUNCTIONAL_GROUPS})
+    members: dict[str, Column] = {f"lobe:{name}": F.col("_lobe") == name for name in LOBES}
+    members.update({g: functional_member(F.col("name"), g) for g, *_ in FUNCTIONAL_GROUPS})
     cells = _rollup(table, members, "group_id", "group_volume_mm3")
     labels = F.create_map(*[F.lit(x) for g, (text, _) in GROUP_LABELS.items() for x in (g, text)])
     kinds = F.create_map(*[F.lit(x) for g, (_, kind) in GROUP_LABELS.items() for x in (g, kind)])
@@ -132,22 +128,25 @@ def cohort_cells(
 ) -> DataFrame:
     """Prevalence, volume and share quartiles per (context, group, compartment).
 
-    ``cohort`` lists every subject (with ``OS_tertile`` when contexts other than ``all`` are
-    wanted): prevalence divides by its size, subjects without a table included.
+    ``cells`` is dense: a subject with a table has a row for every cell. ``cohort`` lists
+    every subject (with ``OS_tertile`` when contexts other than ``all`` are wanted):
+    prevalence divides by its size, subjects without a table included.
     """
     tertile = F.col("OS_tertile") if len(contexts) > 1 else F.lit(None).cast("string")
     place = F.array_intersect(
         F.array_compact(F.array(F.lit("all"), tertile)), F.array(*[F.lit(c) for c in contexts]))
-    rows = cells.withColumn("context", F.explode(place))
+    needed = [key, "compartment", "overlap_volume_mm3", share, "share_of_compartment_pct"]
+    if len(contexts) > 1:
+        needed.append("OS_tertile")
+    rows = cut_lineage(cells.select(*needed).withColumn("context", F.explode(place)))
     sizes = cohort.withColumn("context", F.explode(place)).groupBy("context").agg(
         F.count(F.lit(1)).alias("n_total"))
-    with_table = rows.groupBy("context", "subject_id").agg(F.lit(1).alias("_")) \
-        .groupBy("context").agg(F.count("_").alias("n_with_table"))
 
     keys = ["context", key, "compartment"]
     present = F.col("overlap_volume_mm3") > 0
     counts = rows.groupBy(*keys).agg(
         F.count_if(present).alias("n_with_overlap"),
+        F.count(F.lit(1)).alias("n_with_table"),
         F.sum("overlap_volume_mm3").alias("total_overlap_volume_mm3_sum"),
     )
     # Both shares go through one exact pass, told apart by `measure`.
@@ -166,7 +165,7 @@ def cohort_cells(
         [(x, g, c) for x in contexts for g in groups for c in COMPARTMENTS],
         f"context STRING, {key} STRING, compartment STRING")
     out = (
-        domain.join(sizes, "context", "left").join(with_table, "context", "left")
+        domain.join(sizes, "context", "left")
         .join(counts, keys, "left").join(shares, keys, "left")
         .na.fill(0, ["n_total", "n_with_table", "n_with_overlap"])
         .na.fill(0.0, ["total_overlap_volume_mm3_sum"])

@@ -19,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a few parent rows over all cores before each is expanded into many voxels."""
+    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def with_ctes(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + select.strip()
 
@@ -153,7 +158,7 @@ def volumes(spark: SparkSession, folder: str) -> DataFrame:
     Some maps miss the innermost class, and some carry one stray voxel far away.
     """
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    base = table(spark, folder, "supplier").select(
+    base = spread(table(spark, folder, "supplier")).select(
         k.cast("int").alias("k"), n.alias("n"),
         (8 + k % 7).cast("int").alias("cx"), (9 + n % 6).cast("int").alias("cy"),
         (10 + F.floor(k / 7) % 5).cast("int").alias("cz"),
@@ -258,7 +263,7 @@ def intensity(spark: SparkSession, folder: str) -> DataFrame:
     Some channels are constant inside the ball, some are zero everywhere.
     """
     k = F.col("s_suppkey")
-    base = table(spark, folder, "supplier").select(
+    base = spread(table(spark, folder, "supplier")).select(
         k.cast("int").alias("k"), _subject(k).alias("subject_id"),
         F.posexplode(F.array(*[F.lit(c) for c in CHANNELS])).alias("c", "channel"),
     )

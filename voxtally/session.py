@@ -41,6 +41,11 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a reduced table to the shared folder once and go on from there.
+
+    What follows survives the loss of executors, reads it as often as it needs, and knows
+    its size when it picks joins.
+    """
+    path = run_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

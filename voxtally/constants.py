@@ -213,3 +213,34 @@ ALLOCATION = {
     ("F", "long"): 6,
 }
 TERTILES = ("short", "mid", "long")
+
+# Columns and accepted values of the eligibility filter.
+ELIGIBLE = {
+    "Final pathologic diagnosis (WHO 2021)": "Glioblastoma, IDH-wildtype",
+    "WHO CNS Grade": "4",
+    "IDH": "wildtype",
+    "Biopsy prior to imaging": "No",
+}
+SPLIT_COLUMN, EXCLUDED_SPLIT = "BraTS21 Segmentation Cohort", "Training"
+
+# Clinical header columns, all read as text.
+METADATA_COLUMNS = (
+    "ID",
+    "Sex",
+    "Age at MRI",
+    "WHO CNS Grade",
+    "Final pathologic diagnosis (WHO 2021)",
+    "MGMT status",
+    "IDH",
+    "1-dead 0-alive",
+    "OS",
+    "EOR",
+    "Biopsy prior to imaging",
+    "BraTS21 Segmentation Cohort",
+)
+
+# Response codes, compared without case.
+PRE_OP, POST_OP, PROGRESSION = "pre-op", "post-op", "pd"
+
+# Imaging channels of a follow-up study.
+FOLLOW_UP_CHANNELS = ("T1", "CT1", "T2", "FLAIR")

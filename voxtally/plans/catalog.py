@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from voxtally.plans import (  # noqa: F401
     agreement_queries,
+    cohort_queries,
+    longitudinal_queries,
     region_queries,
     robust_queries,
     rollup_queries,

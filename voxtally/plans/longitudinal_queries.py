@@ -62,7 +62,7 @@ long AS (SELECT patient_id, timepoint, days_since_baseline, rano, compartment,
   FROM tps, (VALUES ('WT'), ('TC'), ('ET'), ('ED'), ('NCR')) AS c(compartment))""", select="""
 SELECT patient_id, compartment, timepoint, days_since_baseline, rano, v AS value_ml FROM (
   SELECT *, row_number() OVER (PARTITION BY patient_id, compartment
-    ORDER BY v DESC, days_since_baseline, timepoint DESC) AS rn FROM long) WHERE rn = 1""")
+    ORDER BY v DESC, days_since_baseline, timepoint DESC) AS rn FROM long) WHERE rn = 1"""))
 def a27(spark, folder):
     return ops.peaks(b.timepoints(spark, folder))
 
@@ -76,7 +76,7 @@ post AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id
 
 @query("a28_surgery_change", with_ctes(TIMEPOINTS_SQL, SURGERY_SQL, select="""
 SELECT p.patient_id, pre.et - post.et AS "postop_ET_drop_ml", post.wt - pre.wt AS "postop_WT_change_ml"
-FROM (SELECT DISTINCT patient_id FROM tps) p LEFT JOIN pre USING (patient_id) LEFT JOIN post USING (patient_id)""")
+FROM (SELECT DISTINCT patient_id FROM tps) p LEFT JOIN pre USING (patient_id) LEFT JOIN post USING (patient_id)"""))
 def a28(spark, folder):
     return ops.surgery_change(b.timepoints(spark, folder))
 
@@ -102,7 +102,7 @@ def w8(spark, folder):
 
 @query("w9_recurrence_rise", with_ctes(TIMEPOINTS_SQL, SURGERY_SQL, RECURRENCE_SQL, select="""
 SELECT l.patient_id, l.et AS "recurrence_ET_at_last_PD_ml", l.timepoint AS "recurrence_ET_last_PD_timepoint",
-       l.et - t.et AS "recurrence_ET_rise_ml" FROM last_pd l LEFT JOIN trough t USING (patient_id)""")
+       l.et - t.et AS "recurrence_ET_rise_ml" FROM last_pd l LEFT JOIN trough t USING (patient_id)"""))
 def w9(spark, folder):
     return ops.recurrence(b.timepoints(spark, folder)).select(
         "patient_id", "recurrence_ET_at_last_PD_ml", "recurrence_ET_last_PD_timepoint",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from voxtally.plans import (  # noqa: F401
     agreement_queries,
     cohort_queries,
+    geometry_queries,
     longitudinal_queries,
     region_queries,
     robust_queries,

@@ -19,7 +19,7 @@ def main() -> int:
 
     folder, *wanted = sys.argv[1:]
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(folder)
     runs, sql = entry.queries(), entry.oracle_sql()
     names = [n for n in runs if not wanted or any(n.startswith(w) for w in wanted)]
@@ -32,7 +32,7 @@ def main() -> int:
             else:
                 problem = None if runs[name](spark, folder).count() else "empty"
         except Exception as exc:  # noqa: BLE001
-            problem = f"{type(exc).__name__}: {str(exc)[:1500]}"
+            problem = f"{type(exc).__name__}: {str(exc)[:700]}"
         failed += problem is not None
         mark = "ok  " if problem is None else "FAIL"
         print(f"{mark} {time.time() - start:6.2f}s {name} {'' if name in sql else '(rows only)'} {problem or ''}",

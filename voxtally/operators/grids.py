@@ -13,6 +13,10 @@ from voxtally.operators.order_statistics import exact_percentiles
 from voxtally.session import cut_lineage
 
 
+# The states a run record may be in.
+STATUSES = ("ok", "skipped", "missing_input", "error")
+
+
 def _rounded(sizes: str, digits: int) -> Column:
     return F.transform(sizes, lambda v: F.bround(v, digits))
 
@@ -58,22 +62,24 @@ def readiness(
     return headers.groupBy(*keys).agg(F.coalesce(ready, F.lit(False)).alias("ready"))
 
 
-def run_status(records: DataFrame, expected: Sequence[str] = ("ok", "skipped", "missing_input", "error")) -> DataFrame:
-    """Runs per status and source, with the exit code the policy asks for.
+def run_status(records: DataFrame, *, require_regions: bool = False) -> DataFrame:
+    """Runs per status and source, and the exit code they add up to.
 
-    ``records`` has source, status and has_metrics. 0: all fine; 1: some input was missing
-    or a run left no metrics; 3: some run failed.
+    ``records`` has source, status, reason and has_metrics. Errors fail a source. A missing
+    region map fails it only when region maps are required; other missing input never does.
     """
+    no_regions = (F.col("status") == "missing_input") & F.coalesce(
+        F.col("reason").contains("parcellation"), F.lit(False))
     counts = records.groupBy("source").agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in expected],
+        *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
         F.count_if((F.col("status") == "ok") & ~F.col("has_metrics")).alias("ok_without_metrics"),
+        F.count_if(no_regions).alias("missing_regions"),
         F.count(F.lit(1)).alias("n"),
     )
-    return counts.withColumn(
-        "exit_code",
-        F.when(F.col("error") > 0, 3)
-        .when((F.col("missing_input") > 0) | (F.col("ok_without_metrics") > 0), 1)
-        .otherwise(0))
+    failed = F.col("error") > 0
+    if require_regions:
+        failed = failed | (F.col("missing_regions") > 0)
+    return counts.withColumn("exit_code", F.when(failed, 1).otherwise(0))
 
 
 # ------------------------------------------------------------------ timing

@@ -253,12 +253,12 @@ grids AS (
 
 # --------------------------------------------------------------------------- intensities
 
-SIDE = 12
+SIDE = 8
 CHANNELS = ("T1", "T1c", "T2", "FLAIR")
 
 
 def intensity(spark: SparkSession, folder: str) -> DataFrame:
-    """Dense four-channel volumes of 12^3 voxels per supplier, zero outside a ball.
+    """Dense four-channel volumes of 8^3 voxels per supplier, zero outside a ball.
 
     Some channels are constant inside the ball, some are zero everywhere.
     """
@@ -270,13 +270,13 @@ def intensity(spark: SparkSession, folder: str) -> DataFrame:
     for axis in "xyz":
         base = base.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))))
     x, y, z, c, k = (F.col(name) for name in "xyzck")
-    inside = (x - 6) * (x - 6) + (y - 6) * (y - 6) + (z - 5) * (z - 5) <= 25
+    inside = (x - 4) * (x - 4) + (y - 4) * (y - 4) + (z - 3) * (z - 3) <= 9
     value = (
         F.when(~inside | ((k % 11 == 0) & (c == 2)), 0)
         .when((k % 10 == 0) & (c == 3), 5)
         .otherwise((x * 7 + y * 13 + z * 29 + k * 31 + c * 17) % 97)
     )
-    mask = (x - 5) * (x - 5) + (y - 6) * (y - 6) + (z - 5) * (z - 5) <= 9
+    mask = (x - 3) * (x - 3) + (y - 4) * (y - 4) + (z - 3) * (z - 3) <= 4
     return base.select(
         "subject_id", "channel", "x", "y", "z", value.cast("double").alias("v"),
         mask.alias("in_mask"),
@@ -286,10 +286,10 @@ def intensity(spark: SparkSession, folder: str) -> DataFrame:
 INTENSITY_SQL = f"""
 intensity AS (
   SELECT {sql_zero_fill("CAST(k AS VARCHAR)")} AS subject_id, channel, x, y, z,
-    CAST(CASE WHEN (x-6)*(x-6) + (y-6)*(y-6) + (z-5)*(z-5) > 25 OR (k % 11 = 0 AND c = 2) THEN 0
+    CAST(CASE WHEN (x-4)*(x-4) + (y-4)*(y-4) + (z-3)*(z-3) > 9 OR (k % 11 = 0 AND c = 2) THEN 0
               WHEN k % 10 = 0 AND c = 3 THEN 5
               ELSE (x*7 + y*13 + z*29 + k*31 + c*17) % 97 END AS DOUBLE) AS v,
-    (x-5)*(x-5) + (y-6)*(y-6) + (z-5)*(z-5) <= 9 AS in_mask
+    (x-3)*(x-3) + (y-4)*(y-4) + (z-3)*(z-3) <= 4 AS in_mask
   FROM (SELECT CAST(s_suppkey AS INTEGER) AS k FROM supplier),
        (VALUES ('T1', 0), ('T1c', 1), ('T2', 2), ('FLAIR', 3)) AS ch(channel, c),
        (SELECT CAST(range AS INTEGER) AS x FROM range({SIDE})),

@@ -6,6 +6,8 @@ from voxtally.plans import (  # noqa: F401
     agreement_queries,
     cohort_queries,
     geometry_queries,
+    intensity_queries,
+    inventory_queries,
     longitudinal_queries,
     region_queries,
     robust_queries,

@@ -12,6 +12,7 @@ from voxtally.plans import (  # noqa: F401
     region_queries,
     robust_queries,
     rollup_queries,
+    source_queries,
 )
 from voxtally.plans.registry import RUNS, SQL, Run
 

@@ -138,3 +138,10 @@ def volume_inventory(files: DataFrame, headers: DataFrame) -> DataFrame:
     """Header fields next to the file that carries them; ``?`` where orientation is unknown."""
     joined = files.join(headers, "path", "left")
     return joined.withColumn("orientation", F.coalesce("orientation", F.lit("?")))
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """The same rows; an empty source is an error. Looks for one row, no more."""
+    if df.isEmpty():
+        raise ValueError(f"{what} has no usable row")
+    return df

@@ -68,7 +68,9 @@ def version_from_banner(banner: Column) -> Column:
 
 def fixed(value: Column, decimals: int) -> Column:
     """Fixed-point text; ties go to the even digit, as printing a double does."""
-    return F.format_string(f"%.{decimals}f", F.bround(value, decimals))
+    text = F.format_string(f"%.{decimals}f", F.bround(value, decimals))
+    big = F.lit(float("inf"))
+    return F.when(value == big, F.lit("inf")).when(value == -big, F.lit("-inf")).otherwise(text)
 
 
 def robust_cell(median: Column, q1: Column, q3: Column, n_used: Column, metric: Column) -> Column:

@@ -292,7 +292,7 @@ def best_matches(crosswalk: DataFrame) -> DataFrame:
     place = F.create_map(*[x for i, c in enumerate(CLASS_CODES) for x in (F.lit(c), F.lit(-i))])
     rank = F.struct(
         F.coalesce("dice", F.lit(-1.0)), F.col("intersection_voxels"),
-        place.getItem(F.col("target_class")),
+        place[F.col("target_class")],
     )
     row = F.struct("target_class", "dice", "intersection_voxels", "raw_label_voxels", "target_voxels")
     best = crosswalk.groupBy("subject_id", "raw_label", "comparator").agg(

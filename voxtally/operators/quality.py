@@ -36,7 +36,7 @@ def flag_outliers(
         )
         reasons.append(
             F.when(hd.isNull(), F.lit(f"{c}_hd95_nan"))
-            .when(hd == float("inf"), F.lit(f"{c}_hd95_inf"))
+            .when(F.abs(hd) == float("inf"), F.lit(f"{c}_hd95_inf"))
             .when(hd > ceiling_mm,
                   F.concat(F.lit(f"{c}_hd95_gt_{ceiling_mm:.0f}mm("), fixed(hd, 1), F.lit(")")))
         )

@@ -108,8 +108,8 @@ def group_cells(table: DataFrame, tertiles: DataFrame | None = None) -> DataFram
     labels = F.create_map(*[F.lit(x) for g, (text, _) in GROUP_LABELS.items() for x in (g, text)])
     kinds = F.create_map(*[F.lit(x) for g, (_, kind) in GROUP_LABELS.items() for x in (g, kind)])
     cells = cells.withColumns({
-        "group_label": labels.getItem(F.col("group_id")),
-        "group_type": kinds.getItem(F.col("group_id")),
+        "group_label": labels[F.col("group_id")],
+        "group_type": kinds[F.col("group_id")],
     })
     if tertiles is None:
         return cells

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtally.constants import CORTICAL_STEMS, SUBCORTICAL_NAMES, UNMAPPED_NAMES
+from voxtally.functions.columns import computed_once
 from voxtally.functions.text import zero_fill
 
 REGIONS = 180
@@ -166,38 +167,36 @@ def volumes(spark: SparkSession, folder: str) -> DataFrame:
         (k % 3).cast("int").alias("dx"), (n % 2).cast("int").alias("dy"),
         ((k + n) % 2).cast("int").alias("dz"),
     )
-    for axis in "xyz":
+    # Squared distances grow axis by axis, so whole columns of the grid drop out early.
+    base = base.withColumns({"dp": F.lit(0), "dr": F.lit(0)})
+    inside = (F.col("dp") <= F.col("r") * F.col("r")) | (F.col("dr") <= F.col("q") * F.col("q"))
+    stray = F.col("k") % 4 == 0
+    for axis, weight in (("x", 1), ("y", 1), ("z", 2)):
         span = F.sequence(F.col(f"c{axis}") - 7, F.col(f"c{axis}") + 9)
-        base = base.withColumn(axis, F.explode(F.concat(F.array(F.lit(0)), span)))
-
-    def square(axis: str, shift: str | None = None) -> Column:
-        d = F.col(axis) - F.col(f"c{axis}") - (F.col(shift) if shift else F.lit(0))
-        return d * d
-
-    d_pred = square("x") + square("y") + 2 * square("z")
-    d_ref = square("x", "dx") + square("y", "dy") + 2 * square("z", "dz")
-    r, q = F.col("r"), F.col("q")
-    stray = (F.col("k") % 4 == 0) & (F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0)
+        here = F.col(axis)
+        d_pred, d_ref = here - F.col(f"c{axis}"), here - F.col(f"c{axis}") - F.col(f"d{axis}")
+        stray = stray & (here == 0)
+        base = computed_once(
+            base.withColumn(axis, F.explode(F.concat(F.array(F.lit(0)), span))),
+            {"dp": F.col("dp") + weight * d_pred * d_pred, "dr": F.col("dr") + weight * d_ref * d_ref},
+        ).where(inside | stray)
+    r, q, dp, dr = (F.col(c) for c in ("r", "q", "dp", "dr"))
     pred = (
         F.when(stray, 2)
-        .when((d_pred <= (r - 2) * (r - 2)) & (F.col("k") % 10 != 0), 4)
-        .when(d_pred <= (r - 1) * (r - 1), 1)
-        .when(d_pred <= r * r, 2)
+        .when((dp <= (r - 2) * (r - 2)) & (F.col("k") % 10 != 0), 4)
+        .when(dp <= (r - 1) * (r - 1), 1)
+        .when(dp <= r * r, 2)
         .otherwise(0)
     )
     ref = (
-        F.when((d_ref <= (q - 2) * (q - 2)) & (F.col("k") % 5 != 0), 4)
-        .when(d_ref <= (q - 1) * (q - 1), 1)
-        .when(d_ref <= q * q, 2)
+        F.when((dr <= (q - 2) * (q - 2)) & (F.col("k") % 5 != 0), 4)
+        .when(dr <= (q - 1) * (q - 1), 1)
+        .when(dr <= q * q, 2)
         .otherwise(0)
     )
-    return (
-        base.select(
-            _subject(F.col("k")).alias("subject_id"), "x", "y", "z",
-            pred.alias("pred"), ref.alias("ref"),
-        )
-        .where((F.col("pred") > 0) | (F.col("ref") > 0))
-    )
+    labelled = base.withColumn("subject_id", _subject(F.col("k")))
+    return computed_once(labelled, {"pred": pred, "ref": ref}).select(
+        "subject_id", "x", "y", "z", "pred", "ref").where((F.col("pred") > 0) | (F.col("ref") > 0))
 
 
 def grids(spark: SparkSession, folder: str) -> DataFrame:

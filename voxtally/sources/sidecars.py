@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtally.constants import COMPARTMENTS, METRICS, SIDECAR_VERSIONS
+from voxtally.functions.columns import computed_once
 from voxtally.functions.numbers import (
     elapsed_seconds,
     metric_status,
@@ -85,13 +86,13 @@ def parse_metric_sidecars(
     pair = F.col("pair_id")
     if comparisons:
         lookup = F.create_map(*[F.lit(x) for item in comparisons.items() for x in item])
-        pair = F.coalesce(lookup.getItem(pair), pair)
-    parsed = documents.withColumn("doc", F.try_parse_json("value"))
+        pair = F.coalesce(lookup[pair], pair)
+    parsed = computed_once(documents, {"doc": F.try_parse_json("value")})
     reason = _problem(pair, metrics, versions)
     if strict:
         reason = F.when(reason.isNotNull(), F.raise_error(
             F.concat(F.lit("bad sidecar of subject "), F.col("subject_id"), F.lit(": "), reason)))
-    parsed = parsed.withColumn("reason", reason)
+    parsed = computed_once(parsed, {"reason": reason})
     own_id = F.try_variant_get("doc", "$.subject_id", "string")
     return parsed.withColumn(
         "subject_id",
@@ -142,7 +143,7 @@ def quality_metrics(parsed: DataFrame) -> DataFrame:
 def parse_run_records(documents: DataFrame, versions: Sequence[str] = SIDECAR_VERSIONS) -> DataFrame:
     """Run sidecars (subject_id, stage, value, mtime) to typed records plus ``reason``."""
     text = lambda path: F.try_variant_get("doc", path, "string")
-    parsed = documents.withColumn("doc", F.try_parse_json("value"))
+    parsed = computed_once(documents, {"doc": F.try_parse_json("value")})
     elapsed = elapsed_seconds(_at("$.elapsed_s"))
     threads = F.when(variant_kind(_at("$.threads")) == "BIGINT",
                      F.try_variant_get("doc", "$.threads", "int"))

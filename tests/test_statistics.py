@@ -20,7 +20,7 @@ def test_percentiles_equal_numpy_with_one_hot_group_and_many_ties(spark):
     }
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None), ("none", None)]
     df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
-    for ranges in (16, 2):
+    for ranges in (32, 2):
         got = {r.k: r for r in exact_percentiles(df, ["k"], "v", PROBS, ranges=ranges).collect()}
         assert set(got) == set(groups)
         for k, values in groups.items():

@@ -1,7 +1,7 @@
 """Intensity volumes: normalisation, boxes, correlation and brain coverage.
 
 Statistics are aggregated per volume and joined back, so voxels are never gathered by
-volume; with few volumes the join is a broadcast, with many it is sized at run time.
+volume. The statistics are counted first and broadcast only up to a bound.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.operators.order_statistics import exact_percentiles
+from voxtally.session import broadcast_if_small
 
 VOLUME = ("subject_id", "channel")
 VOXEL = ("subject_id", "x", "y", "z")
@@ -28,7 +29,7 @@ def zscore_in_mask(intensity: DataFrame, mask: Column) -> DataFrame:
     """Every voxel scaled by the mean and population deviation inside the mask."""
     stats = intensity.where(mask).groupBy(*VOLUME).agg(
         F.avg("v").alias("_mu"), (F.stddev_pop("v") + 1e-8).alias("_sd"))
-    return intensity.join(stats, list(VOLUME), "left").withColumn(
+    return intensity.join(broadcast_if_small(stats), list(VOLUME), "left").withColumn(
         "z_score", (F.col("v") - F.col("_mu")) / F.col("_sd")).drop("_mu", "_sd")
 
 
@@ -47,14 +48,15 @@ def zscore_brain(intensity: DataFrame) -> DataFrame:
         .when(F.col("_sd") > 0, centred / F.col("_sd"))
         .otherwise(centred)
     )
-    return intensity.join(stats, list(VOLUME)).withColumn("z_score", score).drop("_mu", "_sd")
+    return intensity.join(broadcast_if_small(stats), list(VOLUME)).withColumn(
+        "z_score", score).drop("_mu", "_sd")
 
 
 def percentile_rescaled(intensity: DataFrame, low: float = 1.0, high: float = 99.0) -> DataFrame:
     """Clip to two percentiles and scale to [0, 1]; a flat volume becomes zero."""
     ends = exact_percentiles(intensity, VOLUME, "v", {"_lo": low / 100.0, "_hi": high / 100.0}).drop("n")
     scaled = (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    return intensity.join(ends, list(VOLUME)).withColumn(
+    return intensity.join(broadcast_if_small(ends), list(VOLUME)).withColumn(
         "scaled",
         F.when(F.col("_hi") <= F.col("_lo"), 0.0)
         .otherwise(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))),
@@ -70,6 +72,7 @@ def bounding_boxes(
     (subject_id, shape); a volume with nothing above gets its full extent.
     """
     cut = exact_percentiles(intensity, VOLUME, "v", {"_cut": percentile / 100.0}).drop("n")
+    cut = broadcast_if_small(cut)
     above = intensity.join(cut, list(VOLUME)).where(F.col("v") > F.col("_cut"))
     box = above.groupBy(*VOLUME).agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of per-volume statistics that every executor can hold: about 100 MB.
+BROADCAST_ROWS = 2_000_000
 
 
 def local_session(cores: int | str = "*", *, app: str = "voxtally", shuffle: int = 8) -> SparkSession:
@@ -28,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
@@ -49,3 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = run_folder(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Stage a reduced table, count it, and broadcast it only when it is small enough.
+
+    A broadcast spares the big side its shuffle. Beyond the bound the table comes back
+    plain: the join then sorts and merges, and adaptive execution splits skewed keys.
+    """
+    staged = cut_lineage(df)
+    return F.broadcast(staged) if staged.count() <= max_rows else staged

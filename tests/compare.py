@@ -37,7 +37,7 @@ def _rows(columns, rows):
 def difference(df, con, sql: str) -> str | None:
     """None when schema and values agree, otherwise a short description."""
     got = df.toArrow()
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     if sorted(got.column_names) != sorted(want.column_names):
         return f"columns {sorted(got.column_names)} vs {sorted(want.column_names)}"
     types = []

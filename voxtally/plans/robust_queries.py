@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxtally.functions import numbers
 from voxtally.operators import quality, robust
 from voxtally.plans import bindings as b
-from voxtally.plans.bindings import COMPARTMENTS_SQL, with_ctes
+from voxtally.plans.bindings import with_ctes
 from voxtally.plans.documents import DOCUMENT_CTES, PAIRS, documents, pair_metrics
 from voxtally.plans.registry import query
 from voxtally.session import run_folder

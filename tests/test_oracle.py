@@ -5,8 +5,9 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
+from voxtally.plans import catalog
 
-RUNS, SQL = entry.queries(), entry.oracle_sql()
+RUNS, SQL = catalog.queries(), catalog.oracle_sql()
 FOLDERS = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
 
 

@@ -46,3 +46,10 @@ def row_key(df: DataFrame) -> list[Column]:
         F.xxhash64(F.lit(1), F.col("text")).alias("__k1"),
         F.xxhash64(F.lit(2), F.col("text")).alias("__k2"),
     ]
+
+
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of a schema like ``a long, b string``; joins with it are planned away."""
+    columns = [part.strip().split(" ", 1) for part in schema.split(",")]
+    return spark.range(1).where(F.lit(False)).select(
+        *[F.lit(None).cast(kind).alias(name) for name, kind in columns])

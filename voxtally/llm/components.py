@@ -12,7 +12,7 @@ def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) to ``key``, ``root``: the smallest key reachable, one row per key.
 
     Every round a key takes the smallest label among itself and its neighbours, then the
-    label of that label, so long chains need few rounds. Rounds are written tables. Minima
+    label which that one had, so long chains need few rounds. Rounds are written tables. Minima
     combine on the map side; a hub's rows meet its one label in a plain join that adaptive
     execution splits. A self-link or a repeated link changes nothing; null ends are ignored.
     """
@@ -27,13 +27,11 @@ def components(links: DataFrame) -> DataFrame:
             both.join(labels.select(F.col("key").alias("b"), "root"), "b")
             .groupBy("a").agg(F.min("root").alias("near"))
         )
-        met = labels.join(near, labels["key"] == near["a"], "left").select(
+        met = labels.join(near, labels["key"] == near["a"]).select(
             "key", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        met = cut_lineage(met)
-        jump = met.select(F.col("key").alias("root"), F.col("root").alias("next"))
-        labels = cut_lineage(met.join(jump, "root", "left").select(
-            "key", F.coalesce("next", "root").alias("root"),
-            (F.coalesce("next", "root") != F.col("old")).alias("moved")))
-        if labels.where("moved").limit(1).count() == 0:
-            return labels.select("key", "root")
-        labels = labels.select("key", "root")
+        jump = labels.select(F.col("key").alias("root"), F.col("root").alias("next"))
+        stepped = cut_lineage(met.join(jump, "root").select(
+            "key", F.col("next").alias("root"), (F.col("next") != F.col("old")).alias("moved")))
+        labels = stepped.select("key", "root")
+        if stepped.where("moved").isEmpty():
+            return labels

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import near_dedup
+from voxtally.llm import leaks, near_dedup, passages
 from voxtally.llm.common import table
 from voxtally.llm.registry import query
 
@@ -12,3 +12,13 @@ from voxtally.llm.registry import query
 @query("op4_near_dedup")
 def near_copy_components(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op8_leaks")
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_passages")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))

@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.llm import shingles
-from voxtally.llm.common import row_key
+from voxtally.llm.common import empty, row_key
 from voxtally.llm.components import components
 from voxtally.session import cut_lineage
 
 PERCENT = 75
 TOKENS = 64
 TREES = 8
-NODE = 32  # sets outside a node's largest component that are compared exhaustively
+NODE = 128  # sets outside a node's largest component that are compared exhaustively
 DEPTH = 16
 AGREE = 38  # of 64 tokens; a pair at 0.75 has fewer in 0.3 % of cases
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
@@ -98,7 +98,7 @@ def _root_positions() -> list[tuple[int, int]]:
 
 
 class _Join:
-    """State of one join: the classes of equal sets, the links found, their components."""
+    """State of one join: the classes of equal sets and the components found so far."""
 
     def __init__(self, documents: DataFrame):
         self.documents = documents
@@ -107,9 +107,9 @@ class _Join:
             self.signed.where("n > 0").groupBy("key").agg(
                 F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
         spark = documents.sparkSession
-        self.links = spark.createDataFrame([], "a binary, b binary")
-        self.labels = spark.createDataFrame([], "key binary, root binary")
-        self.tested = spark.createDataFrame([], "a binary, b binary")
+        self.labels = empty(spark, "key binary, root binary")
+        self.tested = empty(spark, "a binary, b binary")
+        self.sets = empty(spark, "key binary, members binary")
 
     def estimate(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and tokens allow the similarity, with ``agree``."""
@@ -123,28 +123,46 @@ class _Join:
             .where(F.col("agree") >= AGREE)
         )
 
-    def confirm(self, pairs: DataFrame) -> bool:
-        """Tests staged pairs on full sets and adds what holds; whether any pair came."""
+    def fetch(self, keys: DataFrame) -> None:
+        """Reads the full sets of the classes that were not needed before."""
         ids = cut_lineage(
-            pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-            .join(self.classes, "key").select(F.col("rep").alias("__rep")).distinct())
-        n = ids.count()
-        if not n:
-            return False
+            keys.join(self.sets, "key", "left_anti").join(self.classes, "key")
+            .select(F.col("rep").alias("__rep")).distinct())
+        if not (n := ids.count()):
+            return
         side = F.broadcast(ids) if n <= BROADCAST_IDS else ids
         texts = self.documents.join(side, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
-        sets = cut_lineage(texts.select("text").mapInArrow(_sets, "key binary, members binary"))
+        found = cut_lineage(texts.select("text").mapInArrow(_sets, "key binary, members binary"))
+        self.sets = self.sets.union(found)
+
+    def label(self, held: DataFrame) -> None:
+        """Takes in new links: components of the components they connect."""
+        roots = self.labels
+        ends = held
+        for side in ("a", "b"):
+            ends = ends.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+        ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+        merged = components(ends)
+        moved = roots.join(merged.select(F.col("key").alias("root"), F.col("root").alias("to")), "root", "left")
+        added = merged.join(roots, "key", "left_anti")
+        self.labels = cut_lineage(
+            moved.select("key", F.coalesce("to", "root").alias("root")).union(added.select("key", "root")))
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Tests staged pairs on full sets and takes in what holds."""
+        if pairs.isEmpty():
+            return
+        self.fetch(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+        sets = self.sets
         full = (
             pairs.select("a", "b")
             .join(sets.select(F.col("key").alias("a"), F.col("members").alias("x")), "a")
             .join(sets.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
         )
-        held = cut_lineage(full.mapInArrow(_confirm, "a binary, b binary").distinct())
+        held = cut_lineage(full.mapInArrow(_confirm, "a binary, b binary"))
         self.tested = self.tested.union(pairs.select("a", "b"))
-        if held.limit(1).count():
-            self.links = self.links.union(held)
-            self.labels = components(self.links)
-        return True
+        if not held.isEmpty():
+            self.label(held)
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """Members of nodes with their component; nodes that lie in one component go."""
@@ -186,7 +204,7 @@ class _Join:
         ready = mixed if last else mixed.where(F.col("minor") <= NODE)
         pairs = self.across(ready)
         pairs = cut_lineage(pairs.join(self.tested, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
+        if not pairs.isEmpty():
             # The likeliest pair of two components first; the rest only where it failed.
             first = pairs.groupBy("ra", "rb").agg(
                 F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p"))
@@ -202,7 +220,7 @@ class _Join:
             return None
         large = mixed.where(F.col("minor") > NODE).select("node", "key")
         large = cut_lineage(large)
-        return large if large.limit(1).count() else None
+        return None if large.isEmpty() else large
 
 
 def _may(n: Column, m: Column) -> Column:

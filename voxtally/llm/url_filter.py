@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtally.llm.common import empty
 from voxtally.session import cut_lineage
 
 HASHES = 4
@@ -217,4 +218,8 @@ def judge(
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    """Rules given as (host, path, verdict)."""
+    rows = [F.struct(*[F.lit(x).alias(n) for x, n in zip(r, ("host", "path", "verdict"))]) for r in rules]
+    if not rows:
+        return empty(spark, "host string, path string, verdict string")
+    return spark.range(1).select(F.inline(F.array(*rows)))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm import line_dedup, mixing, quality
+from voxtally.llm import leaks, line_dedup, mixing, near_dedup, quality
 from voxtally.llm.common import WORD, table
 from voxtally.session import cut_lineage
 
@@ -34,6 +34,16 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ).select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return near_dedup.one_of_each(docs).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return leaks.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; ``copy`` numbers its copies."""
     return mixing.emit(mixing.mix(docs)).select(*docs.columns, "copy")
@@ -42,6 +52,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
     ("line dedup", repeated_lines),
+    ("near copies", near_copies),
+    ("benchmark leaks", benchmark_leaks),
     ("source mix", source_mix),
 ]
 

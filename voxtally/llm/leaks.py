@@ -23,7 +23,8 @@ from voxtally.llm.common import empty
 from voxtally.session import cut_lineage
 
 ITEMS = 2000
-PASSAGE, STEP = 32, 8  # words of a window, words from one window to the next
+PASSAGE, STEP = 32, 8  # words of a passage, words from one window to the next
+WINDOWS = (16, 32)  # words of the windows compared: short items drown in long windows
 RANK, POWER = 48, 2
 STOP_SHARE, STOP_ITEMS = 0.05, 20
 COSINE = 0.5
@@ -224,23 +225,25 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
     def near(at: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         cell = at // STEP
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        sums = np.zeros((int(cell[-1]) + PASSAGE // STEP, terms.shape[1]), np.float32)
+        sums = np.zeros((int(cell[-1]) + max(WINDOWS) // STEP, terms.shape[1]), np.float32)
         sums[cell[starts]] = np.add.reduceat(terms[term], starts)
-        span = PASSAGE // STEP
-        windows = sum(sums[i : len(sums) - span + 1 + i] for i in range(span))
-        used = np.flatnonzero(np.abs(windows).sum(axis=1) > 1e-6)
-        for part in range(0, len(used), 4096):
-            chosen = used[part : part + 4096]
-            scores = _units(windows[chosen]) @ queries.T
-            hit_window, hit_item = np.nonzero(scores >= COSINE)
-            for item in np.unique(hit_item):
-                own = hit_window[hit_item == item]
-                for run in np.split(own, np.flatnonzero(np.diff(chosen[own]) > span) + 1):
-                    start = max(0, int(chosen[run[0]]) * STEP - longest)
-                    stop = int(chosen[run[-1]]) * STEP + PASSAGE + longest
-                    low, high = np.searchsorted(at, (start, stop))
-                    if common(masks[item], term[low:high].tolist()) >= SHARED * len(sequences[item]):
-                        yield int(item), start, stop, float(scores[run, item].max())
+        for span in (words // STEP for words in WINDOWS):
+            windows = sum(sums[i : len(sums) - span + 1 + i] for i in range(span))
+            used = np.flatnonzero(np.abs(windows).sum(axis=1) > 1e-6)
+            for part in range(0, len(used), 4096):
+                yield from compared(at, term, windows, used[part : part + 4096], span)
+
+    def compared(at, term, windows, chosen, span) -> Iterator[tuple[int, int, int, float]]:
+        scores = _units(windows[chosen]) @ queries.T
+        hit_window, hit_item = np.nonzero(scores >= COSINE)
+        for item in np.unique(hit_item):
+            own = hit_window[hit_item == item]
+            for run in np.split(own, np.flatnonzero(np.diff(chosen[own]) > span) + 1):
+                start = max(0, int(chosen[run[0]]) * STEP - longest)
+                stop = (int(chosen[run[-1]]) + span) * STEP + longest
+                low, high = np.searchsorted(at, (start, stop))
+                if common(masks[item], term[low:high].tolist()) >= SHARED * len(sequences[item]):
+                    yield int(item), start, stop, float(scores[run, item].max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxtally.operators import geometry
 
@@ -95,3 +96,16 @@ def test_best_slice_ties_go_to_the_lowest_plane_and_empty_to_the_middle(spark):
         "subject_id STRING, shape ARRAY<INT>")
     got = {r.subject_id: (r.plane, r.voxels) for r in geometry.best_slices(cells, shapes, cells.pred > 0).collect()}
     assert got == {"0001": (4, 4), "0002": (0, 1), "0003": (5, 0)}
+
+
+def test_repeated_voxels_change_no_surface(spark):
+    pred, ref = block((2, 2, 2), (7, 7, 7)), block((3, 3, 3), (6, 6, 6))
+    once = volume(spark, {"s": (pred, ref)})
+    masks = {"pred": F.col("pred") > 0, "ref": F.col("ref") > 0, "none": F.lit(False)}
+
+    def surfaces(df):
+        return {(r.mask, r.x, r.y, r.z) for r in geometry.surface_voxels(df, masks).collect()}
+
+    want = {("pred", *v) for v in brute_surface(pred)} | {("ref", *v) for v in brute_surface(ref)}
+    assert surfaces(once) == want
+    assert surfaces(once.union(once).union(once.where("x = 4"))) == want

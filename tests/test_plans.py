@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtally.operators import intensity, regions
 from voxtally.plans import bindings as b
-from voxtally.session import broadcast_if_small, run_folder
+from voxtally.session import run_folder
 from voxtally.sources import tables
 
 
@@ -29,14 +29,18 @@ def test_source_filter_prunes_partitions(spark):
     assert re.search(r"PartitionFilters: \[[^\]]*source[^\]]*gt", plan)
 
 
-def test_statistics_are_broadcast_only_below_the_bound(spark):
+def test_statistics_are_broadcast_only_below_the_planners_bound(spark):
     voxels = spark.createDataFrame(
         [("s", "T1", i, 0, 0, float(i % 5)) for i in range(20)],
         "subject_id STRING, channel STRING, x INT, y INT, z INT, v DOUBLE")
     assert "BroadcastHashJoin" in physical(intensity.zscore_brain(voxels))
-    small = spark.range(10)
-    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hint(broadcast_if_small(small, 10)) and not hint(broadcast_if_small(small, 9))
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        assert "SortMergeJoin" in physical(intensity.zscore_brain(voxels))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
 
 
 def test_flat_and_empty_volumes(spark):

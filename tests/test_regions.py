@@ -136,3 +136,15 @@ def test_prevalence_divides_by_the_cohort(spark):
 
 def test_without_any_overlap_the_voxel_volume_is_one(spark):
     assert rollups.inferred_voxel_volume(table_of(spark, {})).first().voxel_volume_mm3 == 1.0
+
+
+def test_voxel_size_of_each_volume(spark):
+    cells = spark.createDataFrame(
+        [("a", 1, 4, 0.5), ("a", 1, 0, 0.5), ("b", 1, 4, 2.0)],
+        "subject_id STRING, region INT, label INT, mm3 DOUBLE")
+    lut = spark.createDataFrame([(1, "one")], "label INT, name STRING")
+    by_name = regions.region_matrix(cells, lut, voxel_mm3="mm3")
+    by_column = regions.region_matrix(cells, lut, voxel_mm3=F.col("mm3") * 1.0)
+    for matrix in (by_name, by_column):
+        got = {r.subject_id: r.overlap_volume_mm3 for r in matrix.where("compartment = 'ET'").collect()}
+        assert got == {"a": 0.5, "b": 2.0}

@@ -84,3 +84,14 @@ def test_shape_mismatch_aborts(spark):
     grids = spark.createDataFrame([("s", [4, 4, 4]), ("s", [5, 4, 4])], "subject_id STRING, shape ARRAY<INT>")
     with pytest.raises(Exception, match="shape mismatch"):
         agreement.aligned_pair(voxel, voxel, grids).collect()
+
+
+def test_infinite_values_never_make_nan(spark):
+    inf = math.inf
+    rows = [("a", 1.0), ("a", inf), ("a", inf), ("b", -inf), ("b", 2.0), ("c", -inf), ("c", inf), ("d", 3.0), ("d", inf)]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
+    got = {r.k: r for r in exact_percentiles(df, ["k"], "v", {"q1": 0.25, "q3": 0.75}).collect()}
+    assert (got["a"].q1, got["a"].q3) == (inf, inf)
+    assert (got["b"].q1, got["b"].q3) == (-inf, -inf)
+    assert (got["c"].q1, got["c"].q3) == (-inf, -inf)
+    assert (got["d"].q1, got["d"].q3) == (inf, inf)

@@ -116,11 +116,13 @@ def comparator_agreement(
     *,
     keys: Sequence[str],
     comparators: dict[str, str],
-    voxel_mm3: float = 1.0,
+    voxel_mm3: Column | float = 1.0,
     label: str = "pred",
 ) -> DataFrame:
     """Our map against comparators that resolve only some compartments.
 
+    ``voxel_mm3`` may be an expression over ``cells`` that holds each volume's voxel size.
+
     ``comparators`` maps a kind to the column with that comparator's own codes. A pair is
     skipped where the comparator has no definition of the compartment; a volume whose
     comparator column is all NULL (no such map) gives no rows.
@@ -134,8 +136,9 @@ def comparator_agreement(
             seen.append((kind, c))
             wide += _mask_counts(in_compartment(F.col(label), c), theirs, f"{kind}_{c}")
         wide.append(F.count(column).alias(f"_n_{kind}"))
-    counts = cells.groupBy(*keys).agg(*wide)
-    long = counts.select(*keys, F.inline(F.array(*[
+    size = voxel_mm3 if isinstance(voxel_mm3, Column) else F.lit(float(voxel_mm3))
+    counts = cells.groupBy(*keys).agg(*wide, F.max(size).alias("_mm3"))
+    long = counts.select(*keys, "_mm3", F.inline(F.array(*[
         F.struct(
             F.lit(kind).alias("kind"), F.lit(c).alias("compartment"),
             F.col(f"_p_{kind}_{c}").alias("n_pred"), F.col(f"_g_{kind}_{c}").alias("n_ref"),
@@ -144,7 +147,7 @@ def comparator_agreement(
         for kind, c in seen
     ]))).where(F.col("n_cells") > 0)
     p, g, both = F.col("n_pred"), F.col("n_ref"), F.col("n_both")
-    ml = F.lit(voxel_mm3 / 1000.0)
+    ml = F.col("_mm3") / 1000.0
     return long.select(
         *keys, "kind", "compartment",
         stat.dice(p, g, both).alias("dice"), stat.jaccard(p, g, both).alias("jaccard"),

@@ -21,31 +21,32 @@ SIDES = ("pred", "ref")
 def surface_voxels(voxels: DataFrame, masks: Mapping[str, Column]) -> DataFrame:
     """(subject_id, mask, x, y, z) of every foreground voxel with a background 6-neighbour.
 
-    All masks (at most eight) share one shuffle: a voxel sends one number to itself and to
-    its six neighbours, with a four-bit counter per mask and, to itself, one bit per mask.
-    Adding them up tells how many neighbours a voxel has in each mask. Positions outside
-    the grid never send anything, so the edge counts as background.
+    All masks (at most eight, the documented limit) share one shuffle: a voxel sends one
+    number to itself and to its six neighbours, with six bits per mask of which each
+    direction sets its own, and, to itself, one bit per mask. Joined by OR they tell which
+    neighbours a voxel has in each mask, so a voxel that occurs twice counts once and
+    belongs to every mask that any of its rows is in. Positions outside the grid never send
+    anything, so the edge counts as background.
     """
     names = list(masks)
     if len(names) > 8:
         raise ValueError("at most eight masks at a time")
-    own_shift = 4 * len(names)
-    near = sum((F.when(masks[n], F.lit(1 << (4 * i))).otherwise(0).cast("bigint")
+    own_shift = 6 * len(names)
+    near = sum((F.when(masks[n], F.lit(1 << (6 * i))).otherwise(0).cast("bigint")
                 for i, n in enumerate(names)), F.lit(0).cast("bigint"))
     own = sum((F.when(masks[n], F.lit(1 << (own_shift + i))).otherwise(0).cast("bigint")
                for i, n in enumerate(names)), F.lit(0).cast("bigint"))
     marked = computed_once(voxels, {"near": near, "own": own}).select(
         "subject_id", *AXES, "near", "own").where(F.col("own") > 0)
-    steps = [(0, 0, 0)] + [tuple(s if a == b else 0 for b in range(3)) for a in range(3) for s in (-1, 1)]
-    sent = marked.selectExpr("subject_id", "inline(array({}))".format(", ".join(
-        f"struct(x + {dx} AS x, y + {dy} AS y, z + {dz} AS z, "
-        f"{'own' if (dx, dy, dz) == (0, 0, 0) else 'near'} AS bits)"
-        for dx, dy, dz in steps)))
-    total = sent.groupBy("subject_id", *AXES).agg(F.sum("bits").alias("bits"))
+    steps = [tuple(s if a == b else 0 for b in range(3)) for a in range(3) for s in (-1, 1)]
+    sent = marked.selectExpr("subject_id", "inline(array(struct(x, y, z, own AS bits), {}))".format(", ".join(
+        f"struct(x + {dx} AS x, y + {dy} AS y, z + {dz} AS z, shiftleft(near, {d}) AS bits)"
+        for d, (dx, dy, dz) in enumerate(steps))))
+    total = sent.groupBy("subject_id", *AXES).agg(F.bit_or("bits").alias("bits"))
     kept = total.selectExpr("subject_id", *AXES, "inline(filter(array({}), s -> s.hit))".format(
         ", ".join(
             f"struct('{n}' AS mask, (shiftright(bits, {own_shift + i}) & 1) = 1 "
-            f"AND (shiftright(bits, {4 * i}) & 15) < 6 AS hit)"
+            f"AND (shiftright(bits, {6 * i}) & 63) < 63 AS hit)"
             for i, n in enumerate(names))))
     return kept.select("subject_id", "mask", *AXES)
 

@@ -37,14 +37,26 @@ def all_channels_match(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.every("grid_matches_reference").alias("all_channels_match_ref_grid"))
 
 
-def grid_consistency(headers: DataFrame, keys: Sequence[str] = ("channel",)) -> DataFrame:
-    """Distinct grids (voxel size at 3 decimals) per channel over all timepoints."""
+def grid_consistency(
+    headers: DataFrame, keys: Sequence[str] = ("channel",), expected: DataFrame | None = None
+) -> DataFrame:
+    """Distinct grids (voxel size at 3 decimals) per channel over all timepoints.
+
+    ``expected`` lists the keys that should have volumes; those without any come out with
+    no grid and the status ``NONE PRESENT``.
+    """
     keys = list(keys)
     distinct = headers.groupBy(*keys, "shape", _rounded("voxel_size_mm", 3).alias("_size")).agg(
         F.count(F.lit(1)).alias("_n"))
-    return distinct.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_grids"), F.sum("_n").alias("n_volumes")
-    ).withColumn("status", F.when(F.col("n_grids") == 1, "CONSISTENT").otherwise("VARIES"))
+    found = distinct.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_grids"), F.sum("_n").alias("n_volumes"))
+    if expected is not None:
+        found = found.join(expected.select(*keys).distinct(), keys, "full").fillna(
+            0, ["n_grids", "n_volumes"])
+    return found.withColumn(
+        "status",
+        F.when(F.col("n_grids") == 0, "NONE PRESENT").when(F.col("n_grids") == 1, "CONSISTENT")
+        .otherwise("VARIES"))
 
 
 def readiness(
@@ -62,14 +74,28 @@ def readiness(
     return headers.groupBy(*keys).agg(F.coalesce(ready, F.lit(False)).alias("ready"))
 
 
+def _lacks_regions() -> Column:
+    return (F.col("status") == "missing_input") & F.coalesce(
+        F.col("reason").contains("parcellation"), F.lit(False))
+
+
+def run_exit_code(records: DataFrame, *, require_regions: bool = False) -> DataFrame:
+    """One row over all sources: the codes of ``run_status`` for the run as a whole."""
+    failed = F.col("status") == "error"
+    if require_regions:
+        failed = failed | _lacks_regions()
+    return records.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("n_failed")
+    ).withColumn("exit_code", F.when(F.col("n_failed") > 0, 1).otherwise(0))
+
+
 def run_status(records: DataFrame, *, require_regions: bool = False) -> DataFrame:
     """Runs per status and source, and the exit code they add up to.
 
     ``records`` has source, status, reason and has_metrics. Errors fail a source. A missing
     region map fails it only when region maps are required; other missing input never does.
     """
-    no_regions = (F.col("status") == "missing_input") & F.coalesce(
-        F.col("reason").contains("parcellation"), F.lit(False))
+    no_regions = _lacks_regions()
     counts = records.groupBy("source").agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
         F.count_if((F.col("status") == "ok") & ~F.col("has_metrics")).alias("ok_without_metrics"),
@@ -95,12 +121,18 @@ def cold_and_warm(records: DataFrame) -> DataFrame:
         "phase", F.when(key == F.col("_first"), "cold").otherwise("warm")).drop("_first")
 
 
-def stage_timings(records: DataFrame, expected: DataFrame | int) -> DataFrame:
+def stage_timings(
+    records: DataFrame, expected: DataFrame | int, *, unsplit: Sequence[str] = ()
+) -> DataFrame:
     """Quartiles, extremes and counts per stage and phase.
 
-    ``expected`` is the cohort size: one cold run is expected, the rest should be warm.
+    ``expected`` is the cohort size: one cold run is expected, the rest should be warm. A
+    stage named in ``unsplit`` has no cold start: all its runs are one phase ``all``, and the
+    whole cohort is expected.
     """
-    marked = cut_lineage(cold_and_warm(records).select("stage", "phase", "elapsed_s"))
+    phases = cold_and_warm(records).withColumn(
+        "phase", F.when(F.col("stage").isin(*unsplit), "all").otherwise(F.col("phase")))
+    marked = cut_lineage(phases.select("stage", "phase", "elapsed_s"))
     keys = ["stage", "phase"]
     edges = marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_used"), F.min("elapsed_s").alias("min"),
@@ -110,6 +142,7 @@ def stage_timings(records: DataFrame, expected: DataFrame | int) -> DataFrame:
     total = F.lit(expected) if isinstance(expected, int) else expected.scalar()
     return edges.join(quartiles, keys).withColumn(
         "n_expected", F.when(F.col("phase") == "cold", F.lit(1).cast("bigint"))
+        .when(F.col("phase") == "all", total.cast("bigint"))
         .otherwise(F.greatest(total.cast("bigint") - 1, F.lit(0).cast("bigint"))))
 
 

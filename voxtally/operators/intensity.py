@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.operators.order_statistics import exact_percentiles
-from voxtally.session import broadcast_if_small
+from voxtally.session import cut_lineage
 
 VOLUME = ("subject_id", "channel")
 VOXEL = ("subject_id", "x", "y", "z")
@@ -29,7 +29,7 @@ def zscore_in_mask(intensity: DataFrame, mask: Column) -> DataFrame:
     """Every voxel scaled by the mean and population deviation inside the mask."""
     stats = intensity.where(mask).groupBy(*VOLUME).agg(
         F.avg("v").alias("_mu"), (F.stddev_pop("v") + 1e-8).alias("_sd"))
-    return intensity.join(broadcast_if_small(stats), list(VOLUME), "left").withColumn(
+    return intensity.join(cut_lineage(stats), list(VOLUME), "left").withColumn(
         "z_score", (F.col("v") - F.col("_mu")) / F.col("_sd")).drop("_mu", "_sd")
 
 
@@ -48,7 +48,7 @@ def zscore_brain(intensity: DataFrame) -> DataFrame:
         .when(F.col("_sd") > 0, centred / F.col("_sd"))
         .otherwise(centred)
     )
-    return intensity.join(broadcast_if_small(stats), list(VOLUME)).withColumn(
+    return intensity.join(cut_lineage(stats), list(VOLUME)).withColumn(
         "z_score", score).drop("_mu", "_sd")
 
 
@@ -56,7 +56,7 @@ def percentile_rescaled(intensity: DataFrame, low: float = 1.0, high: float = 99
     """Clip to two percentiles and scale to [0, 1]; a flat volume becomes zero."""
     ends = exact_percentiles(intensity, VOLUME, "v", {"_lo": low / 100.0, "_hi": high / 100.0}).drop("n")
     scaled = (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    return intensity.join(broadcast_if_small(ends), list(VOLUME)).withColumn(
+    return intensity.join(cut_lineage(ends), list(VOLUME)).withColumn(
         "scaled",
         F.when(F.col("_hi") <= F.col("_lo"), 0.0)
         .otherwise(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))),
@@ -72,7 +72,7 @@ def bounding_boxes(
     (subject_id, shape); a volume with nothing above gets its full extent.
     """
     cut = exact_percentiles(intensity, VOLUME, "v", {"_cut": percentile / 100.0}).drop("n")
-    cut = broadcast_if_small(cut)
+    cut = cut_lineage(cut)
     above = intensity.join(cut, list(VOLUME)).where(F.col("v") > F.col("_cut"))
     box = above.groupBy(*VOLUME).agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
@@ -120,19 +120,25 @@ def label_preservation(before: DataFrame, after: DataFrame, keys: Sequence[str])
 
 
 def brain_coverage(
-    labels: DataFrame, reference: DataFrame, *, threshold: float = 0.05, voxel_ml: float = 0.001
+    labels: DataFrame,
+    reference: DataFrame,
+    *,
+    threshold: float = 0.05,
+    voxel_ml: Column | float = 0.001,
 ) -> DataFrame:
     """Voxels, mL and the share inside the reference brain, per label.
 
-    The brain is where the reference intensity exceeds a share of its maximum.
+    The brain is where the reference intensity exceeds a share of its maximum. ``voxel_ml``
+    may be an expression over ``labels`` that holds each volume's voxel size.
     """
+    size = voxel_ml if isinstance(voxel_ml, Column) else F.lit(float(voxel_ml))
     top = reference.groupBy("subject_id").agg(F.max("v").alias("_max"))
     brain = reference.join(top, "subject_id").where(F.col("v") > F.col("_max") * threshold).select(
         *VOXEL, F.lit(True).alias("_in"))
     return (
         labels.where(F.col("label") != 0).join(brain, list(VOXEL), "left")
         .groupBy("subject_id", "label")
-        .agg(F.count(F.lit(1)).alias("voxels"), F.count("_in").alias("inside"))
-        .select("subject_id", "label", "voxels", (F.col("voxels") * voxel_ml).alias("volume_ml"),
+        .agg(F.count(F.lit(1)).alias("voxels"), F.count("_in").alias("inside"), F.max(size).alias("_ml"))
+        .select("subject_id", "label", "voxels", (F.col("voxels") * F.col("_ml")).alias("volume_ml"),
                 (F.col("inside") / F.col("voxels")).alias("fraction_inside_brain"))
     )

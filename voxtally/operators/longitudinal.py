@@ -32,16 +32,20 @@ def volumes_ml(
     label: str = "label",
     voxel_mm3: Column | float = 1.0,
 ) -> DataFrame:
-    """Nested and disjoint volumes in mL per volume; one pass over the voxels."""
-    mm3 = voxel_mm3 if isinstance(voxel_mm3, Column) else F.lit(float(voxel_mm3))
+    """Nested and disjoint volumes in mL per volume; one pass over the voxels.
+
+    ``voxel_mm3`` may be an expression over ``cells`` that holds each volume's voxel size.
+    """
+    size = voxel_mm3 if isinstance(voxel_mm3, Column) else F.lit(float(voxel_mm3))
     code = F.col(label)
     counts = cells.groupBy(*keys).agg(
         *[F.count_if(in_compartment(code, c)).alias(f"vol_{c}_ml") for c in COMPARTMENTS],
         *[F.count_if(code == CLASS_CODES[c]).alias(f"vol_{c}_ml") for c in ("NCR", "ED")],
+        F.max(size).alias("_mm3"),
     )
     return counts.withColumns({
-        f"vol_{c}_ml": F.col(f"vol_{c}_ml") * mm3 / 1000.0 for c in CURVES
-    })
+        f"vol_{c}_ml": F.col(f"vol_{c}_ml") * F.col("_mm3") / 1000.0 for c in CURVES
+    }).drop("_mm3")
 
 
 def longitudinal_summary(volumes: DataFrame, timepoints: DataFrame, keys: Sequence[str]) -> DataFrame:

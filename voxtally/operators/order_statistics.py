@@ -28,8 +28,8 @@ def order_statistics(
     """One row per key with ``n`` and, per name, the value at a zero-based rank of ``n``.
 
     ``ranks`` maps an output name to a function of the group size. A fractional rank
-    interpolates linearly between its two neighbours. NULL values do not count. The input
-    is read once per use of the value counts, so pass a stored table or a cheap plan.
+    interpolates linearly between its two neighbours; towards infinity it is infinite, and
+    never NaN. NULL values do not count. The input is read once per use of the value counts, so pass a stored table or a cheap plan.
     """
     keys = list(keys)
     if not keys:
@@ -92,7 +92,9 @@ def order_statistics(
     for name, rank in ranks.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         share = rank(F.col("_total")) - F.floor(rank(F.col("_total")))
-        out.append(F.when(share == 0, lo).otherwise(lo + (hi - lo) * share).alias(name))
+        # Between two equal infinities, or from minus infinity on, there is no step to add.
+        flat = (share == 0) | (lo == hi) | (lo == float("-inf"))
+        out.append(F.when(flat, lo).otherwise(lo + (hi - lo) * share).alias(name))
     return picked.select(*keys, F.col("_total").alias("n"), *out)
 
 

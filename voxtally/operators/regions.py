@@ -65,20 +65,22 @@ def region_matrix(
     """Coverage of every region by every compartment, zero-overlap rows included.
 
     ``compartment_voxels`` counts the whole volume, regions outside the lookup too, so it
-    is summed before the lookup join. ``keys`` identify one volume.
+    is summed before the lookup join. ``keys`` identify one volume. ``voxel_mm3`` may be a
+    column of ``cells`` (by name or expression) that holds each volume's own voxel size.
     """
     names = _known(compartments)
     keys = list(keys)
     counts = cells.groupBy(*keys, F.col("region").alias("label")).agg(
         F.count(F.lit(1)).alias("parcel_voxels"),
         *[F.count_if(in_compartment(F.col(label), c)).alias(f"_{c}") for c in names],
+        F.max(_column(voxel_mm3)).alias("_mm3"),
     )
     # One row per region is left: the per-volume total is a window over a few hundred rows.
     volume = W.partitionBy(*keys)
     totals = counts.withColumns({f"_all_{c}": F.sum(f"_{c}").over(volume) for c in names})
     named = totals.join(lut, _lut_keys(lut))
     long = named.select(
-        *keys, "label", "name", "parcel_voxels",
+        *keys, "label", "name", "parcel_voxels", "_mm3",
         F.inline(
             F.array(*[
                 F.struct(
@@ -90,7 +92,7 @@ def region_matrix(
             ])
         ),
     )
-    mm3 = _column(voxel_mm3)
+    mm3 = F.col("_mm3")
     overlap = F.col("overlap_voxels")
     return long.select(
         *keys, "label", "name", "compartment", "parcel_voxels", "compartment_voxels",
@@ -107,7 +109,7 @@ def probabilistic_region_matrix(
     *,
     probabilities: str = "p",
     channels: Column | Sequence[str] = PROBABILITY_CHANNELS,
-    voxel_mm3: Column | float = 1.0,
+    voxel_mm3: Column | float | str = 1.0,
     compartments: Sequence[str] = COMPARTMENTS,
 ) -> DataFrame:
     """Mean and standard deviation of every overlap when voxels are independent draws.
@@ -129,9 +131,10 @@ def probabilistic_region_matrix(
         F.count(F.lit(1)).alias("parcel_voxels"),
         *[F.sum(p(c)).alias(f"_mean_{c}") for c in names],
         *[F.sqrt(F.sum(p(c) * (1.0 - p(c)))).alias(f"_std_{c}") for c in names],
+        F.max(_column(voxel_mm3)).alias("_mm3"),
     )
     long = counts.join(lut, _lut_keys(lut)).select(
-        "subject_id", "label", "name", "parcel_voxels",
+        "subject_id", "label", "name", "parcel_voxels", "_mm3",
         F.inline(
             F.array(*[
                 F.struct(
@@ -143,7 +146,7 @@ def probabilistic_region_matrix(
             ])
         ),
     )
-    mm3 = _column(voxel_mm3)
+    mm3 = F.col("_mm3")
     mean, std = F.col("overlap_voxels_mean"), F.col("overlap_voxels_std")
     return long.select(
         "subject_id", "label", "name", "compartment", "parcel_voxels",

@@ -217,7 +217,7 @@ def w6(spark, folder):
     return agreement.representative_subjects(pairs(spark, folder), 5)
 
 
-@query("a29_comparator_agreement", with_ctes(CELLS_SQL, """
+COMPARATOR_SQL = """
 k(kind, compartment, code) AS (VALUES ('hdglio','WT',1), ('hdglio','WT',2), ('hdglio','ET',2),
   ('deepbratumia','WT',1), ('deepbratumia','WT',2), ('deepbratumia','WT',3),
   ('deepbratumia','TC',1), ('deepbratumia','TC',2), ('deepbratumia','ET',1)),
@@ -227,19 +227,33 @@ t AS (
          count(*) FILTER (WHERE theirs) AS g, count(*) FILTER (WHERE ours AND theirs) AS i
   FROM (SELECT subject_id, timepoint, kind, compartment, list_contains(codes, raw) AS theirs,
           CASE compartment WHEN 'WT' THEN pred IN (1,2,4) WHEN 'TC' THEN pred IN (1,4) ELSE pred = 4 END AS ours
-        FROM cells, kc) GROUP BY 1, 2, 3, 4)""", select="""
+        FROM cells, kc) GROUP BY 1, 2, 3, 4)"""
+COMPARATOR_SELECT = """
 SELECT subject_id, timepoint, kind, compartment,
        CASE WHEN p + g > 0 THEN 2.0::DOUBLE * i / (p + g) END AS dice,
        CASE WHEN p + g - i > 0 THEN 1.0::DOUBLE * i / (p + g - i) END AS jaccard,
        p * 0.001::DOUBLE AS vol_pred_ml, g * 0.001::DOUBLE AS vol_comparator_ml,
-       p * 0.001::DOUBLE - g * 0.001::DOUBLE AS vol_diff_ml FROM t"""),
-       rounded=["dice", "jaccard", "vol_pred_ml", "vol_comparator_ml", "vol_diff_ml"])
+       p * 0.001::DOUBLE - g * 0.001::DOUBLE AS vol_diff_ml FROM t"""
+COMPARATOR_DOUBLES = ["dice", "jaccard", "vol_pred_ml", "vol_comparator_ml", "vol_diff_ml"]
+
+
+@query("a29_comparator_agreement", with_ctes(CELLS_SQL, COMPARATOR_SQL, select=COMPARATOR_SELECT),
+       rounded=COMPARATOR_DOUBLES)
 def a29(spark, folder):
     return agreement.comparator_agreement(
         b.cells(spark, folder), keys=["subject_id", "timepoint"],
         comparators={"hdglio": "raw", "deepbratumia": "raw"})
 
 
+@query("a29_comparator_agreement_voxel_sizes", with_ctes(CELLS_SQL, COMPARATOR_SQL, select=COMPARATOR_SELECT.replace(
+    "0.001::DOUBLE", "(0.001::DOUBLE * (1 + CAST(subject_id AS INTEGER) % 3 * 0.25))")), rounded=COMPARATOR_DOUBLES)
+def a29_voxel_sizes(spark, folder):
+    return agreement.comparator_agreement(
+        b.cells(spark, folder), keys=["subject_id", "timepoint"],
+        comparators={"hdglio": "raw", "deepbratumia": "raw"},
+        voxel_mm3=F.lit(1.0) + F.col("subject_id").cast("int") % 3 * F.lit(0.25))
+
+
 CROSSWALK_SQL = """
 grid AS (SELECT * FROM (SELECT DISTINCT subject_id FROM cells),
   (VALUES (1), (2), (3)) AS r(raw_label), (VALUES ('pred'), ('ref')) AS m(comparator),

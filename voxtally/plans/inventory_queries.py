@@ -88,6 +88,21 @@ def a42(spark, folder):
     return ops.grid_consistency(headers(spark, folder), ["patient_id", "channel"])
 
 
+@query("a42_none_present", f"""WITH {HEADERS_SQL},
+f AS (SELECT patient_id, channel, count(DISTINCT (nx, round_even(sx, 3))) AS n_grids, count(*) AS n_volumes
+      FROM hdr GROUP BY 1, 2),
+e AS (SELECT DISTINCT CAST(s_suppkey // 10 AS BIGINT) AS patient_id, channel
+      FROM supplier, (VALUES ('T1'), ('perfusion')) AS c(channel))
+SELECT patient_id, channel, coalesce(n_grids, 0) AS n_grids, coalesce(n_volumes, 0) AS n_volumes,
+  CASE WHEN n_grids IS NULL THEN 'NONE PRESENT' WHEN n_grids = 1 THEN 'CONSISTENT' ELSE 'VARIES' END AS status
+FROM f FULL JOIN e USING (patient_id, channel)""")
+def a42_expected(spark, folder):
+    expected = b.table(spark, folder, "supplier").select(
+        F.floor(F.col("s_suppkey") / 10).alias("patient_id"),
+        F.explode(F.array(F.lit("T1"), F.lit("perfusion"))).alias("channel"))
+    return ops.grid_consistency(headers(spark, folder), ["patient_id", "channel"], expected)
+
+
 @query("a43_readiness", f"""WITH {HEADERS_SQL}
 SELECT patient_id, timepoint, count(DISTINCT channel) = 5 AS ready FROM hdr GROUP BY 1, 2""")
 def a43(spark, folder):
@@ -218,6 +233,21 @@ def a36(spark, folder):
     return ops.stage_timings(good_runs(spark, folder), subjects)
 
 
+@query("a36_unsplit_stage", f"""WITH {RUNS_SQL},
+ph AS (SELECT *, CASE WHEN stage = (SELECT min(stage) FROM good) THEN 'all'
+  WHEN row_number() OVER (PARTITION BY stage ORDER BY mtime, run_id) = 1 THEN 'cold' ELSE 'warm' END AS phase FROM good),
+n AS (SELECT count(DISTINCT user_id) AS n FROM events)
+SELECT stage, phase, count(*) AS n_used, min(elapsed_s) AS min, max(elapsed_s) AS max,
+  quantile_cont(elapsed_s, 0.25) AS q1, quantile_cont(elapsed_s, 0.5) AS median, quantile_cont(elapsed_s, 0.75) AS q3,
+  CASE phase WHEN 'cold' THEN 1::BIGINT WHEN 'all' THEN (SELECT n FROM n)
+    ELSE greatest((SELECT n FROM n) - 1, 0) END AS n_expected
+FROM ph GROUP BY 1, 2""", rounded=["min", "max", "q1", "median", "q3"])
+def a36_unsplit(spark, folder):
+    subjects = b.table(spark, folder, "events").select("user_id").distinct().agg(F.count(F.lit(1)))
+    runs = good_runs(spark, folder)
+    return ops.stage_timings(runs, subjects, unsplit=[runs.agg(F.min("stage")).first()[0]])
+
+
 @query("a44_run_status", """
 WITH r AS (SELECT event_type AS source, CASE WHEN event_id % 31 = 0 AND event_type <> 'view' THEN 'error'
     WHEN event_id % 7 = 0 THEN 'missing_input' WHEN event_id % 5 = 0 THEN 'skipped' ELSE 'ok' END AS status,
@@ -229,11 +259,31 @@ SELECT source, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHE
   CASE WHEN count(*) FILTER (WHERE status = 'error') > 0 THEN 1 ELSE 0 END AS exit_code
 FROM r GROUP BY 1""")
 def a44(spark, folder):
+    return ops.run_status(event_records(spark, folder))
+
+
+@query("a44_exit_code", """
+WITH r AS (SELECT CASE WHEN event_id % 31 = 0 AND event_type <> 'view' THEN 'error'
+    WHEN event_id % 7 = 0 THEN 'missing_input' ELSE 'other' END AS status, event_id % 14 = 0 AS no_regions FROM events),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE status = 'error') AS e,
+  count(*) FILTER (WHERE status = 'error' OR status = 'missing_input' AND no_regions) AS er FROM r)
+SELECT require_regions, n, CASE WHEN require_regions THEN er ELSE e END AS n_failed,
+  CASE WHEN CASE WHEN require_regions THEN er ELSE e END > 0 THEN 1 ELSE 0 END AS exit_code
+FROM c, (VALUES (true), (false)) AS v(require_regions)""")
+def a44_exit(spark, folder):
+    records = event_records(spark, folder)
+    codes = [
+        ops.run_exit_code(records, require_regions=required).withColumn("require_regions", F.lit(required))
+        for required in (True, False)
+    ]
+    return codes[0].union(codes[1])
+
+
+def event_records(spark, folder):
     e = F.col("event_id")
-    records = b.table(spark, folder, "events").select(
+    return b.table(spark, folder, "events").select(
         F.col("event_type").alias("source"),
         F.when((e % 31 == 0) & (F.col("event_type") != "view"), "error")
         .when(e % 7 == 0, "missing_input").when(e % 5 == 0, "skipped").otherwise("ok").alias("status"),
         F.when(e % 14 == 0, "parcellation not on disk").otherwise("no label map").alias("reason"),
         (F.col("value") >= 1).alias("has_metrics"))
-    return ops.run_status(records)

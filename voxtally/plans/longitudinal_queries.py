@@ -30,6 +30,14 @@ def a25(spark, folder):
     return volumes(spark, folder, ["subject_id"])
 
 
+@query("a25_compartment_volumes_voxel_sizes", with_ctes(CELLS_SQL, select=VOLUMES_ML_SQL.format(
+    keys="subject_id").replace("1.5::DOUBLE", "max(1.0::DOUBLE + CAST(subject_id AS INTEGER) % 3 * 0.25)")),
+       rounded=ML)
+def a25_voxel_sizes(spark, folder):
+    size = F.lit(1.0) + F.col("subject_id").cast("int") % 3 * F.lit(0.25)
+    return ops.volumes_ml(b.cells(spark, folder), keys=["subject_id"], label="pred", voxel_mm3=size)
+
+
 PLAN_SQL = f"""
 plan AS (SELECT DISTINCT {sql_zero_fill("CAST(l_suppkey // 5 AS VARCHAR)")} AS subject_id,
            l_linenumber AS timepoint, (l_linenumber - 1) * 35 AS days_since_baseline,

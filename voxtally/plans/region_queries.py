@@ -173,6 +173,22 @@ def a2(spark, folder):
     return matrix(spark, folder)
 
 
+# A voxel size that differs by subject, as in scans of several machines.
+SUBJECT_MM3_SQL = "(1.0::DOUBLE + CAST(subject_id AS INTEGER) % 3 * 0.25)"
+
+
+def subject_mm3():
+    return F.lit(1.0) + F.col("subject_id").cast("int") % 3 * F.lit(0.25)
+
+
+@query("a2_region_matrix_voxel_sizes", with_ctes(CELLS_SQL, LUT_SQL, matrix_sql(), select=f"""
+SELECT * REPLACE (overlap_voxels * {SUBJECT_MM3_SQL} AS overlap_volume_mm3) FROM matrix"""),
+       rounded=MATRIX_DOUBLES)
+def a2_voxel_sizes(spark, folder):
+    cells = b.cells(spark, folder).withColumn("mm3", subject_mm3())
+    return regions.region_matrix(cells, b.lut(spark), label="pred", voxel_mm3="mm3")
+
+
 @query("a3_probabilistic_matrix", with_ctes(CELLS_SQL, LUT_SQL, """
 sums AS (
   SELECT subject_id, region AS label, compartment, count(*) AS parcel_voxels,

@@ -136,16 +136,24 @@ def u3(spark, folder):
     return keep.intersect(exclude)
 
 
+def _quantile_sql(p: float, name: str) -> str:
+    """Linear interpolation in which infinity minus infinity never occurs."""
+    at = f"{p}::DOUBLE * (n - 1)"
+    lo, hi = f"s[floor({at})::INTEGER + 1]", f"s[ceil({at})::INTEGER + 1]"
+    return (f"CASE WHEN {lo} = {hi} OR {lo} = '-inf'::DOUBLE THEN {lo} "
+            f"ELSE {lo} + ({hi} - {lo}) * ({at} - floor({at})) END AS {name}")
+
+
 @query("a46_metric_spread", with_ctes(*DOCUMENT_CTES, QUALITY_SQL, """
 qs AS (SELECT compartment || '_' || metric AS metric, loose AS value FROM ml
-       WHERE pair_id = 'dl_vs_gt' AND metric IN ('dice', 'hd95_mm') AND loose IS NOT NULL
-         AND NOT isinf(loose))""", select="""
-SELECT metric, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
-       quantile_cont(value, 0.75) AS q3, min(value) AS min, max(value) AS max FROM qs GROUP BY 1"""),
+       WHERE pair_id = 'dl_vs_gt' AND metric IN ('dice', 'hd95_mm') AND loose IS NOT NULL),
+ql AS (SELECT metric, count(*) AS n, list(value ORDER BY value) AS s, min(value) AS min, max(value) AS max
+       FROM qs GROUP BY 1)""", select=f"""
+SELECT metric, n, {_quantile_sql(0.25, "q1")}, {_quantile_sql(0.5, "median")},
+       {_quantile_sql(0.75, "q3")}, min, max FROM ql"""),
        rounded=["q1", "median", "q3", "min", "max"])
 def a46(spark, folder):
-    wide = quality.wide_metrics(gt_quality(spark, folder))
-    return robust.metric_spread(wide.select(*[numbers.finite(F.col(c)).alias(c) for c in WIDE]), WIDE)
+    return robust.metric_spread(quality.wide_metrics(gt_quality(spark, folder)), WIDE)
 
 
 @query("p18_json_safe_encode", with_ctes(*DOCUMENT_CTES, select="""

@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows of per-volume statistics that every executor can hold: about 100 MB.
-BROADCAST_ROWS = 2_000_000
 
 
 def local_session(cores: int | str = "*", *, app: str = "voxtally", shuffle: int = 8) -> SparkSession:
@@ -49,19 +45,10 @@ def run_folder(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a reduced table to the shared folder once and go on from there.
 
-    What follows survives the loss of executors, reads it as often as it needs, and knows
-    its size when it picks joins.
+    Runs a job when it is called. What follows survives the loss of executors and reads the
+    table as often as it needs. The planner knows its bytes: below
+    ``spark.sql.autoBroadcastJoinThreshold`` a join broadcasts it, above it does not.
     """
     path = run_folder(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Stage a reduced table, count it, and broadcast it only when it is small enough.
-
-    A broadcast spares the big side its shuffle. Beyond the bound the table comes back
-    plain: the join then sorts and merges, and adaptive execution splits skewed keys.
-    """
-    staged = cut_lineage(df)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged

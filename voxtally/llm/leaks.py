@@ -6,8 +6,9 @@ words that stand in many items are stop words. Documents are read once into posi
 terms. Over all their passages come document frequencies, then a randomised singular value
 decomposition of the TF-IDF matrix: each pass multiplies it by a thin matrix where the
 passages are and sums the small products by term. Every window of every document is compared
-with every item by cosine in that space; what is near enough must share a long common
-subsequence of words with the item and, when reworded, its answer.
+by cosine in that space with every item of whose terms the document has enough at all; what is
+near enough must share a long common subsequence of words with the item and, when reworded,
+its answer.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from voxtally.session import cut_lineage
 ITEMS = 2000
 PASSAGE, STEP = 32, 8  # words of a passage, words from one window to the next
 WINDOWS = (16, 32)  # words of the windows compared: short items drown in long windows
-RANK, POWER = 48, 2
+RANK, POWER = 32, 1
 STOP_SHARE, STOP_ITEMS = 0.05, 20
 COSINE = 0.5
 SHARED = 0.4  # of an item's terms, in order, before a text is fetched
@@ -197,16 +198,22 @@ def _product(found: DataFrame, weights: np.ndarray, thin: np.ndarray) -> np.ndar
 
 
 def space(found: DataFrame, weights: np.ndarray, rank: int = RANK, power: int = POWER) -> np.ndarray:
-    """Right singular vectors of the passages by a randomised range finder with power steps."""
+    """Leading right singular vectors of the passages, from ``power`` products with A'A.
+
+    The last product serves twice, as range and, through its Nystroem core, as the small
+    problem that turns the basis into singular vectors, so no further pass is needed.
+    """
     d = len(weights)
     k = min(rank, d)
-    basis = np.random.default_rng(8).standard_normal((d, k)).astype(np.float32)
+    product = np.random.default_rng(8).standard_normal((d, k))
     for _ in range(power):
-        basis, _ = np.linalg.qr(_product(found, weights, basis))
-        basis = basis.astype(np.float32)
-    small = basis.T @ _product(found, weights, basis)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    return (basis @ turn[:, ::-1]).astype(np.float32)
+        basis, _ = np.linalg.qr(product)
+        product = _product(found, weights, basis.astype(np.float32))
+    shift = 1e-6 * np.linalg.norm(product) + 1e-12  # keeps the core positive
+    product += shift * basis
+    core = basis.T @ product
+    root = np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(k))
+    return np.linalg.svd(np.linalg.solve(root, product.T).T, full_matrices=False)[0].astype(np.float32)
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -221,8 +228,24 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
     sequences = block.sequences
     masks = [masks_of(s) for s in sequences]
     longest = max(map(len, block.words), default=0)
+    # Which items hold a term, and how often: flat lists by term.
+    held = sorted((t, i) for i, own in enumerate(sequences) for t in own)
+    items_of = np.array([i for _, i in held], np.int64)
+    first = np.searchsorted([t for t, _ in held], np.arange(len(weights) + 1))
+    enough = np.array([SHARED * len(own) for own in sequences])
+
+    def possible(term: np.ndarray) -> np.ndarray:
+        """Items of which the document has enough terms, anywhere; no other can be found."""
+        own = np.unique(term)
+        low, n = first[own], first[own + 1] - first[own]
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        counts = np.bincount(items_of[at], minlength=len(sequences))
+        return np.flatnonzero((counts > 0) & (counts >= enough))
 
     def near(at: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        items = possible(term)
+        if not len(items):
+            return
         cell = at // STEP
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         sums = np.zeros((int(cell[-1]) + max(WINDOWS) // STEP, terms.shape[1]), np.float32)
@@ -231,19 +254,19 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
             windows = sum(sums[i : len(sums) - span + 1 + i] for i in range(span))
             used = np.flatnonzero(np.abs(windows).sum(axis=1) > 1e-6)
             for part in range(0, len(used), 4096):
-                yield from compared(at, term, windows, used[part : part + 4096], span)
+                yield from compared(at, term, windows, used[part : part + 4096], span, items)
 
-    def compared(at, term, windows, chosen, span) -> Iterator[tuple[int, int, int, float]]:
-        scores = _units(windows[chosen]) @ queries.T
+    def compared(at, term, windows, chosen, span, items) -> Iterator[tuple[int, int, int, float]]:
+        scores = _units(windows[chosen]) @ queries[items].T
         hit_window, hit_item = np.nonzero(scores >= COSINE)
-        for item in np.unique(hit_item):
-            own = hit_window[hit_item == item]
+        for column in np.unique(hit_item):
+            item, own = items[column], hit_window[hit_item == column]
             for run in np.split(own, np.flatnonzero(np.diff(chosen[own]) > span) + 1):
                 start = max(0, int(chosen[run[0]]) * STEP - longest)
                 stop = (int(chosen[run[-1]]) + span) * STEP + longest
                 low, high = np.searchsorted(at, (start, stop))
                 if common(masks[item], term[low:high].tolist()) >= SHARED * len(sequences[item]):
-                    yield int(item), start, stop, float(scores[run, item].max())
+                    yield int(item), start, stop, float(scores[run, column].max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

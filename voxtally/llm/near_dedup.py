@@ -1,6 +1,7 @@
 """Near-copies by a chosen-path set similarity join.
 
-A document is the set of its five-word shingles, stood for by ``TOKENS`` minwise tokens.
+A document is the set of its five-word shingles, stood for by ``TOKENS`` minwise tokens and a
+finer sketch that estimates similarities.
 Several independent trees branch the sets: at each node one or two token positions are
 chosen (4/3 on average, one over the similarity sought, so that a pair at the threshold is
 expected to stay together on one path), and sets with the same token there go on together.
@@ -27,30 +28,32 @@ from voxtally.llm.components import components
 from voxtally.session import cut_lineage
 
 PERCENT = 75
-TOKENS = 64
+TOKENS = 32
 TREES = 8
-NODE = 128  # sets outside a node's largest component that are compared exhaustively
+NODE = 1024  # sets outside a node's largest component that are compared exhaustively
 DEPTH = 16
-AGREE = 38  # of 64 tokens; a pair at 0.75 has fewer in 0.3 % of cases
+AGREE = 13  # of 32 tokens; a pair at 0.75 has fewer in one of 100,000 cases
+LIKELY = 66  # percent of 252 hash ranges; a pair at 0.75 has less in one of 2,000 cases
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 BATCH_BYTES = 4_000_000
 
-SIGNED = "doc_id bigint, key binary, n bigint, tokens array<int>"
+SIGNED = "doc_id bigint, key binary, n bigint, tokens array<int>, sketch array<bigint>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factors = shingles.multipliers(TOKENS)
     for batch in batches:
-        keys, sizes, tokens = [], [], []
+        keys, sizes, tokens, sketches = [], [], [], []
         for text in batch.column("text").cast(pa.large_binary()):
             found = shingles.shingle_set(text.as_py())
             sizes.append(len(found))
             keys.append(shingles.set_key(found) if len(found) else None)
             tokens.append(shingles.minwise(found, factors) if len(found) else None)
+            sketches.append(shingles.sketch(found) if len(found) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
-             pa.array(tokens, pa.list_(pa.int32()))],
-            names=["doc_id", "key", "n", "tokens"],
+             pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))],
+            names=["doc_id", "key", "n", "tokens", "sketch"],
         )
 
 
@@ -88,6 +91,22 @@ def _agreement(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
 
 
+def _filled(x: Column) -> Column:
+    """How many of the seven low bytes of a long are not zero."""
+    low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
+    return F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(high))
+
+
+def _likeness(x: Column, y: Column) -> Column:
+    """Estimated similarity in percent: equal hash ranges among those either set fills."""
+    def total(cells: Column) -> Column:
+        return F.aggregate(cells, F.lit(0), lambda n, cell: n + cell)
+
+    union = total(F.zip_with(x, y, lambda a, b: _filled(a.bitwiseOR(b))))
+    apart = total(F.zip_with(x, y, lambda a, b: _filled(a.bitwiseXOR(b))))
+    return 100 * (union - apart) / union
+
+
 def _root_positions() -> list[tuple[int, int]]:
     """(tree, position): one or two positions per tree, 4/3 on average, none twice."""
     draw, free, out = random.Random(4), list(range(TOKENS)), []
@@ -97,6 +116,10 @@ def _root_positions() -> list[tuple[int, int]]:
     return out
 
 
+def _root_token(tokens: str, i: Column) -> Column:
+    return F.get(tokens, F.get(F.array(*[F.lit(p) for _, p in _root_positions()]), i))
+
+
 class _Join:
     """State of one join: the classes of equal sets and the components found so far."""
 
@@ -105,24 +128,28 @@ class _Join:
         self.signed = cut_lineage(documents.select("doc_id", "text").mapInArrow(_sign, SIGNED))
         self.classes = cut_lineage(
             self.signed.where("n > 0").groupBy("key").agg(
-                F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+                F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"),
+                F.first("sketch").alias("sketch")))
         spark = documents.sparkSession
         self.labels = empty(spark, "key binary, root binary")
         self.tested = empty(spark, "a binary, b binary")
         self.sets = empty(spark, "key binary, members binary")
 
     def estimate(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sizes and tokens allow the similarity, with ``agree``."""
-        c = self.classes.select("key", "n", "tokens")
-        left = c.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-        right = c.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+        """Pairs (a, b) whose sizes and sketches allow the similarity, with ``like``."""
+        left, right = self.side("a"), self.side("b")
+        like = _likeness(F.col("a_sketch"), F.col("b_sketch"))
         return (
             pairs.join(left, "a").join(right, "b")
-            .where(_may(F.col("na"), F.col("nb")))
-            .select("a", "b", _agreement(F.col("ta"), F.col("tb")).alias("agree"))
-            .where(F.col("agree") >= AGREE)
+            .where(_may(F.col("a_n"), F.col("b_n"))
+                   & (_agreement(F.col("a_tokens"), F.col("b_tokens")) >= AGREE))
+            .select("a", "b", like.alias("like")).where(F.col("like") >= LIKELY)
         )
 
+    def side(self, name: str) -> DataFrame:
+        return self.classes.select(
+            F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "tokens", "sketch")])
+
     def fetch(self, keys: DataFrame) -> None:
         """Reads the full sets of the classes that were not needed before."""
         ids = cut_lineage(
@@ -177,29 +204,39 @@ class _Join:
     def across(self, mixed: DataFrame) -> DataFrame:
         """Candidate pairs of different components within nodes: each set outside the node's
         largest component with every set of another component."""
-        full = mixed.join(self.classes.select("key", "n", "tokens"), "key")
-        few = full.where(F.col("root") != F.col("major")).select(
-            "node", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"),
-            F.col("tokens").alias("tb"))
-        agree = _agreement(F.col("tokens"), F.col("tb"))
+        full = mixed.withColumnRenamed("key", "a").join(self.side("a"), "a")
+        few = mixed.where(F.col("root") != F.col("major")).select(
+            "node", F.col("key").alias("b"), F.col("root").alias("rb")).join(self.side("b"), "b")
+        # A pair meets in every node it shares; at the roots only the first of them counts.
+        again = F.exists(
+            F.sequence(F.lit(0), F.lit(len(_root_positions()) - 1)),
+            lambda i: (i < F.col("place")) & (_root_token("a_tokens", i) == _root_token("b_tokens", i)))
         met = full.join(few, "node").where(
-            (F.col("root") != F.col("rb")) & _may(F.col("n"), F.col("nb")) & (agree >= AGREE))
+            (F.col("root") != F.col("rb")) & _may(F.col("a_n"), F.col("b_n")) & ~again
+            & (_agreement(F.col("a_tokens"), F.col("b_tokens")) >= AGREE)
+            & (_likeness(F.col("a_sketch"), F.col("b_sketch")) >= LIKELY))
         return met.select(
-            F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"),
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
             F.least("root", "rb").alias("ra"), F.greatest("root", "rb").alias("rb"),
-            agree.alias("agree")).distinct()
+            _likeness(F.col("a_sketch"), F.col("b_sketch")).alias("like")).distinct()
 
     def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
-        """Works off one level of ``nodes`` (node, key); returns what has to branch."""
-        shared = nodes.groupBy("node").agg(F.count("*").alias("c"), F.min("key").alias("pivot")).where("c > 1")
-        members = cut_lineage(nodes.join(shared, "node").select("node", "key", "pivot"))
+        """Works off one level of ``nodes`` (node, key, place); returns what has to branch."""
+        shared = nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
+        members = cut_lineage(nodes.join(shared, "node").select("node", "key", "place", "c"))
+        # The pivot is the set that shares its tokens with most others: of many edited copies
+        # that is the text they were made from, or one close to it.
+        central = members.groupBy("key").agg(F.sum("c").alias("score"))
+        pivots = members.join(central, "key").groupBy("node").agg(
+            F.max(F.struct("score", "key")).alias("top")).select("node", F.col("top.key").alias("pivot"))
+        members = cut_lineage(members.join(pivots, "node").select("node", "key", "place", "pivot"))
         # One link to a pivot settles most nodes: each set tries the pivot most like it.
         star = self.estimate(
             members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
-        best = star.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a"))
+        best = star.groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a"))
         self.confirm(cut_lineage(best.select("a", "b").join(self.tested, ["a", "b"], "left_anti")))
 
-        members = members.select("node", "key")
+        members = members.select("node", "key", "place")
         mixed = cut_lineage(self.labelled(members))
         ready = mixed if last else mixed.where(F.col("minor") <= NODE)
         pairs = self.across(ready)
@@ -207,7 +244,7 @@ class _Join:
         if not pairs.isEmpty():
             # The likeliest pair of two components first; the rest only where it failed.
             first = pairs.groupBy("ra", "rb").agg(
-                F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p"))
+                F.max_by(F.struct("a", "b"), F.struct("like", "a", "b")).alias("p"))
             first = cut_lineage(first.select("p.a", "p.b"))
             self.confirm(first)
             rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
@@ -238,7 +275,7 @@ def _children(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return (
         nodes.join(classes.select("key", "tokens"), "key")
         .withColumn("p", F.explode(chosen))
-        .select(F.xxhash64("node", "p", F.get("tokens", F.col("p"))).alias("node"), "key")
+        .select(F.xxhash64("node", "p", F.get("tokens", F.col("p"))).alias("node"), "key", F.lit(0).alias("place"))
     )
 
 
@@ -252,13 +289,14 @@ def near_copies(documents: DataFrame) -> DataFrame:
     gives way to any other in its component. An empty table gives an empty one.
 
     Recall: a pair at 0.75 is missed by all root tokens with probability below 1e-6 and by
-    the token estimate in 0.3 %; both shrink fast above the threshold.
+    the estimates in 0.05 %; both shrink fast above the threshold.
     """
     join = _Join(documents)
     roots = F.array(*[
-        F.xxhash64(F.lit(tree), F.lit(p), F.get("tokens", F.lit(p))) for tree, p in _root_positions()
+        F.struct(F.xxhash64(F.lit(tree), F.lit(p), F.get("tokens", F.lit(p))).alias("node"), F.lit(i).alias("place"))
+        for i, (tree, p) in enumerate(_root_positions())
     ])
-    nodes: DataFrame | None = join.classes.select(F.explode(roots).alias("node"), "key")
+    nodes: DataFrame | None = join.classes.select(F.inline(roots), "key")
     for depth in range(1, DEPTH + 1):
         nodes = join.level(nodes, last=depth == DEPTH)
         if nodes is None:

@@ -10,6 +10,8 @@ import xxhash
 
 WIDTH = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+SKETCH = 36  # longs of seven hash ranges each
+_EDGES = np.arange(7 * SKETCH, dtype=np.uint64) * np.uint64(2**64 // (7 * SKETCH))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -75,6 +77,19 @@ def minwise(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """``SKETCH`` longs of seven bytes: the smallest shingle of each range of hashes, as one
+    byte from 1 to 255, or 0 for an empty range. Of a sorted set."""
+    at = np.searchsorted(shingles, _EDGES)
+    held = at < np.append(at[1:], len(shingles))
+    values = np.zeros((SKETCH, 8), np.uint8)
+    picked = ((shingles[at[held]] * _MIX1) >> np.uint64(56)) % np.uint64(255) + np.uint64(1)
+    cells = np.zeros(7 * SKETCH, np.uint8)
+    cells[held] = picked
+    values[:, :7] = cells.reshape(SKETCH, 7)
+    return values.view(np.int64).ravel()
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     """100 * intersection >= percent * union, of sorted sets without repeats."""
     if not len(a) or not len(b):

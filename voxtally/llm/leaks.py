@@ -6,8 +6,8 @@ words that stand in many items are stop words. Documents are read once into posi
 terms. Over all their passages come document frequencies, then a randomised singular value
 decomposition of the TF-IDF matrix: each pass multiplies it by a thin matrix where the
 passages are and sums the small products by term. Every window of every document is compared
-by cosine in that space with every item of whose terms the document has enough at all; what is
-near enough must share a long common subsequence of words with the item and, when reworded,
+by cosine in that space with every item of whose terms its part of the text has enough at all;
+what is near enough must share a long common subsequence of words with the item and, when reworded,
 its answer.
 """
 
@@ -26,10 +26,10 @@ from voxtally.session import cut_lineage
 ITEMS = 2000
 PASSAGE, STEP = 32, 8  # words of a passage, words from one window to the next
 WINDOWS = (16, 32)  # words of the windows compared: short items drown in long windows
-RANK, POWER = 32, 1
+RANK, POWER = 24, 1
 STOP_SHARE, STOP_ITEMS = 0.05, 20
 COSINE = 0.5
-SHARED = 0.4  # of an item's terms, in order, before a text is fetched
+SHARED = 0.45  # of an item's terms, in order, before a text is fetched
 COPIED, REWORDED, ANSWERED = 0.75, 0.55, 0.8
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 _OUTER = b".,;:!?\"'()[]{}<>"
@@ -235,17 +235,25 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
     enough = np.array([SHARED * len(own) for own in sequences])
 
     def possible(term: np.ndarray) -> np.ndarray:
-        """Items of which the document has enough terms, anywhere; no other can be found."""
+        """Items of which the part has enough terms, anywhere; no other can be found in it."""
         own = np.unique(term)
         low, n = first[own], first[own + 1] - first[own]
         at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         counts = np.bincount(items_of[at], minlength=len(sequences))
         return np.flatnonzero((counts > 0) & (counts >= enough))
 
-    def near(at: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        items = possible(term)
-        if not len(items):
-            return
+    # Whatever a window can find lies within one of the overlapping parts of a text.
+    reach = -(-(max(WINDOWS) + 2 * longest) // STEP) * STEP
+
+    def parts(at: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        for begin in range(0, max(1, int(at[-1]) - reach + 1), reach):
+            low, high = np.searchsorted(at, (begin, begin + 2 * reach))
+            items = possible(term[low:high]) if low < high else ()
+            if len(items):
+                for item, start, stop, cosine in near(at[low:high] - begin, term[low:high], items):
+                    yield item, start + begin, stop + begin, cosine
+
+    def near(at: np.ndarray, term: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         cell = at // STEP
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         sums = np.zeros((int(cell[-1]) + max(WINDOWS) // STEP, terms.shape[1]), np.float32)
@@ -274,7 +282,7 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
                 (doc_id.as_py(), *hit)
                 for doc_id, at, term in zip(
                     batch.column("doc_id"), _lists(batch.column("at")), _lists(batch.column("term")))
-                for hit in near(at, term)
+                for hit in parts(at, term)
             ]
             columns = list(zip(*out)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())

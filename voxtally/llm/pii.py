@@ -274,9 +274,16 @@ def all_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int, bool]
 
 
 def sample(documents: DataFrame, most: int = TRAIN_DOCUMENTS) -> list[str]:
-    """At most ``most`` texts with a digit or an at sign, chosen by a hash of the id."""
-    rows = documents.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("doc_id").alias("__o"))
-    return [r["text"] for r in rows.orderBy("__o", "text").limit(most).collect()]
+    """At most ``most`` texts with a digit or an at sign, chosen by a hash of the id.
+
+    A share of the hash range is taken that holds about ``most`` texts, so no task sends the
+    driver many more than its part of them.
+    """
+    rows = documents.where(F.col("text").rlike("[0-9@]")).select(
+        "text", F.pmod(F.xxhash64("doc_id"), F.lit(2**32)).alias("__o"))
+    share = min(1.0, most / max(1, rows.count()))
+    chosen = rows.where(F.col("__o") < F.lit(int(share * 2**32)))
+    return [r["text"] for r in chosen.orderBy("__o", "text").limit(most).collect()]
 
 
 def find(documents: DataFrame, weights: np.ndarray | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ TREES = 8
 NODE = 1024  # sets outside a node's largest component that are compared exhaustively
 DEPTH = 16
 AGREE = 13  # of 32 tokens; a pair at 0.75 has fewer in one of 100,000 cases
-LIKELY = 66  # percent of 252 hash ranges; a pair at 0.75 has less in one of 2,000 cases
+LIKELY = 68  # percent of 252 hash ranges; a pair at 0.75 has less in one of 200 cases
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 BATCH_BYTES = 4_000_000
 
@@ -289,7 +289,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
     gives way to any other in its component. An empty table gives an empty one.
 
     Recall: a pair at 0.75 is missed by all root tokens with probability below 1e-6 and by
-    the estimates in 0.05 %; both shrink fast above the threshold.
+    the estimates in 0.5 %; both shrink fast above the threshold.
     """
     join = _Join(documents)
     roots = F.array(*[

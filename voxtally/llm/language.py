@@ -50,14 +50,21 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
-    """A model of at most ``per_language`` labelled texts of each language, by id hash."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text")
-    rows = (
-        labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-        .withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
-        .select("lang", "text").collect()
-    )
-    return Model([(r["lang"], r["text"]) for r in rows])
+    """A model of at most ``per_language`` labelled texts of each language, by id hash.
+
+    Of each language a share of the hash range is drawn first that holds about twice as many
+    texts, so that what is ranked does not grow with the table.
+    """
+    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select(
+        "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(2**32)).alias("__o"))
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    shares = [x for lang, n in counts for x in (F.lit(lang), F.lit(int(min(1.0, 2 * per_language / n) * 2**32)))]
+    if not shares:
+        return Model([])
+    order = Window.partitionBy("lang").orderBy("__o", "text")
+    drawn = rows.where(F.col("__o") < F.element_at(F.create_map(*shares), F.col("lang")))
+    chosen = drawn.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
+    return Model([(r["lang"], r["text"]) for r in chosen.select("lang", "text").collect()])
 
 
 def visible(html: Column) -> Column:

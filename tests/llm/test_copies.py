@@ -110,6 +110,26 @@ class TestNearCopies:
         got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_copies(documents(spark, data)).collect()}
         assert got == brute_components(data)
 
+    def test_pair_that_shares_a_branching_node_first(self, spark, monkeypatch):
+        monkeypatch.setattr(near_dedup, "NODE", 2)
+        draw = random.Random(12)
+        shared = sentence(draw, 44)
+        data = [(i, " ".join(shared + sentence(draw, 40))) for i in range(9)]
+        near = words(data[0][1])
+        near[50], near[70] = "e", "f"  # 70 of 90 shingles
+        join = near_dedup._Join(documents(spark, [*data, (9, " ".join(near))]))
+        rows = {r["rep"]: r for r in join.classes.collect()}
+        first = next(i for i, (_, p) in enumerate(near_dedup._root_positions())
+                     if rows[0]["tokens"][p] == rows[9]["tokens"][p])
+        # All meet where both share a token first; later the two meet a pivot unlike either.
+        members = [(1, i, first) for i in range(10)] + [(2, i, first + 1) for i in (0, 8, 9)]
+        members += [(3, i, first + 2) for i in range(1, 9)]
+        nodes = spark.createDataFrame([(n, rows[i]["key"], at, 0) for n, i, at in members],
+                                      "node long, key binary, place int, used long")
+        join.level(nodes, last=False)
+        held = {bytes(r["key"]): bytes(r["root"]) for r in join.labels.collect()}
+        assert held[bytes(rows[0]["key"])] == held[bytes(rows[9]["key"])]
+
     def test_one_of_each_and_odd_rows(self, spark):
         text = " ".join(f"w{i}" for i in range(30))
         rows = [(5, text), (3, text), (3, text), (None, text), (7, None), (7, None), (8, "own words here"), (8, "others")]

@@ -201,16 +201,21 @@ class _Join:
             "node", F.col("top.root").alias("major"), (F.col("total") - F.col("top.c")).alias("minor"))
         return known.join(nodes, "node")
 
-    def across(self, mixed: DataFrame) -> DataFrame:
+    def across(self, mixed: DataFrame, large: DataFrame) -> DataFrame:
         """Candidate pairs of different components within nodes: each set outside the node's
-        largest component with every set of another component."""
+        largest component with every set of another component. ``large``: nodes that branch."""
         full = mixed.withColumnRenamed("key", "a").join(self.side("a"), "a")
         few = mixed.where(F.col("root") != F.col("major")).select(
             "node", F.col("key").alias("b"), F.col("root").alias("rb")).join(self.side("b"), "b")
-        # A pair meets in every node it shares; at the roots only the first of them counts.
+        # A pair meets in every node it shares; at the roots only the first of them that is
+        # compared counts. One that branches is not, and a set has the same one at its place.
+        branching = large.groupBy(F.col("key").alias("b")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place"))).alias("branching"))
+        few = few.join(branching, "b", "left")
         again = F.exists(
             F.sequence(F.lit(0), F.lit(len(_root_positions()) - 1)),
-            lambda i: (i < F.col("place")) & (_root_token("a_tokens", i) == _root_token("b_tokens", i)))
+            lambda i: (i < F.col("place")) & (_root_token("a_tokens", i) == _root_token("b_tokens", i))
+            & (F.getbit(F.coalesce("branching", F.lit(0)), i) == 0))
         met = full.join(few, "node").where(
             (F.col("root") != F.col("rb")) & _may(F.col("a_n"), F.col("b_n")) & ~again
             & (_agreement(F.col("a_tokens"), F.col("b_tokens")) >= AGREE)
@@ -239,7 +244,8 @@ class _Join:
         members = members.select("node", "key", "place")
         mixed = cut_lineage(self.labelled(members))
         ready = mixed if last else mixed.where(F.col("minor") <= NODE)
-        pairs = self.across(ready)
+        large = mixed.where(F.lit(not last) & (F.col("minor") > NODE))
+        pairs = self.across(ready, large)
         pairs = cut_lineage(pairs.join(self.tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             # The likeliest pair of two components first; the rest only where it failed.
@@ -255,8 +261,7 @@ class _Join:
             self.confirm(cut_lineage(rest.select("a", "b")))
         if last:
             return None
-        large = mixed.where(F.col("minor") > NODE).select("node", "key")
-        large = cut_lineage(large)
+        large = cut_lineage(large.select("node", "key"))
         return None if large.isEmpty() else large
 
 

@@ -130,6 +130,14 @@ class TestNearCopies:
         held = {bytes(r["key"]): bytes(r["root"]) for r in join.labels.collect()}
         assert held[bytes(rows[0]["key"])] == held[bytes(rows[9]["key"])]
 
+    def test_estimate_admits_pairs_at_the_threshold(self, spark):
+        a = [f"w23x{i}" for i in range(3504)]
+        b = [f"e23x{i // 35}" if i % 35 == 2 and i < 3500 else w for i, w in enumerate(a)]
+        # 3002 of 3998 shingles, of which the sketch sees 67.5 percent
+        join = near_dedup._Join(documents(spark, [(0, " ".join(a)), (1, " ".join(b))]))
+        x, y = (r["key"] for r in join.classes.collect())
+        assert join.estimate(spark.createDataFrame([(x, y)], "a binary, b binary")).count() == 1
+
     def test_one_of_each_and_odd_rows(self, spark):
         text = " ".join(f"w{i}" for i in range(30))
         rows = [(5, text), (3, text), (3, text), (None, text), (7, None), (7, None), (8, "own words here"), (8, "others")]

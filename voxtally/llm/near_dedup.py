@@ -33,7 +33,7 @@ TREES = 8
 NODE = 1024  # sets outside a node's largest component that are compared exhaustively
 DEPTH = 16
 AGREE = 13  # of 32 tokens; a pair at 0.75 has fewer in one of 100,000 cases
-LIKELY = 68  # percent of 252 hash ranges; a pair at 0.75 has less in one of 200 cases
+LIKELY = 61  # percent of 252 hash ranges; 5 standard deviations below a pair at 0.75
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 BATCH_BYTES = 4_000_000
 
@@ -293,8 +293,9 @@ def near_copies(documents: DataFrame) -> DataFrame:
     itself. Rows with the same id and text are the same document and both kept; a null id
     gives way to any other in its component. An empty table gives an empty one.
 
-    Recall: a pair at 0.75 is missed by all root tokens with probability below 1e-6 and by
-    the estimates in 0.5 %; both shrink fast above the threshold.
+    Recall: a pair at 0.75 is missed by all root tokens with probability below 1e-6, by
+    ``AGREE`` below 1e-5 and by ``LIKELY``, 5 standard deviations away, in about 1e-6;
+    all shrink fast above the threshold.
     """
     join = _Join(documents)
     roots = F.array(*[

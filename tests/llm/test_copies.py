@@ -138,6 +138,24 @@ class TestNearCopies:
         x, y = (r["key"] for r in join.classes.collect())
         assert join.estimate(spark.createDataFrame([(x, y)], "a binary, b binary")).count() == 1
 
+    def test_children_use_new_positions_and_keep_pairs(self, spark):
+        draw = random.Random(13)
+        pairs = []
+        for i in range(300):  # two sets that agree in three quarters of their tokens
+            a = [draw.randrange(2**31) for _ in range(32)]
+            other = draw.sample(range(32), 8)
+            b = [-1 if p in other else x for p, x in enumerate(a)]
+            pairs += [(f"a{i}".encode(), a), (f"b{i}".encode(), b)]
+        classes = spark.createDataFrame(pairs, "key binary, tokens array<int>")
+        nodes = classes.select(F.substring("key", 2, 9).cast("string").cast("long").alias("node"), "key",
+                               F.lit(1 << 5).cast("bigint").alias("used"))
+        for depth in (2, 3, 4):
+            nodes = near_dedup._children(nodes, classes).localCheckpoint()
+            assert {r[0] for r in nodes.select(F.bit_count("used")).distinct().collect()} == {depth}
+        together = nodes.groupBy("node").agg(F.count_distinct("key").alias("n"), F.first("key").alias("key")).where("n = 2")
+        left = together.select(F.substring("key", 2, 9)).distinct().count()
+        assert left >= 0.85 * 300  # one position in two of three nodes would keep some 60 percent
+
     def test_one_of_each_and_odd_rows(self, spark):
         text = " ".join(f"w{i}" for i in range(30))
         rows = [(5, text), (3, text), (3, text), (None, text), (7, None), (7, None), (8, "own words here"), (8, "others")]

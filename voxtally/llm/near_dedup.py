@@ -2,9 +2,10 @@
 
 A document is the set of its five-word shingles, stood for by ``TOKENS`` minwise tokens and a
 finer sketch that estimates similarities.
-Several independent trees branch the sets: at each node one or two token positions are
-chosen (4/3 on average, one over the similarity sought, so that a pair at the threshold is
-expected to stay together on one path), and sets with the same token there go on together.
+Several independent trees branch the sets: at each node ``BRANCHES`` token positions not yet
+used on its path are chosen, and sets with the same token there go on together. One position
+over the similarity sought would only just keep a pair at the threshold and lose more with
+every level; three keep it on ever more paths.
 A small node is compared exhaustively. Candidates are confirmed on full sets.
 
 Only components are asked for, so a node needs no further work once its sets are in one
@@ -32,6 +33,7 @@ TOKENS = 32
 TREES = 8
 NODE = 1024  # sets outside a node's largest component that are compared exhaustively
 DEPTH = 16
+BRANCHES = 3
 AGREE = 13  # of 32 tokens; a pair at 0.75 has fewer in one of 100,000 cases
 LIKELY = 61  # percent of 252 hash ranges; 5 standard deviations below a pair at 0.75
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
@@ -210,7 +212,7 @@ class _Join:
         # A pair meets in every node it shares; at the roots only the first of them that is
         # compared counts. One that branches is not, and a set has the same one at its place.
         branching = large.groupBy(F.col("key").alias("b")).agg(
-            F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place"))).alias("branching"))
+            F.bit_or(_bit(F.col("place"))).alias("branching"))
         few = few.join(branching, "b", "left")
         again = F.exists(
             F.sequence(F.lit(0), F.lit(len(_root_positions()) - 1)),
@@ -226,22 +228,22 @@ class _Join:
             _likeness(F.col("a_sketch"), F.col("b_sketch")).alias("like")).distinct()
 
     def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
-        """Works off one level of ``nodes`` (node, key, place); returns what has to branch."""
+        """Works off one level of ``nodes`` (node, key, place, used); returns what has to branch."""
         shared = nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-        members = cut_lineage(nodes.join(shared, "node").select("node", "key", "place", "c"))
+        members = cut_lineage(nodes.join(shared, "node").select("node", "key", "place", "used", "c"))
         # The pivot is the set that shares its tokens with most others: of many edited copies
         # that is the text they were made from, or one close to it.
         central = members.groupBy("key").agg(F.sum("c").alias("score"))
         pivots = members.join(central, "key").groupBy("node").agg(
             F.max(F.struct("score", "key")).alias("top")).select("node", F.col("top.key").alias("pivot"))
-        members = cut_lineage(members.join(pivots, "node").select("node", "key", "place", "pivot"))
+        members = cut_lineage(members.join(pivots, "node").select("node", "key", "place", "used", "pivot"))
         # One link to a pivot settles most nodes: each set tries the pivot most like it.
         star = self.estimate(
             members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
         best = star.groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a"))
         self.confirm(cut_lineage(best.select("a", "b").join(self.tested, ["a", "b"], "left_anti")))
 
-        members = members.select("node", "key", "place")
+        members = members.select("node", "key", "place", "used")
         mixed = cut_lineage(self.labelled(members))
         ready = mixed if last else mixed.where(F.col("minor") <= NODE)
         large = mixed.where(F.lit(not last) & (F.col("minor") > NODE))
@@ -261,7 +263,7 @@ class _Join:
             self.confirm(cut_lineage(rest.select("a", "b")))
         if last:
             return None
-        large = cut_lineage(large.select("node", "key"))
+        large = cut_lineage(large.select("node", "key", "used"))
         return None if large.isEmpty() else large
 
 
@@ -270,20 +272,24 @@ def _may(n: Column, m: Column) -> Column:
 
 
 def _children(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each node chooses one position, every third node two, by a hash of its path."""
-    def position(salt: int) -> Column:
-        return F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(TOKENS)).cast("int")
+    """Each node chooses ``BRANCHES`` positions by a hash of its path, which has used none."""
+    free = F.filter(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda p: F.getbit("used", p) == 0)
 
-    chosen = F.when(
-        F.pmod(F.xxhash64("node", F.lit(0)), F.lit(3)) == 0, F.array_distinct(F.array(position(1), position(2)))
-    ).otherwise(F.array(position(1)))
+    drawn = F.transform(free, lambda p: F.struct(F.xxhash64("node", p).alias("at"), p.alias("p")))
+    chosen = F.slice(F.array_sort(drawn), 1, BRANCHES)
     return (
-        nodes.join(classes.select("key", "tokens"), "key")
-        .withColumn("p", F.explode(chosen))
-        .select(F.xxhash64("node", "p", F.get("tokens", F.col("p"))).alias("node"), "key", F.lit(0).alias("place"))
+        nodes.withColumn("chosen", chosen["p"])
+        .join(classes.select("key", "tokens"), "key")
+        .withColumn("p", F.explode("chosen"))
+        .select(F.xxhash64("node", "p", F.get("tokens", F.col("p"))).alias("node"), "key", F.lit(0).alias("place"),
+                F.col("used").bitwiseOR(_bit(F.col("p"))).alias("used"))
     )
 
 
+def _bit(p: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), p)
+
+
 def near_copies(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept``: one row per row of ``documents``.
 
@@ -295,11 +301,14 @@ def near_copies(documents: DataFrame) -> DataFrame:
 
     Recall: a pair at 0.75 is missed by all root tokens with probability below 1e-6, by
     ``AGREE`` below 1e-5 and by ``LIKELY``, 5 standard deviations away, in about 1e-6;
-    all shrink fast above the threshold.
+    all shrink fast above the threshold. If each root node it shares has to branch (more than
+    ``NODE`` sets outside the largest component), it is lost in about 2e-5 after 4 levels,
+    7e-5 after 8, 3e-4 after 12 and 2e-3 after 15, simulated with 32 positions.
     """
     join = _Join(documents)
     roots = F.array(*[
-        F.struct(F.xxhash64(F.lit(tree), F.lit(p), F.get("tokens", F.lit(p))).alias("node"), F.lit(i).alias("place"))
+        F.struct(F.xxhash64(F.lit(tree), F.lit(p), F.get("tokens", F.lit(p))).alias("node"), F.lit(i).alias("place"),
+                 F.lit(1 << p).cast("bigint").alias("used"))
         for i, (tree, p) in enumerate(_root_positions())
     ])
     nodes: DataFrame | None = join.classes.select(F.inline(roots), "key")

@@ -207,6 +207,18 @@ class TestPassages:
         clean = set(range(120)) - set(planted) - near
         assert not clean & set(found) and not {201, 202, 203, 204} & set(found)
 
+    def test_near_passages_at_the_threshold(self, spark):
+        draw = random.Random(14)
+        rows = []
+        for i in range(300):
+            passage = sentence(draw, 50, 10**6)
+            near = list(passage)
+            near[22], near[23] = "e", "f"  # 40 of 52 shingles, and one alignment only
+            for doc_id, own in ((2 * i, passage), (2 * i + 1, near)):
+                rows.append((doc_id, " ".join(sentence(draw, 40, 10**6) + own + sentence(draw, 40, 10**6))))
+        found = {r["doc_id"] for r in passages.repeated_passages(documents(spark, rows)).collect()}
+        assert len(found) >= 298
+
     def test_empty(self, spark):
         assert passages.repeated_passages(documents(spark, [])).count() == 0
         assert passages.repeated_passages(documents(spark, [(1, "a"), (2, None)])).count() == 0

@@ -264,6 +264,24 @@ class TestLeaks:
         left = {r["doc_id"] for r in leaks.without_leaks(df, bench).collect()}
         assert left == {i for i, _ in rows} - {i for i, _ in want}
 
+    def test_terms_asked_for_never_exceed_those_of_an_accepted_rewording(self):
+        stop = [f"s{i}" for i in range(10)]
+        items = []
+        for i in range(30):
+            own = [f"i{i}x{k}" for k in range(14)]
+            items.append((i, " ".join(stop + own[:10]) + ". " + " ".join(own[10:]) + "."))
+        block = leaks.Block([(i, t.encode()) for i, t in items])
+        for words_, answer, own, enough in zip(block.words, block.answers, block.sequences, block.enough):
+            kept = words_[:10] + words_[20:]  # function words and answer stay, content words go
+            assert leaks.common(leaks.masks_of(words_), kept) >= leaks.REWORDED * len(words_)
+            assert kept[-len(answer):] == answer
+            assert leaks.common(leaks.masks_of(own), [block.terms[w] for w in kept if w in block.terms]) >= enough
+
+    def test_terms_asked_for_by_length(self):
+        block = leaks.Block([(n, " ".join(f"n{n}x{k}" for k in range(n)).encode()) for n in range(5, 120)])
+        for words_, enough in zip(block.words, block.enough):
+            assert enough / len(words_) >= leaks.REWORDED > (enough - 1) / len(words_)
+
     def test_blocks_find_the_same(self, spark, monkeypatch):
         draw = random.Random(10)
         items = [(i, " ".join(sentence(draw, 20, 3000))) for i in range(12)]

@@ -29,7 +29,6 @@ WINDOWS = (16, 32)  # words of the windows compared: short items drown in long w
 RANK, POWER = 24, 1
 STOP_SHARE, STOP_ITEMS = 0.05, 20
 COSINE = 0.5
-SHARED = 0.45  # of an item's terms, in order, before a text is fetched
 COPIED, REWORDED, ANSWERED = 0.75, 0.55, 0.8
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 _OUTER = b".,;:!?\"'()[]{}<>"
@@ -88,6 +87,11 @@ class Block:
         })
         self.terms = {w: i for i, w in enumerate(terms)}
         self.sequences = [[self.terms[w] for w in words if w in self.terms] for words in self.words]
+        # Terms in order without which an item cannot be found, were every other word of it there.
+        self.enough = [
+            max(1, next(c for c in range(len(words) + 1) if c / max(1, len(words)) >= REWORDED or c == len(words)) - len(words) + len(own))
+            for words, own in zip(self.words, self.sequences)
+        ]
 
 
 class _Terms(dict):
@@ -232,7 +236,7 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
     held = sorted((t, i) for i, own in enumerate(sequences) for t in own)
     items_of = np.array([i for _, i in held], np.int64)
     first = np.searchsorted([t for t, _ in held], np.arange(len(weights) + 1))
-    enough = np.array([SHARED * len(own) for own in sequences])
+    enough = np.array(block.enough)
 
     def possible(term: np.ndarray) -> np.ndarray:
         """Items of which the part has enough terms, anywhere; no other can be found in it."""
@@ -273,7 +277,7 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
                 start = max(0, int(chosen[run[0]]) * STEP - longest)
                 stop = (int(chosen[run[-1]]) + span) * STEP + longest
                 low, high = np.searchsorted(at, (start, stop))
-                if common(masks[item], term[low:high].tolist()) >= SHARED * len(sequences[item]):
+                if common(masks[item], term[low:high].tolist()) >= enough[item]:
                     yield int(item), start, stop, float(scores[run, column].max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

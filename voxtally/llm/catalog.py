@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxtally.llm import copy_queries, filter_queries, text_queries  # noqa: F401
+from voxtally.llm import copy_queries, filter_queries, manifest_queries, text_queries  # noqa: F401
 from voxtally.llm.registry import RUNS, SQL, Run
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import merkle
+from voxtally.llm import merkle, whitening
 from voxtally.llm.common import table
 from voxtally.llm.registry import query
 
@@ -13,3 +13,9 @@ from voxtally.llm.registry import query
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     leaves = merkle.document_leaves(table(spark, folder, "documents"))
     return merkle.manifest(leaves, "source", ["doc_id"], carried=["doc_id"])
+
+
+@query("op13_whitening")
+def whitened(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, "embedding")

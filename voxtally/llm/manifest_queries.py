@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxtally.llm import merkle, whitening
+from voxtally.llm import credentials, merkle, whitening
 from voxtally.llm.common import table
 from voxtally.llm.registry import query
 
@@ -19,3 +20,15 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 def whitened(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return whitening.whiten(vectors, "embedding")
+
+
+@query("op12_credentials")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = credentials.find(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [
+        F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        for kind in credentials.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(credentials.written(F.col("base")), 256).alias("base_sha256"),
+        credentials.written(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"))

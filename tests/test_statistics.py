@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtally.functions import agreement as stat
 from voxtally.operators import agreement
-from voxtally.operators.order_statistics import exact_percentiles, order_statistics
+from voxtally.operators.order_statistics import exact_percentiles, narrowed, order_statistics
 
 PROBS = {"p0": 0.0, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p100": 1.0}
 
@@ -20,8 +20,8 @@ def test_percentiles_equal_numpy_with_one_hot_group_and_many_ties(spark):
     }
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None), ("none", None)]
     df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
-    for ranges in (32, 2):
-        got = {r.k: r for r in exact_percentiles(df, ["k"], "v", PROBS, ranges=ranges).collect()}
+    for options in ({}, {"bound": 64}, {"bound": 4, "ranges": 2}):
+        got = {r.k: r for r in exact_percentiles(df, ["k"], "v", PROBS, **options).collect()}
         assert set(got) == set(groups)
         for k, values in groups.items():
             assert got[k].n == len(values)
@@ -29,6 +29,27 @@ def test_percentiles_equal_numpy_with_one_hot_group_and_many_ties(spark):
                 assert got[k][name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-300), (k, name)
 
 
+def test_one_group_is_narrowed_in_several_rounds(spark):
+    df = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 50 = 7 THEN 'few' WHEN id % 50 < 48 THEN 'hot' END AS k",
+        "CASE WHEN id % 11 = 0 THEN 5D ELSE cast(xxhash64(id) % 100000 AS DOUBLE) / 7 END AS v")
+    ranks = {"median": lambda n: F.lit(0.5) * (n - 1), "p99": lambda n: F.lit(0.99) * (n - 1), "last": lambda n: n - 1}
+    freq = df.groupBy("k", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    rows, rounds = narrowed(freq, ["k"], ranks, bound=20, ranges=4)
+    sizes = rows.groupBy("k", "_range").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_start").alias("starts"))
+    assert rounds >= 4
+    worst = sizes.agg(F.max("n"), F.max("starts")).first()
+    assert worst[0] <= 20 and worst[1] == 1
+    assert rows.count() < 20 * 3 * 6  # three kinds of group, six wanted ranks at most
+    want = {r.k: r for r in df.groupBy("k").agg(
+        F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.99).alias("p99"), F.max("v").alias("last")).collect()}
+    for options in ({"bound": 20, "ranges": 4}, {"bound": 100}, {}):
+        got = {r.k: r for r in order_statistics(df, ["k"], "v", ranks, **options).collect()}
+        assert set(got) == {"hot", "few", None}
+        for k, r in got.items():
+            assert (r.median, r.p99, r["last"]) == pytest.approx((want[k].median, want[k].p99, want[k]["last"]), rel=1e-12)
+
+
 def test_global_order_statistics(spark):
     df = spark.createDataFrame([(v,) for v in (5, 3, 9, 1, 7, 7, 2)], "v INT")
     row = order_statistics(df, [], "v", {

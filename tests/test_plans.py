@@ -4,10 +4,11 @@ import re
 
 from pyspark.sql import functions as F
 
-from voxtally.operators import intensity, regions
+from voxtally.operators import agreement, intensity, regions
 from voxtally.plans import bindings as b
 from voxtally.session import run_folder
 from voxtally.sources import tables
+from voxtally.sources.stored_voxels import open_voxels, store_voxels
 
 
 def physical(df) -> str:
@@ -43,6 +44,27 @@ def test_statistics_are_broadcast_only_below_the_planners_bound(spark):
 
 
 
+def test_stored_voxels_join_without_moving_rows(spark):
+    path = run_folder(spark, "test-buckets")
+    rows = [(f"{s:04d}", x, y, 0, 1 + x % 2) for s in range(3) for x in range(9) for y in range(9)]
+    voxels = spark.createDataFrame(rows, "subject_id STRING, x INT, y INT, z INT, label INT")
+    sides = {"a": voxels.where("x < 6"), "b": voxels.where("x > 2")}
+    stored = [store_voxels(rows, f"{path}/{name}", buckets=5) for name, rows in sides.items()]
+    again = [open_voxels(spark.newSession(), f"{path}/{name}") for name in sides]
+    loose = physical(agreement.aligned_pair(*sides.values()))
+    assert "Exchange" in loose
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for pair in (stored, again):
+        pair[0].sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = agreement.aligned_pair(*pair)
+        assert "SortMergeJoin" in physical(joined) and "Exchange" not in physical(joined)
+        counts = agreement.confusion_counts(joined)
+        assert physical(counts).count("Exchange") == 1  # partial counts only
+        want = agreement.confusion_counts(agreement.aligned_pair(*sides.values()))
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
 def test_flat_and_empty_volumes(spark):
     rows = [("flat", i, 5.0 if i < 4 else 0.0) for i in range(8)] + [("empty", i, 0.0) for i in range(8)]
     voxels = spark.createDataFrame(

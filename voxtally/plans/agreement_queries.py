@@ -18,6 +18,8 @@ from voxtally.plans.bindings import (
 )
 from voxtally.plans.region_queries import matrix
 from voxtally.plans.registry import query
+from voxtally.session import run_folder
+from voxtally.sources.stored_voxels import store_voxels
 
 COUNTS_SQL = f"""
 counts AS (
@@ -111,6 +113,21 @@ def j2(spark, folder):
     return agreement.aligned_pair(pred, ref, grid)
 
 
+def stored_maps(spark, folder):
+    """Both label maps as sparse voxel tables, stored in the same buckets."""
+    path, voxels = run_folder(spark, "label-maps"), b.volumes(spark, folder)
+    return [
+        store_voxels(voxels.where(F.col(side) > 0).select("subject_id", "x", "y", "z", F.col(side).alias("label")),
+                     f"{path}/{side}")
+        for side in ("pred", "ref")]
+
+
+@query("j2_stored_pair", with_ctes(VOLUMES_SQL, select="""
+SELECT subject_id, x, y, z, pred, ref FROM volumes"""))
+def j2_stored(spark, folder):
+    return agreement.aligned_pair(*stored_maps(spark, folder), b.grids(spark, folder).select("subject_id", "shape"))
+
+
 PAIRS_SQL = """
 pairs AS (
   SELECT subject_id, label, compartment, p.pct_of_parcel AS pct_pred, r.pct_of_parcel AS pct_ref,

@@ -8,18 +8,30 @@ from voxtally.operators import intensity as ops
 from voxtally.plans import bindings as b
 from voxtally.plans.bindings import CELLS_SQL, INTENSITY_SQL, VOLUMES_SQL, with_ctes
 from voxtally.plans.registry import query
+from voxtally.session import run_folder
+from voxtally.sources.stored_voxels import store_voxels
 
 COLUMNS = ["subject_id", "channel", "x", "y", "z"]
 
 
-@query("p22_roi_masking", with_ctes(INTENSITY_SQL, select="""
-SELECT subject_id, channel, x, y, z, CASE WHEN in_mask THEN v ELSE 0 END AS v FROM intensity"""))
+MASKED_SQL = with_ctes(INTENSITY_SQL, select="""
+SELECT subject_id, channel, x, y, z, CASE WHEN in_mask THEN v ELSE 0 END AS v FROM intensity""")
+
+
+@query("p22_roi_masking", MASKED_SQL)
 def p22(spark, folder):
     volumes = b.intensity(spark, folder)
     mask = volumes.where("in_mask AND channel = 'T1'")
     return ops.roi_masked(volumes, mask).select(*COLUMNS, "v")
 
 
+@query("p22_stored_masking", MASKED_SQL)
+def p22_stored(spark, folder):
+    path, volumes = run_folder(spark, "masked"), b.intensity(spark, folder)
+    mask = store_voxels(volumes.where("in_mask AND channel = 'T1'").select(*ops.VOXEL), f"{path}/mask")
+    return ops.roi_masked(store_voxels(volumes.drop("in_mask"), f"{path}/volumes"), mask).select(*COLUMNS, "v")
+
+
 @query("p23_zscore_in_mask", with_ctes(INTENSITY_SQL, """
 st AS (SELECT subject_id, channel, avg(v) AS mu, stddev_pop(v) + 1e-8 AS sd FROM intensity WHERE in_mask GROUP BY 1, 2)""",
        select="""
@@ -75,18 +87,28 @@ def visits(spark, folder):
         (number % 10).alias("timepoint"), "channel", "x", "y", "z", "v")
 
 
-@query("a30_reference_correlation", with_ctes(INTENSITY_SQL, """
+CORRELATION_SQL = with_ctes(INTENSITY_SQL, """
 vis AS (SELECT CAST(subject_id AS INTEGER) // 10 AS patient_id, CAST(subject_id AS INTEGER) % 10 AS timepoint,
                channel, x, y, z, v FROM intensity)""", select="""
 SELECT a.patient_id, a.timepoint, a.channel,
   CASE WHEN stddev_pop(a.v) > 0 AND stddev_pop(r.v) > 0
        THEN covar_pop(a.v, r.v) / (stddev_pop(a.v) * stddev_pop(r.v)) END AS r
 FROM vis a JOIN vis r ON r.timepoint = 0 AND r.patient_id = a.patient_id AND r.channel = a.channel
-  AND r.x = a.x AND r.y = a.y AND r.z = a.z GROUP BY 1, 2, 3"""), rounded=["r"])
+  AND r.x = a.x AND r.y = a.y AND r.z = a.z GROUP BY 1, 2, 3""")
+
+
+@query("a30_reference_correlation", CORRELATION_SQL, rounded=["r"])
 def a30(spark, folder):
     return ops.reference_correlation(visits(spark, folder), F.col("timepoint") == 0)
 
 
+@query("a30_stored_correlation", CORRELATION_SQL, rounded=["r"])
+def a30_stored(spark, folder):
+    stored = store_voxels(
+        visits(spark, folder), run_folder(spark, "visits"), keys=["patient_id", "channel", "x", "y", "z"])
+    return ops.reference_correlation(stored, F.col("timepoint") == 0)
+
+
 @query("a31_label_preservation", with_ctes(CELLS_SQL, """
 bf AS (SELECT DISTINCT subject_id, raw AS label FROM cells),
 af AS (SELECT DISTINCT subject_id, CASE WHEN CAST(subject_id AS INTEGER) % 3 = 0 AND raw = 3 THEN 2 ELSE raw END AS label FROM cells),

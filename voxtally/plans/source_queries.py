@@ -15,11 +15,12 @@ from voxtally.plans.bindings import (
     with_ctes,
 )
 from voxtally.plans.documents import DOCUMENT_CTES, PAIRS, documents
+from voxtally.plans.inventory_queries import RUNS_SQL, run_documents
 from voxtally.plans.region_queries import MATRIX_DOUBLES, matrix
 from voxtally.plans.registry import query
 from voxtally.session import cut_lineage, run_folder
 from voxtally.sources import sinks, tables
-from voxtally.streaming.ingest import ingest_sidecars
+from voxtally.streaming import ingest
 
 MATRIX_CTES = (CELLS_SQL, LUT_SQL, matrix_sql())
 
@@ -165,13 +166,56 @@ def k3(spark, folder):
 @query("t1_incremental_ingest", with_ctes(*DOCUMENT_CTES, select="""
 SELECT subject_id, pair_id, compartment, metric, value, status FROM ml"""), rounded=["value"])
 def t1(spark, folder):
+    return ingest.read_ingested(spark, ingested(spark, folder), "metrics").drop("raw")
+
+
+def ingested(spark, folder):
+    """Metric and run documents that arrive in two steps, each taken in before the next."""
     base = run_folder(spark, "ingest")
-    source, target, bad, state = (f"{base}/{x}" for x in ("in", "out", "bad", "state"))
-    docs = cut_lineage(documents(spark, folder))
-    for pair in (F.col("pair_id") == PAIRS[2], F.col("pair_id") != PAIRS[2]):
-        docs.where(pair).write.mode("append").json(source)
-        ingest_sidecars(spark, source, target, bad, state)
-    return spark.read.parquet(target).drop("raw")
+    source, target, state = (f"{base}/{x}" for x in ("in", "out", "state"))
+    empty = F.lit(None).cast("string")
+    metrics = documents(spark, folder).select(
+        F.lit(ingest.METRICS).alias("kind"), "subject_id", "pair_id", empty.alias("stage"), empty.alias("run_id"), "value",
+        (F.col("pair_id") == PAIRS[2]).alias("early"))
+    runs = run_documents(spark, folder).select(
+        F.lit(ingest.RUNS).alias("kind"), "subject_id", empty.alias("pair_id"), "stage",
+        F.col("run_id").cast("string").alias("run_id"), "value", (F.col("run_id") % 3 == 0).alias("early"))
+    docs = cut_lineage(metrics.unionByName(runs))
+    for step in (F.col("early"), ~F.col("early")):
+        docs.where(step).drop("early").write.mode("append").json(source)
+        ingest.ingest_sidecars(spark, source, target, state)
+    return target
+
+
+@query("t1_two_kinds", with_ctes(*DOCUMENT_CTES, RUNS_SQL.strip(), select="""
+SELECT 'metrics' AS table_name, count(*) AS n, count(DISTINCT (subject_id, pair_id, compartment, metric)) AS n_keys,
+       round(sum(CASE WHEN status = 'ok' THEN value END), 3) + 0.0::DOUBLE AS total FROM ml
+UNION ALL SELECT 'metric_problems', count(*), count(DISTINCT (subject_id, pair_id)), NULL FROM docs WHERE reason IS NOT NULL
+UNION ALL SELECT 'runs', count(*), count(DISTINCT run_id), round(sum(elapsed_s), 3) + 0.0::DOUBLE FROM good
+UNION ALL SELECT 'run_problems', count(*), count(DISTINCT run_id), NULL FROM runs WHERE reason IS NOT NULL"""))
+def t1_two_kinds(spark, folder):
+    """All four tables of one ingest: nothing lost, nothing twice."""
+    target = ingested(spark, folder)
+
+    def counted(name, keys, total):
+        rows = ingest.read_ingested(spark, target, name)
+        each = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("t"))
+        return each.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("n_keys"),
+            (F.round(F.sum("t"), 3) + F.lit(0.0)).alias("total")).select(F.lit(name).alias("table_name"), "*")
+
+    none = F.lit(None).cast("double")
+    return counted("metrics", ["subject_id", "pair_id", "compartment", "metric"], F.when(F.col("status") == "ok", F.col("value"))) \
+        .unionByName(counted("metric_problems", ["subject_id", "pair_id"], none)) \
+        .unionByName(counted("runs", ["run_id"], F.col("elapsed_s"))) \
+        .unionByName(counted("run_problems", ["run_id"], none))
+
+
+@query("t1_ingested_runs", f"""WITH {RUNS_SQL}
+SELECT CAST(run_id AS VARCHAR) AS run_id, subject_id, stage, elapsed_s, device, version FROM good""")
+def t1_runs(spark, folder):
+    return ingest.read_ingested(spark, ingested(spark, folder), "runs").select(
+        "run_id", "subject_id", "stage", "elapsed_s", "device", "version")
 
 
 @query("a18_from_stored_tables", with_ctes(CELLS_SQL, LUT_SQL, COMPARTMENTS_SQL, matrix_sql(), select="""

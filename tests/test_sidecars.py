@@ -8,7 +8,7 @@ from voxtally.functions import numbers, text
 from voxtally.operators import quality, robust
 from voxtally.session import run_folder
 from voxtally.sources import sidecars, sinks, tables
-from voxtally.streaming.ingest import ingest_sidecars
+from voxtally.streaming import ingest
 
 GOOD = {"dice": 0.9, "hd95_mm": 4.1, "abs_volumetric_error_mm3": 8170.0, "sensitivity": 0.87, "specificity": 1}
 
@@ -84,19 +84,57 @@ def test_outlier_reasons(spark):
     assert not fine.flagged and fine.reasons == ""
 
 
+def run_document(**changes):
+    return json.dumps({"schema_version": "1.0", "elapsed_s": 1.5, "backend": "b", "device": "mps", "version": "v1"} | changes)
+
+
+def arrivals(spark, source, step):
+    """Three files: good and broken documents of both kinds."""
+    for k in range(3):
+        n = 10 * step + k
+        rows = [("metrics", f"{n:04d}", "dl_vs_gt", None, None, document(subject_id=f"{n:04d}")),
+                ("metrics", f"{n:04d}", "dl_vs_gt", None, None, "{bad"),
+                ("runs", f"{n:04d}", None, "seg", f"r{n}", run_document()),
+                ("runs", f"{n:04d}", None, "seg", f"q{n}", run_document(elapsed_s=None))]
+        spark.createDataFrame(rows, ingest.STREAM_SCHEMA).coalesce(1).write.mode("append").json(source)
+
+
+def equals_batch_run(spark, base):
+    documents = spark.read.schema(ingest.STREAM_SCHEMA).json(f"{base}/in").withColumn("mtime", F.lit(0.0))
+    for name, rows in ingest.TABLES.items():
+        got, want = (d.drop("mtime") for d in (ingest.read_ingested(spark, f"{base}/out", name), rows(documents)))
+        assert want.count() == {"metrics": 90, "metric_problems": 6, "runs": 6, "run_problems": 6}[name]
+        assert sorted(got.columns) == sorted(want.columns)
+        assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
 def test_ingest_twice_equals_batch(spark):
     base = run_folder(spark, "test-ingest")
-    batches = [[document(subject_id=f"{i:04d}") for i in range(1, 4)], ["{bad", document(subject_id="0009")]]
-    for batch in batches:
-        rows = spark.createDataFrame([("x", "dl_vs_gt", v) for v in batch], sidecars.DOCUMENT_SCHEMA)
-        rows.write.mode("append").json(f"{base}/in")
+    for step in range(2):
+        arrivals(spark, f"{base}/in", step)
         for _ in range(2):  # the second run finds nothing new
-            ingest_sidecars(spark, f"{base}/in", f"{base}/out", f"{base}/bad", f"{base}/state", files_per_batch=1)
-    table = spark.read.parquet(f"{base}/out")
-    batch = sidecars.metrics_long(sidecars.parse_metric_sidecars(sidecars.read_document_lines(spark, f"{base}/in")))
-    assert table.count() == 4 * 15
-    assert table.exceptAll(batch).count() == 0 and batch.exceptAll(table).count() == 0
-    assert [r.reason for r in spark.read.parquet(f"{base}/bad").collect()] == ["could not parse JSON"]
+            ingest.ingest_sidecars(spark, f"{base}/in", f"{base}/out", f"{base}/state", files_per_batch=2)
+    equals_batch_run(spark, base)
+
+
+@pytest.mark.parametrize("fails_at", [1, 3, 6])
+def test_ingest_stopped_between_two_tables(spark, monkeypatch, fails_at):
+    base, write, calls = run_folder(spark, "test-ingest"), ingest.write_part, []
+    for step in range(2):
+        arrivals(spark, f"{base}/in", step)
+
+    def stops(rows, table, batch):
+        calls.append(table)
+        if len(calls) == fails_at + 1:
+            raise RuntimeError("stopped here")
+        write(rows, table, batch)
+
+    monkeypatch.setattr(ingest, "write_part", stops)
+    with pytest.raises(Exception, match="stopped here"):
+        ingest.ingest_sidecars(spark, f"{base}/in", f"{base}/out", f"{base}/state", files_per_batch=4)
+    monkeypatch.setattr(ingest, "write_part", write)
+    ingest.ingest_sidecars(spark, f"{base}/in", f"{base}/out", f"{base}/state", files_per_batch=1)
+    equals_batch_run(spark, base)
 
 
 def test_json_numbers_and_versions(spark):

@@ -244,3 +244,12 @@ PRE_OP, POST_OP, PROGRESSION = "pre-op", "post-op", "pd"
 
 # Imaging channels of a follow-up study.
 FOLLOW_UP_CHANNELS = ("T1", "CT1", "T2", "FLAIR")
+
+# How the titles of a rating table begin; the rationale is looked for first.
+RATING_TITLES = {
+    "patient_id": "patient",
+    "timepoint": "date",
+    "rano_rationale": ".*rationale",
+    "rano": "rating( |$)",
+    "line": "line$",
+}

@@ -10,7 +10,7 @@ from voxtally.functions.text import version_from_banner
 from voxtally.operators import grids as ops
 from voxtally.plans import bindings as b
 from voxtally.plans.registry import query
-from voxtally.session import run_folder
+from voxtally.session import cut_lineage, run_folder
 from voxtally.sources import sidecars, sinks, tables
 
 COMPARATOR = "hdglio"
@@ -43,19 +43,52 @@ def headers(spark, folder):
     )
 
 
+FILE_BYTES = 1024
+
+
 @query("s10_volume_inventory", f"""WITH {HEADERS_SQL}
-SELECT path, 1024 + CAST(nx AS BIGINT) AS size_bytes, nx, sx, CASE WHEN timepoint = 3 THEN '?' ELSE axcodes END AS orientation
+SELECT path, {FILE_BYTES} + CAST(nx AS BIGINT) AS size_bytes, nx, sx, CASE WHEN timepoint = 3 THEN '?' ELSE axcodes END AS orientation
 FROM hdr""")
 def s10(spark, folder):
-    rows = headers(spark, folder)
-    files = rows.select("path", (1024 + F.get("shape", F.lit(0))).cast("bigint").alias("size_bytes"))
-    known = rows.select("path", "shape", "voxel_size_mm",
-                        F.when(F.col("timepoint") != 3, F.col("axcodes")).alias("orientation"))
-    return tables.volume_inventory(files, known).select(
+    return inventory(spark, folder).where("dtype IS NOT NULL").select(
         "path", "size_bytes", F.get("shape", F.lit(0)).alias("nx"),
         F.get("voxel_size_mm", F.lit(0)).alias("sx"), "orientation")
 
 
+@query("s10_file_inventory", f"""WITH {HEADERS_SQL}
+SELECT path, {FILE_BYTES} + CAST(nx AS BIGINT) AS size_bytes,
+  CASE WHEN NOT bad THEN nx || 'x24x24' END AS shape, CASE WHEN NOT bad THEN CAST(sx AS VARCHAR) || ' x 1.0 x 2.0' END AS voxel_size,
+  CASE WHEN bad THEN NULL WHEN timepoint = 3 THEN '?' ELSE axcodes END AS orientation,
+  CASE WHEN bad THEN NULL WHEN channel = 'hdglio' THEN 'uint8' ELSE 'float32' END AS dtype
+FROM (SELECT *, false AS bad FROM hdr
+      UNION ALL SELECT *  REPLACE ('p' || patient_id || '/tp-' || timepoint || '/extra.nii.gz' AS path), true
+      FROM hdr WHERE channel = 'T1')""")
+def s10_files(spark, folder):
+    """Every file on disk with its header; a file whose header cannot be read keeps its row."""
+    text = lambda c, sep: F.array_join(F.col(c).cast("array<string>"), sep)
+    return inventory(spark, folder).select(
+        "path", "size_bytes", text("shape", "x").alias("shape"), text("voxel_size_mm", " x ").alias("voxel_size"),
+        "orientation", "dtype")
+
+
+def inventory(spark, folder):
+    """Files of known length, one per header and one more per visit, written and listed."""
+    root, rows = run_folder(spark, "volumes"), headers(spark, folder)
+    extra = rows.where("channel = 'T1'").withColumns(
+        {"path": F.regexp_replace("path", "T1", "extra")})
+    body = F.repeat(F.lit("v"), (FILE_BYTES - 1 + F.get("shape", F.lit(0))).cast("int"))
+    place = {c: F.regexp_extract("path", "^p(.*)/tp-(.*)/(.*)[.]nii[.]gz$", i) for i, c in enumerate("ptc", 1)}
+    rows.unionByName(extra).select(body.alias("value"), *[c.alias(n) for n, c in place.items()]) \
+        .write.partitionBy(*place).text(root)
+    # A writer names its files itself; the folders say which volume each holds.
+    named = F.regexp_replace("path", "^p=([^/]*)/t=([^/]*)/c=([^/]*)/.*$", "p$1/tp-$2/$3.nii.gz")
+    listed = tables.read_file_inventory(spark, root, "part-*").withColumn("path", named)
+    known = rows.select(
+        "path", "shape", "voxel_size_mm", F.when(F.col("timepoint") != 3, F.col("axcodes")).alias("orientation"),
+        F.when(F.col("channel") == COMPARATOR, "uint8").otherwise("float32").alias("dtype"))
+    return tables.volume_inventory(listed, known)
+
+
 MATCH_SQL = """
 ref AS (SELECT patient_id, nx AS rnx, round_even(sx, 4) AS rsx, axcodes AS rax FROM hdr WHERE timepoint = 0 AND channel = 'T1'),
 mt AS (SELECT patient_id, timepoint, channel,
@@ -192,6 +225,63 @@ def s9_problems(spark, folder):
     return runs(spark, folder).where(F.col("reason").isNotNull()).select("run_id", "reason")
 
 
+RUN_FILES_SQL = f"""
+f AS (
+  SELECT stage, {b.sql_zero_fill("CAST(s_suppkey AS VARCHAR)")} AS subject_id,
+    s_suppkey AS k, round(abs(s_acctbal), 2) AS value,
+    CASE WHEN s_suppkey % 6 = 1 THEN 'sidecar not found' WHEN s_suppkey % 6 = 2 THEN 'could not parse JSON'
+         WHEN s_suppkey % 6 = 3 THEN 'schema_version not accepted' WHEN s_suppkey % 6 = 4 THEN 'missing finite ''elapsed_s''' END AS reason
+  FROM supplier, (VALUES ('seg'), ('parc')) AS s(stage)),
+g AS (SELECT *, k = max(k) OVER (PARTITION BY stage) AS early FROM f WHERE reason IS NULL)"""
+
+
+def run_files(spark, folder):
+    """Run files written in two steps: first one good run per stage, the last subject's, then
+    the others, some of them defective, some missing. Returns the scan and what was expected."""
+    path, k = run_folder(spark, "run-files"), F.col("s_suppkey")
+    elapsed = F.when(k % 6 == 4, F.lit('"fast"')).otherwise(json_number(F.round(F.abs("s_acctbal"), 2)))
+    text = F.concat(
+        F.lit('{"schema_version":"'), F.when(k % 6 == 3, "7").otherwise("1.0"), F.lit('","backend":"bundle",'),
+        F.when(F.col("stage") == "seg", F.lit('"device":"mps",')).otherwise(F.lit('"threads":4,')),
+        F.lit('"elapsed_s":'), elapsed, F.when(k % 6 == 2, "").otherwise("}"))
+    expected = b.table(spark, folder, "supplier").select(
+        k, "s_acctbal", F.concat(F.lit("sub-"), b._subject(k)).alias("subject_id"),
+        F.explode(F.array(F.lit("seg"), F.lit("parc"))).alias("stage"))
+    written = expected.where(k % 6 != 1).select(k, "subject_id", "stage", text.alias("value"))
+    last = written.where(k % 6 % 5 == 0).agg(F.max(k)).scalar()
+    marked = cut_lineage(written.withColumn("early", k == last))
+    for step in (F.col("early"), ~F.col("early")):
+        marked.where(step).select("value", "stage", "subject_id").write.mode("append") \
+            .partitionBy("stage", "subject_id").text(path)
+    return sidecars.run_records(sidecars.read_run_files(spark, path), expected)
+
+
+@query("s9_run_files", f"""WITH {RUN_FILES_SQL}
+SELECT subject_id, stage, value AS elapsed_s, CASE stage WHEN 'seg' THEN 'mps' ELSE 'CPU/4t' END AS device,
+  CASE WHEN early THEN 'cold' ELSE 'warm' END AS phase FROM g""", rounded=["elapsed_s"])
+def s9_files(spark, folder):
+    """The cold run of a stage is the one whose file is oldest, whatever its subject."""
+    good, _ = run_files(spark, folder)
+    return ops.cold_and_warm(good.withColumn("run_id", F.col("subject_id"))).select(
+        "subject_id", "stage", "elapsed_s", "device", "phase")
+
+
+@query("s9_run_file_problems", f"WITH {RUN_FILES_SQL} SELECT subject_id, stage, reason FROM f WHERE reason IS NOT NULL")
+def s9_file_problems(spark, folder):
+    return run_files(spark, folder)[1]
+
+
+@query("a36_timings_of_run_files", f"""WITH {RUN_FILES_SQL}
+SELECT stage, CASE WHEN early THEN 'cold' ELSE 'warm' END AS phase, count(*) AS n_used, min(value) AS min, max(value) AS max,
+  quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3,
+  CASE WHEN early THEN 1::BIGINT ELSE (SELECT count(*) FROM supplier) - 1 END AS n_expected
+FROM g GROUP BY stage, early""", rounded=["min", "max", "q1", "median", "q3"])
+def a36_files(spark, folder):
+    good, _ = run_files(spark, folder)
+    subjects = b.table(spark, folder, "supplier").agg(F.count(F.lit(1)))
+    return ops.stage_timings(good.withColumn("run_id", F.col("subject_id")), subjects)
+
+
 @query("p17_elapsed_coercion", f"""WITH {RUNS_SQL}
 SELECT run_id, elapsed_s FROM runs WHERE run_id % 29 <> 0""")
 def p17(spark, folder):

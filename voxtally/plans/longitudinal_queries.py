@@ -9,6 +9,8 @@ from voxtally.plans import bindings as b
 from voxtally.plans.bindings import CELLS_SQL, LUT_SQL, TIMEPOINTS_SQL, sql_zero_fill, with_ctes
 from voxtally.plans.region_queries import matrix
 from voxtally.plans.registry import query
+from voxtally.session import run_folder
+from voxtally.sources import tables
 
 ML = [f"vol_{c}_ml" for c in ("WT", "TC", "ET", "NCR", "ED")]
 VOLUMES_ML_SQL = """
@@ -291,3 +293,31 @@ def j10_response(spark, folder):
         number.alias("line"))
     return ops.drift(rows, source, ["patient_id", "timepoint"], {"rano": ops.text_rule},
                      order=["line"], keep="last")
+
+
+@query("j10_rationale_drift", with_ctes(TIMEPOINTS_SQL, """
+r AS (
+  SELECT patient_id, timepoint, rano, o_orderkey % 7 AS m, o_orderkey % 10 AS d,
+    CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'growth, new lesion "' || o_orderkey % 4 || '"' END AS why FROM tps)""", select="""
+SELECT patient_id, timepoint, 'row' AS field, NULL AS manifest_value, NULL AS source_value, 'no row' AS problem FROM r WHERE d = 0
+UNION ALL
+SELECT patient_id, timepoint, 'rano', nullif(rano, ''), 'PD', 'differs' FROM r WHERE d = 1 AND lower(rano) <> 'pd'
+UNION ALL
+SELECT patient_id, timepoint, 'rano_rationale', nullif(why, ''), 'other, reading', 'differs' FROM r WHERE d <> 0 AND m = 2"""))
+def j10_rationale(spark, folder):
+    """Ratings and their rationale against a CSV with long titles, written and read."""
+    number = F.regexp_extract("timepoint", r"(\d+)$", 1).cast("bigint")
+    why = F.when(number % 3 == 0, None).otherwise(
+        F.concat(F.lit('growth, new lesion "'), (number % 4).cast("string"), F.lit('"')))
+    rows = b.timepoints(spark, folder).select(
+        "patient_id", "timepoint", F.nullif(F.col("rano"), F.lit("")).alias("rano"), why.alias("rano_rationale"))
+    path = run_folder(spark, "ratings")
+    rows.where(number % 10 != 0).select(
+        F.col("patient_id").alias("Patient"), F.upper("timepoint").alias("Date"),
+        F.when(number % 10 == 1, "PD").otherwise(F.lower("rano")).alias(
+            "Rating (according to RANO, PD: progressive disease, SD: stable disease)"),
+        F.when(number % 7 == 2, "other, reading").otherwise(F.upper("rano_rationale")).alias(
+            "Rating rationale (CRET: contrast-enhancing, T2-Progr.: T2 progression)"),
+        number.alias("Line")).write.csv(path, header=True, escape='"')
+    return ops.drift(rows, tables.read_ratings(spark, path), ["patient_id", "timepoint"],
+                     {"rano": ops.text_rule, "rano_rationale": ops.text_rule}, order=["line"], keep="last")

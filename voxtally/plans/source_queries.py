@@ -22,6 +22,7 @@ from voxtally.session import cut_lineage, run_folder
 from voxtally.sources import sinks, tables
 from voxtally.streaming import ingest
 
+BUCKETS = 16
 MATRIX_CTES = (CELLS_SQL, LUT_SQL, matrix_sql())
 
 
@@ -51,7 +52,8 @@ def defective_tables(spark, folder):
 
 def stored_tables(spark, folder):
     path = run_folder(spark, "region-tables")
-    defective_tables(spark, folder).write.partitionBy("subject_id").csv(path, header=True)
+    sinks.bucketed(defective_tables(spark, folder), ["subject_id"], BUCKETS).select(
+        *tables.REGION_TABLE_TYPES, "subject_id", "bucket").write.partitionBy("bucket").csv(path, header=True)
     return tables.check_region_tables(tables.read_region_tables(spark, path))
 
 
@@ -87,9 +89,8 @@ SELECT DISTINCT subject_id, label, name FROM matrix
 WHERE CAST(subject_id AS INTEGER) % 7 NOT IN (1, 2, 3, 4)"""))
 def s6(spark, folder):
     path = run_folder(spark, "luts")
-    lut_documents(spark, folder).write.partitionBy("subject_id").text(path)
-    stored = spark.read.schema("value STRING, subject_id STRING").text(path, wholetext=True)
-    return tables.parse_lut_documents(stored)[0]
+    sinks.bucketed(lut_documents(spark, folder), ["subject_id"], BUCKETS).write.partitionBy("bucket").json(path)
+    return tables.parse_lut_documents(spark.read.schema("value STRING, subject_id STRING").json(path))[0]
 
 
 @query("s6_lut_problems", with_ctes(*MATRIX_CTES, select="""
@@ -156,11 +157,9 @@ def k3(spark, folder):
     path = run_folder(spark, "resumed")
     rows = matrix(spark, folder).select("subject_id", "label", "compartment", "overlap_voxels")
     even = F.col("subject_id").cast("int") % 2 == 0
-    sinks.write_missing(rows.where(even).withColumn("run", F.lit("first")), path, ["subject_id"])
-    schema = "label INT, compartment STRING, overlap_voxels BIGINT, run STRING, subject_id STRING"
-    done = spark.read.schema(schema).parquet(path)
-    sinks.write_missing(rows.withColumn("run", F.lit("second")), path, ["subject_id"], done)
-    return spark.read.schema(schema).parquet(path)
+    sinks.write_missing(rows.where(even).withColumn("run_name", F.lit("first")), path, ["subject_id"])
+    sinks.write_missing(rows.withColumn("run_name", F.lit("second")), path, ["subject_id"])
+    return sinks.read_written(spark, path, ["subject_id"]).withColumnRenamed("run_name", "run")
 
 
 @query("t1_incremental_ingest", with_ctes(*DOCUMENT_CTES, select="""

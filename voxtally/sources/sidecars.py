@@ -31,6 +31,31 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_run_files(spark: SparkSession, path: str) -> DataFrame:
+    """Run sidecars, one file each below ``stage=.../subject_id=.../``, with ``mtime``, the
+    modification time of the file in seconds: the order in which runs ended."""
+    modified = F.unix_micros("_metadata.file_modification_time") / F.lit(1e6)
+    return (
+        spark.read.schema("value STRING, stage STRING, subject_id STRING")
+        .text(path, wholetext=True)
+        .select("subject_id", "stage", "value", modified.alias("mtime"))
+    )
+
+
+def run_records(
+    documents: DataFrame, expected: DataFrame | None = None, versions: Sequence[str] = SIDECAR_VERSIONS
+) -> tuple[DataFrame, DataFrame]:
+    """(good records, problems) of run documents; of ``expected`` (subject_id, stage) those
+    without a document are problems too. Ids are normalised before they are compared."""
+    own = documents.withColumn("subject_id", normalize_subject_id(F.col("subject_id")))
+    if expected is not None:
+        wanted = expected.select(normalize_subject_id(F.col("subject_id")).alias("subject_id"), "stage").distinct()
+        own = wanted.join(own, ["subject_id", "stage"], "left")
+    parsed = parse_run_records(own, versions)
+    bad = F.col("reason").isNotNull()
+    return parsed.where(~bad).drop("reason"), parsed.where(bad).select("subject_id", "stage", "reason")
+
+
 def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
     """Many documents per file: JSON lines of (subject_id, pair_id, value)."""
     return spark.read.schema(DOCUMENT_SCHEMA).json(path)

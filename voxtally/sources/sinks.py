@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtally.session import cut_lineage
+
 
 def write_csv(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     df.write.mode(mode).csv(path, header=True)
@@ -44,15 +47,44 @@ def still_to_do(wanted: DataFrame, existing: DataFrame, keys: Sequence[str]) ->
     return wanted.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def write_missing(
-    df: DataFrame, path: str, keys: Sequence[str], existing: DataFrame | None = None
-) -> None:
-    """Write only the partitions that are not there; the others stay as they are."""
-    todo = df if existing is None else still_to_do(df, existing, keys)
-    (
-        todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys).parquet(path)
-    )
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Adds ``bucket``, a hash of the keys, for partitions whose number does not grow with the
+    keys; rows of a bucket come together, so that each gets few files."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).repartition("bucket")
+
+
+def _written(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    return spark.read.schema(f"{keys}, run STRING").option("ignoreMissingFiles", "true").parquet(f"{path}/written/*")
+
+
+def write_missing(df: DataFrame, path: str, keys: Sequence[str], *, buckets: int = 64) -> int:
+    """Write the rows of keys that ``path`` does not hold yet; returns how many keys those are.
+
+    Rows lie in ``buckets`` partitions, whatever the number of keys. A run writes its rows
+    first and the list of its keys last, under its own name; rows count only where their key is
+    listed for their run, so what a broken run left behind is passed over and done again.
+    """
+    spark, keys, run = df.sparkSession, list(keys), uuid.uuid4().hex
+    types = dict(df.dtypes)
+    listed = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    # An empty list of its own run makes the folder one that can be read.
+    df.limit(0).select(*keys, F.lit(run).alias("run")).write.parquet(f"{path}/written/opened-{run}")
+    wanted = df.select(*keys).distinct()
+    todo = cut_lineage(still_to_do(wanted, _written(spark, path, listed), keys))
+    n = todo.count()
+    if n:
+        rows = df.join(todo, keys, "left_semi").withColumn("run", F.lit(run))
+        bucketed(rows, keys, buckets).write.mode("append").partitionBy("bucket").parquet(f"{path}/rows")
+        todo.withColumn("run", F.lit(run)).write.parquet(f"{path}/written/{run}")
+    return n
+
+
+def read_written(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The rows of every key that was written whole."""
+    rows = spark.read.parquet(f"{path}/rows").drop("bucket")
+    types = dict(rows.dtypes)
+    listed = _written(spark, path, ", ".join(f"`{k}` {types[k]}" for k in keys))
+    return rows.join(listed, [*keys, "run"], "left_semi").drop("run")
 
 
 def missing_artefacts(expected: DataFrame, listing: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from voxtally.constants import (
     COMPARTMENTS,
     LISTING_ID_PATTERN,
     METADATA_COLUMNS,
+    RATING_TITLES,
     REGION_TABLE_COLUMNS,
 )
 
@@ -36,6 +38,31 @@ def read_csv_text(spark: SparkSession, path: str, columns: Sequence[str]) -> Dat
     return spark.read.schema(_text_schema(columns)).csv(path, header=True, enforceSchema=False)
 
 
+def pick_columns(df: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
+    """The columns whose titles fit, under short names.
+
+    ``patterns`` maps a name to a regular expression for the start of a title, whatever its
+    case. Patterns are tried in order and a title goes to the first that fits; of several
+    titles for one name the last counts. A name without a title is a NULL column.
+    """
+    found: dict[str, str] = {}
+    for title in df.columns:
+        for name, pattern in patterns.items():
+            if re.match(pattern, title.strip(), re.IGNORECASE):
+                found[name] = title
+                break
+    return df.select(*[
+        F.col(f"`{found[name]}`").alias(name) if name in found else F.lit(None).cast("string").alias(name)
+        for name in patterns])
+
+
+def read_ratings(spark: SparkSession, path: str) -> DataFrame:
+    """Expert ratings (patient_id, timepoint, rano, rano_rationale, line) from a CSV whose long
+    titles carry commas and explanations; only their beginnings are relied upon."""
+    rows = spark.read.csv(path, header=True, quote='"', escape='"')
+    return pick_columns(rows, RATING_TITLES)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return read_csv_text(spark, path, METADATA_COLUMNS)
 
@@ -53,7 +80,8 @@ def listing_ids(lines: DataFrame, pattern: str = LISTING_ID_PATTERN) -> DataFram
 
 
 def read_region_tables(spark: SparkSession, path: str) -> DataFrame:
-    """Region tables below ``subject_id=.../``, as text until they are checked."""
+    """Region tables as text until they are checked; ``subject_id`` is the last column, or the
+    folder ``subject_id=.../`` a table lies in. Folders of buckets may lie between."""
     columns = [*REGION_TABLE_TYPES]
     return spark.read.schema(_text_schema([*columns, "subject_id"])).csv(path, header=True)
 
@@ -126,18 +154,31 @@ def read_voxels(spark: SparkSession, path: str, source: str | None = None) -> Da
 
 
 def read_file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and time of every file below ``path``; no content is read."""
-    return (
+    """``path`` relative to the root, ``size_bytes`` and time of every file below a root.
+
+    The listing comes from the file source's own columns; no content is read. Names that a
+    writer escaped (``%20``) are given back plain. Spark lists no file of zero bytes.
+    """
+    files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true").load(path)
-        .select("path", F.col("length").alias("size_bytes"), "modificationTime")
     )
+    below = F.regexp_extract(F.url_decode("path"), f"/{path.rstrip('/').rsplit('/', 1)[-1]}/(.*)$", 1)
+    return files.select(
+        below.alias("path"), F.col("length").alias("size_bytes"),
+        F.col("modificationTime").alias("modified"))
 
 
 def volume_inventory(files: DataFrame, headers: DataFrame) -> DataFrame:
-    """Header fields next to the file that carries them; ``?`` where orientation is unknown."""
-    joined = files.join(headers, "path", "left")
-    return joined.withColumn("orientation", F.coalesce("orientation", F.lit("?")))
+    """Per file: path, size_bytes, shape, voxel_size_mm, orientation, dtype.
+
+    ``headers`` has those header fields by path. Orientation is ``?`` where a header does not
+    tell it; a file without a header keeps its row, with the other fields missing.
+    """
+    fields = ["shape", "voxel_size_mm", "orientation", "dtype"]
+    joined = files.join(headers.select("path", *fields, F.lit(True).alias("_read")), "path", "left")
+    known = F.when(F.col("_read"), F.coalesce("orientation", F.lit("?")))
+    return joined.withColumn("orientation", known).select("path", "size_bytes", *fields)
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

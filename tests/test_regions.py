@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from voxtally.constants import COMPARTMENTS
-from voxtally.operators import regions, rollups
+from voxtally.operators import agreement, intensity, regions, rollups
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +148,47 @@ def test_voxel_size_of_each_volume(spark):
     for matrix in (by_name, by_column):
         got = {r.subject_id: r.overlap_volume_mm3 for r in matrix.where("compartment = 'ET'").collect()}
         assert got == {"a": 0.5, "b": 2.0}
+
+
+def test_comparators_of_another_shape_are_marked_and_never_scored(spark):
+    keys = "subject_id STRING, source STRING, shape ARRAY<INT>, voxel_mm3 DOUBLE"
+    grids = spark.createDataFrame(
+        [(s, "dl", [4, 4, 4], 2.0) for s in "abd"] + [
+            ("a", "hdglio", [4, 4, 4], 9.0), ("a", "deepbratumia", [4, 4, 5], 9.0), ("b", "hdglio", [4, 4, 4], 9.0),
+            ("c", "hdglio", [4, 4, 4], 9.0)], keys)
+    voxel = "subject_id STRING, x INT, y INT, z INT, label INT"
+    ours = spark.createDataFrame([("a", 0, 0, 0, 4), ("a", 1, 0, 0, 2), ("b", 0, 0, 0, 1)], voxel)
+    theirs = spark.createDataFrame(
+        [("a", 0, 0, 0, 2, "hdglio"), ("a", 2, 0, 0, 1, "hdglio"), ("a", 0, 0, 0, 1, "deepbratumia"),
+         ("c", 0, 0, 0, 1, "hdglio")], voxel + ", kind STRING")
+    out = agreement.checked_comparator_agreement(ours, theirs, grids, keys=["subject_id"])
+    got = {(r.subject_id, r.kind, r.compartment): r for r in out.collect()}
+    assert set(got) == {("a", "hdglio", "WT"), ("a", "hdglio", "ET"), ("a", "deepbratumia", None),
+                        ("b", "hdglio", "WT"), ("b", "hdglio", "ET")}
+    odd = got["a", "deepbratumia", None]
+    assert (odd.status, odd.ref_shape, odd.comparator_shape, odd.dice) == ("shape mismatch", [4, 4, 4], [4, 4, 5], None)
+    whole = got["a", "hdglio", "WT"]
+    assert (whole.status, whole.dice, whole.jaccard, whole.vol_pred_ml) == ("ok", 0.5, pytest.approx(1 / 3), 0.004)
+    assert got["b", "hdglio", "WT"].dice == 0.0 and got["b", "hdglio", "ET"].dice is None
+
+
+def test_coverage_of_missing_and_empty_maps(spark):
+    keys = "patient_id INT, timepoint INT, comparator STRING"
+    expected = spark.createDataFrame(
+        [(1, 0, "h", 0.5, 0.25), (1, 1, "h", 0.5, None), (1, 2, "h", 0.5, 0.25), (2, 0, "h", 0.5, 0.25)],
+        keys + ", src_ml DOUBLE, dst_ml DOUBLE")
+    voxel = keys + ", x INT, y INT, z INT, label INT"
+    before = spark.createDataFrame([(1, 0, "h", 0, 0, 0, 1), (1, 0, "h", 1, 0, 0, 2), (1, 1, "h", 0, 0, 0, 1), (2, 0, "h", 0, 0, 0, 1)], voxel)
+    after = spark.createDataFrame(
+        [(1, 0, "h", 0, 0, 0, 1), (1, 0, "h", 5, 0, 0, 1), (1, 0, "h", 1, 0, 0, 0), (1, 1, "h", 0, 0, 0, 1), (2, 0, "h", 0, 0, 0, 1)], voxel)
+    reference = spark.createDataFrame(
+        [(1, 0, 0, 0, 100.0), (1, 5, 0, 0, 5.0)], "patient_id INT, x INT, y INT, z INT, v DOUBLE")
+    out = intensity.registration_coverage(expected, before, after, reference)
+    got = {(r.patient_id, r.timepoint): r for r in out.collect()}
+    assert len(got) == out.count() == 4
+    r = got[1, 0]
+    assert (r.status, r.labels_preserved, r.src_labels, r.dst_labels) == ("ok", False, "1,2", "1")
+    assert (r.src_volume_ml, r.dst_volume_ml, r.label, r.voxels, r.volume_ml, r.fraction_inside_brain) == (1.0, 0.5, 1, 2, 0.5, 0.5)
+    assert got[1, 1].status == "missing" and got[1, 1].label is None and got[1, 1].src_volume_ml is None
+    assert (got[1, 2].status, got[1, 2].dst_labels, got[1, 2].label, got[1, 2].dst_volume_ml) == ("ok", "", None, 0.0)
+    assert (got[2, 0].voxels, got[2, 0].fraction_inside_brain) == (1, None)

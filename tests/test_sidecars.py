@@ -1,11 +1,13 @@
 import json
 import math
+import pathlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from voxtally.functions import numbers, text
-from voxtally.operators import quality, robust
+from voxtally.operators import grids, quality, robust
 from voxtally.session import run_folder
 from voxtally.sources import sidecars, sinks, tables
 from voxtally.streaming import ingest
@@ -148,15 +150,74 @@ def test_json_numbers_and_versions(spark):
     assert tuple(row) == ("2.5", '"inf"', "null", "null", "8.2.0", "-inf")
 
 
-def test_existing_outputs_are_left_alone(spark):
+def folders(path):
+    return [p for p in pathlib.Path(path).rglob("*") if p.is_dir()]
+
+
+def test_existing_outputs_are_left_alone(spark, monkeypatch):
     path = run_folder(spark, "test-resume")
-    rows = spark.createDataFrame([("0001", 1), ("0002", 2)], "subject_id STRING, v INT")
-    schema = "v INT, subject_id STRING"
-    sinks.write_missing(rows.where("v = 1"), path, ["subject_id"])
-    sinks.write_missing(rows.selectExpr("subject_id", "v * 10 AS v"), path, ["subject_id"],
-                        spark.read.schema(schema).parquet(path))
-    assert {tuple(r) for r in spark.read.schema(schema).parquet(path).select("subject_id", "v").collect()} == {
-        ("0001", 1), ("0002", 20)}
+    rows = spark.range(10_000).selectExpr("lpad(id, 5, '0') AS subject_id", "id AS v", "explode(array(1, 2)) AS part")
+    half = rows.where("v % 2 = 0")
+    assert sinks.write_missing(half, path, ["subject_id"], buckets=8) == 5000
+    assert sinks.write_missing(half, path, ["subject_id"], buckets=8) == 0
+    assert len(folders(path)) <= 8 + 6
+
+    # A run that ends after its rows and before its list of keys leaves rows that do not count.
+    append = sinks.bucketed(rows.where("v % 2 = 1 AND v < 100").selectExpr("*", "'broken' AS run"), ["subject_id"], 8)
+    append.write.mode("append").partitionBy("bucket").parquet(f"{path}/rows")
+    assert sinks.read_written(spark, path, ["subject_id"]).count() == 10_000
+    assert sinks.write_missing(rows.withColumn("v", F.col("v") + 10_000), path, ["subject_id"], buckets=8) == 5000
+    assert sinks.write_missing(rows, path, ["subject_id"], buckets=8) == 0
+    got = sinks.read_written(spark, path, ["subject_id"])
+    assert set(got.columns) == {"subject_id", "v", "part"}
+    assert got.count() == 20_000 == got.distinct().count()
+    assert got.where("v >= 10000 AND cast(subject_id AS INT) % 2 = 1").count() == 10_000
+    assert len(folders(path)) <= 8 + 10
+
+
+def test_run_files_by_time_of_writing(spark):
+    path = run_folder(spark, "test-runs")
+    for name, text in [("0009", run_document(elapsed_s=9.0)), ("0001", run_document(elapsed_s=1.0)), ("0002", "{bad"),
+                       ("0003", run_document(elapsed_s="fast")), ("0004", run_document(schema_version="8"))]:
+        spark.createDataFrame([(text, "seg", f"sub-{name}")], "value STRING, stage STRING, subject_id STRING") \
+            .write.mode("append").partitionBy("stage", "subject_id").text(path)
+        time.sleep(0.02)
+    expected = spark.createDataFrame(
+        [("seg", f"{i:04d}") for i in (1, 2, 3, 4, 5, 9)], "stage STRING, subject_id STRING")
+    good, problems = sidecars.run_records(sidecars.read_run_files(spark, path), expected)
+    phases = grids.cold_and_warm(good.withColumn("run_id", F.col("subject_id"))).collect()
+    assert {(r.subject_id, r.elapsed_s, r.phase) for r in phases} == {("0009", 9.0, "cold"), ("0001", 1.0, "warm")}
+    assert {tuple(r) for r in problems.collect()} == {
+        ("0002", "seg", "could not parse JSON"), ("0003", "seg", "missing finite 'elapsed_s'"),
+        ("0004", "seg", "schema_version not accepted"), ("0005", "seg", "sidecar not found")}
+
+
+def test_inventory_lists_files_without_reading_them(spark):
+    path = run_folder(spark, "test-files")
+    root = pathlib.Path(path)
+    for name, n in (("a/T1.nii.gz", 5), ("a/b/odd name.nii.gz", 2), ("empty.nii.gz", 0), ("note.txt", 3)):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * n)
+    files = tables.read_file_inventory(spark, path, "*.nii.gz")
+    headers = spark.createDataFrame(
+        [("a/T1.nii.gz", [4, 4, 4], [1.0, 1.0, 2.0], None, "uint8"), ("gone.nii.gz", [1], [1.0], "RAS", "uint8")],
+        "path STRING, shape ARRAY<INT>, voxel_size_mm ARRAY<DOUBLE>, orientation STRING, dtype STRING")
+    listed = tables.volume_inventory(files, headers)
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "length" in plan
+    assert {tuple(r) for r in listed.selectExpr("path", "size_bytes", "shape[0]", "orientation", "dtype").collect()} == {
+        ("a/T1.nii.gz", 5, 4, "?", "uint8"), ("a/b/odd name.nii.gz", 2, None, None, None)}
+
+
+def test_rating_columns_are_found_by_their_titles(spark):
+    titles = ["Patient", "Date", "Rating (according to RANO, PD: progress)", "Other", "RATING Rationale (a, b)"]
+    rows = spark.createDataFrame([("p1", "tp-1", "PD", "x", "growth, new")], ", ".join(f"`{t}` STRING" for t in titles))
+    path = run_folder(spark, "test-ratings")
+    rows.write.csv(path, header=True, escape='"')
+    assert tables.read_ratings(spark, path).first().asDict() == {
+        "patient_id": "p1", "timepoint": "tp-1", "rano": "PD", "rano_rationale": "growth, new", "line": None}
+    bare = spark.createDataFrame([("PD", "SD")], "rating STRING, `rating of` STRING")
+    assert tables.pick_columns(bare, {"rano": "rating( |$)"}).first().rano == "SD"
 
 
 def test_empty_color_table_is_an_error(spark):

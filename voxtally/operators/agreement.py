@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.constants import CLASS_CODES, COMPARTMENTS, RAW_CODES
+from voxtally.constants import CLASS_CODES, COMPARATOR_COMPARTMENTS, COMPARTMENTS, RAW_CODES
 from voxtally.functions import agreement as stat
 from voxtally.functions.labels import comparator_in_compartment, in_compartment
 
@@ -156,14 +156,67 @@ def comparator_agreement(
     )
 
 
-def comparator_shape_mismatches(grids: DataFrame, reference: str = "dl") -> DataFrame:
-    """Comparator volumes whose shape differs from ours: marked, never scored."""
-    ours = grids.where(F.col("source") == reference).select(
-        "subject_id", F.col("shape").alias("ref_shape"))
+def comparator_pairs(grids: DataFrame, keys: Sequence[str], reference: str = "dl") -> DataFrame:
+    """One row per comparator volume that has one of ours: keys, kind, both shapes, and status
+    ``ok`` or ``shape mismatch``. ``grids`` has keys, source and shape of every volume."""
+    ours = grids.where(F.col("source") == reference).select(*keys, F.col("shape").alias("ref_shape"))
     theirs = grids.where(F.col("source") != reference).select(
-        "subject_id", "source", F.col("shape").alias("comparator_shape"))
-    return theirs.join(ours, "subject_id").where(
-        F.col("ref_shape") != F.col("comparator_shape"))
+        *keys, F.col("source").alias("kind"), F.col("shape").alias("comparator_shape"))
+    same = F.col("ref_shape") == F.col("comparator_shape")
+    return theirs.join(ours, list(keys)).withColumn(
+        "status", F.when(same, "ok").otherwise("shape mismatch"))
+
+
+def checked_comparator_agreement(
+    ours: DataFrame,
+    theirs: DataFrame,
+    grids: DataFrame,
+    *,
+    keys: Sequence[str],
+    kinds: Sequence[str] = tuple(COMPARATOR_COMPARTMENTS),
+    reference: str = "dl",
+) -> DataFrame:
+    """Our sparse map (keys, x, y, z, label) against sparse maps of comparators (and kind).
+
+    Volumes are paired by their grids first. A pair of different shapes comes out once, with
+    both shapes and without compartment, and its voxels reach no join; a pair of one shape
+    comes out per compartment that the comparator resolves. ``grids`` also has ``voxel_mm3``,
+    of which ours counts. Only voxels both maps label are joined: the sizes of the masks are
+    counted on each side alone, so an empty map still gives its zeros.
+    """
+    keys = list(keys)
+    pairs = comparator_pairs(grids.where(F.col("source").isin(reference, *kinds)), keys, reference)
+    fits = pairs.where(F.col("status") == "ok").select(*keys, "kind")
+    size = grids.where(F.col("source") == reference).select(*keys, (F.col("voxel_mm3") / 1000.0).alias("_ml"))
+    seen = [(kind, c) for kind in kinds for c in COMPARTMENTS if c in COMPARATOR_COMPARTMENTS[kind]]
+    inside = {(kind, c): comparator_in_compartment(F.col("_theirs"), kind, c) & (F.col("kind") == kind)
+              for kind, c in seen}
+
+    n_pred = ours.groupBy(*keys).agg(*[
+        F.count_if(in_compartment(F.col("label"), c)).alias(f"_p_{c}") for c in COMPARTMENTS])
+    codes = theirs.select(*keys, "kind", "x", "y", "z", F.col("label").alias("_theirs")).join(fits, [*keys, "kind"], "left_semi")
+    n_ref = codes.groupBy(*keys, "kind").agg(*[F.count_if(m).alias(f"_g_{k}_{c}") for (k, c), m in inside.items()])
+    n_both = codes.join(ours.select(*keys, "x", "y", "z", "label"), [*keys, "x", "y", "z"]).groupBy(*keys, "kind").agg(*[
+        F.count_if(m & in_compartment(F.col("label"), c)).alias(f"_b_{k}_{c}") for (k, c), m in inside.items()])
+
+    wide = pairs.join(n_pred, keys, "left").join(n_ref, [*keys, "kind"], "left").join(n_both, [*keys, "kind"], "left") \
+        .join(size, keys, "left")
+    wide = wide.na.fill(0, [c for c in wide.columns if c[:3] in ("_p_", "_g_", "_b_")])
+    row = lambda c, p, g, both: F.struct(
+        c.alias("compartment"), p.alias("_p"), g.alias("_g"), both.alias("_b"))
+    none = F.lit(None).cast("bigint")
+    of_kind = [
+        F.when((F.col("status") == "ok") & (F.col("kind") == kind), F.array(*[
+            row(F.lit(c), F.col(f"_p_{c}"), F.col(f"_g_{kind}_{c}"), F.col(f"_b_{kind}_{c}"))
+            for k, c in seen if k == kind]))
+        for kind in kinds]
+    long = wide.select(*keys, "kind", "status", "ref_shape", "comparator_shape", "_ml", F.inline(
+        F.coalesce(*of_kind, F.array(row(F.lit(None).cast("string"), none, none, none)))))
+    p, g, both, ml = F.col("_p"), F.col("_g"), F.col("_b"), F.col("_ml")
+    return long.select(
+        *keys, "kind", "status", "ref_shape", "comparator_shape", "compartment",
+        stat.dice(p, g, both).alias("dice"), stat.jaccard(p, g, both).alias("jaccard"),
+        (p * ml).alias("vol_pred_ml"), (g * ml).alias("vol_comparator_ml"), (p * ml - g * ml).alias("vol_diff_ml"))
 
 
 # ------------------------------------------------------------------ region tables

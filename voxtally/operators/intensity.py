@@ -142,3 +142,54 @@ def brain_coverage(
         .select("subject_id", "label", "voxels", (F.col("voxels") * F.col("_ml")).alias("volume_ml"),
                 (F.col("inside") / F.col("voxels")).alias("fraction_inside_brain"))
     )
+
+
+def registration_coverage(
+    expected: DataFrame,
+    source: DataFrame,
+    target: DataFrame,
+    reference: DataFrame,
+    *,
+    group: str = "patient_id",
+    threshold: float = 0.05,
+) -> DataFrame:
+    """How well comparator maps survived a transform, per group, timepoint and comparator.
+
+    ``expected`` has a row per map that should exist, with ``src_ml`` and ``dst_ml``, the voxel
+    size of the map before and after, null where its file is absent: such a map is ``missing``
+    and has one row without label. A map that exists is ``ok``: its labels before and after,
+    both volumes, and a row per label after the transform with voxels, mL and the share inside
+    the brain of the group's reference volume (above ``threshold`` of its maximum; null
+    without one). An empty map has one row without label. ``source`` and ``target`` are sparse
+    voxels with the keys, x, y, z and label; ``reference`` has group, x, y, z and v.
+    """
+    keys = [group, "timepoint", "comparator"]
+    place = [group, "x", "y", "z"]
+    before, after = (side.where(F.col("label") != 0) for side in (source, target))
+    top = cut_lineage(reference.groupBy(group).agg(F.max("v").alias("_max")))
+    brain = reference.join(top, group).where(F.col("v") > F.col("_max") * threshold).select(
+        *place, F.lit(True).alias("_in"))
+    per_label = cut_lineage(
+        after.join(brain, place, "left").groupBy(*keys, "label")
+        .agg(F.count(F.lit(1)).alias("voxels"), F.count("_in").alias("inside")))
+    counted = before.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    # A map has as many labels as its scheme.
+    labels = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    src = counted.groupBy(*keys).agg(labels("label").alias("src_labels"), F.sum("n").alias("_src"))
+    dst = per_label.groupBy(*keys).agg(labels("label").alias("dst_labels"), F.sum("voxels").alias("_dst"))
+    exists = F.col("src_ml").isNotNull() & F.col("dst_ml").isNotNull()
+    shown = lambda c: F.when(exists, c)
+    total = lambda n: F.coalesce(F.col(n), F.lit(0))
+    maps = expected.join(src, keys, "left").join(dst, keys, "left")
+    maps = maps.withColumns({c: F.coalesce(c, F.lit("")) for c in ("src_labels", "dst_labels")})
+    joined = maps.join(per_label, keys, "left").join(top.withColumn("_seen", F.lit(True)).drop("_max"), group, "left")
+    return joined.select(
+        *keys, F.when(exists, "ok").otherwise("missing").alias("status"),
+        shown(F.col("src_labels") == F.col("dst_labels")).alias("labels_preserved"),
+        shown(F.col("src_labels")).alias("src_labels"), shown(F.col("dst_labels")).alias("dst_labels"),
+        shown(total("_src") * F.col("src_ml")).alias("src_volume_ml"),
+        shown(total("_dst") * F.col("dst_ml")).alias("dst_volume_ml"),
+        shown(F.col("label")).alias("label"), shown(F.col("voxels")).alias("voxels"),
+        shown(F.col("voxels") * F.col("dst_ml")).alias("volume_ml"),
+        shown(F.when(F.col("_seen"), F.col("inside") / F.col("voxels"))).alias("fraction_inside_brain"),
+    ).distinct()

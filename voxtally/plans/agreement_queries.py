@@ -271,6 +271,47 @@ def a29_voxel_sizes(spark, folder):
         voxel_mm3=F.lit(1.0) + F.col("subject_id").cast("int") % 3 * F.lit(0.25))
 
 
+@query("a29_checked_comparators", with_ctes(VOLUMES_SQL, COMPARTMENTS_SQL, COMPARATOR_SQL.split("t AS (")[0].rstrip().rstrip(","), """
+files AS (
+  SELECT subject_id, CAST(subject_id AS INTEGER) AS s, kind, sx * sy * sz / 1000.0::DOUBLE AS ml,
+         CASE WHEN kind = 'hdglio' AND CAST(subject_id AS INTEGER) % 6 = 4 THEN 20 ELSE 24 END AS cx
+  FROM grids, (VALUES ('hdglio'), ('deepbratumia')) AS v(kind)
+  WHERE NOT (kind = 'deepbratumia' AND CAST(subject_id AS INTEGER) % 8 = 5)),
+v AS (SELECT f.subject_id, f.kind, kc.compartment, any_value(f.ml) AS ml,
+        count(*) FILTER (WHERE ours) AS p, count(*) FILTER (WHERE list_contains(codes, ref % 3 + (ref > 0)::INTEGER)) AS g,
+        count(*) FILTER (WHERE ours AND list_contains(codes, ref % 3 + (ref > 0)::INTEGER)) AS i
+      FROM files f JOIN kc USING (kind) LEFT JOIN (
+        SELECT subject_id, ref, compartment,
+          CASE compartment WHEN 'WT' THEN pred IN (1,2,4) WHEN 'TC' THEN pred IN (1,4) ELSE pred = 4 END AS ours
+        FROM volumes, comps) x ON x.subject_id = f.subject_id AND x.compartment = kc.compartment
+      WHERE cx = 24 GROUP BY ALL)""", select="""
+SELECT subject_id, kind, 'shape mismatch' AS status, '24x24x24' AS ref_shape, '20x24x24' AS comparator_shape,
+       NULL AS compartment, NULL::DOUBLE AS dice, NULL::DOUBLE AS jaccard, NULL::DOUBLE AS vol_pred_ml,
+       NULL::DOUBLE AS vol_comparator_ml, NULL::DOUBLE AS vol_diff_ml FROM files WHERE cx <> 24
+UNION ALL
+SELECT subject_id, kind, 'ok', '24x24x24', '24x24x24', compartment,
+       CASE WHEN p + g > 0 THEN 2.0::DOUBLE * i / (p + g) END, CASE WHEN p + g - i > 0 THEN 1.0::DOUBLE * i / (p + g - i) END,
+       p * ml, g * ml, p * ml - g * ml FROM v"""), rounded=COMPARATOR_DOUBLES)
+def a29_checked(spark, folder):
+    """Comparator maps in files of their own: some absent, some of another shape."""
+    voxels, number = b.volumes(spark, folder), F.col("subject_id").cast("int")
+    ours = voxels.where("pred > 0").select("subject_id", "x", "y", "z", F.col("pred").alias("label"))
+    code = F.col("ref") % 3 + F.when(F.col("ref") > 0, 1).otherwise(0)
+    kinds = F.explode(F.array(F.lit("hdglio"), F.lit("deepbratumia")))
+    absent = (F.col("kind") == "deepbratumia") & (number % 8 == 5)
+    theirs = voxels.where("ref > 0").select(
+        "subject_id", "x", "y", "z", code.alias("label"), kinds.alias("kind")).where(~absent)
+    sizes = b.grids(spark, folder).withColumn(
+        "voxel_mm3", F.aggregate("voxel_size_mm", F.lit(1.0), lambda a, v: a * v))
+    other = sizes.withColumn("kind", kinds).where(~absent)
+    first = F.when((F.col("kind") == "hdglio") & (number % 6 == 4), 20).otherwise(F.get("shape", F.lit(0)))
+    grids = sizes.select("subject_id", F.lit("dl").alias("source"), "shape", "voxel_mm3").unionByName(other.select(
+        "subject_id", F.col("kind").alias("source"), F.array(first, F.lit(24), F.lit(24)).alias("shape"), "voxel_mm3"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), "x").alias(c)
+    return agreement.checked_comparator_agreement(ours, theirs, grids, keys=["subject_id"]).withColumns(
+        {c: text(c) for c in ("ref_shape", "comparator_shape")})
+
+
 CROSSWALK_SQL = """
 grid AS (SELECT * FROM (SELECT DISTINCT subject_id FROM cells),
   (VALUES (1), (2), (3)) AS r(raw_label), (VALUES ('pred'), ('ref')) AS m(comparator),

@@ -135,3 +135,46 @@ FROM volumes LEFT JOIN br USING (subject_id, x, y, z) WHERE pred <> 0 GROUP BY 1
 def a32(spark, folder):
     labels = b.volumes(spark, folder).select("subject_id", "x", "y", "z", F.col("pred").alias("label"))
     return ops.brain_coverage(labels, b.intensity(spark, folder).where("channel = 'T1'"))
+
+
+@query("a32_registration_coverage", with_ctes(VOLUMES_SQL, INTENSITY_SQL, """
+who AS (SELECT subject_id, CAST(subject_id AS INTEGER) // 10 AS patient_id, CAST(subject_id AS INTEGER) % 10 AS timepoint,
+          comparator, sx * sy * sz / 1000.0::DOUBLE AS src_ml,
+          CASE WHEN NOT (comparator = 'hdglio' AND CAST(subject_id AS INTEGER) % 8 = 5) THEN 0.001::DOUBLE END AS dst_ml
+        FROM grids, (VALUES ('hdglio'), ('deepbratumia')) AS v(comparator)),
+br AS (SELECT CAST(subject_id AS INTEGER) // 10 AS patient_id, x, y, z, true AS inside FROM intensity
+       JOIN (SELECT subject_id, max(v) AS m FROM intensity WHERE channel = 'T1' GROUP BY 1) USING (subject_id)
+       WHERE channel = 'T1' AND CAST(subject_id AS INTEGER) % 10 = 0 AND v > m * 0.05::DOUBLE),
+rf AS (SELECT DISTINCT patient_id, true AS seen FROM br),
+s AS (SELECT subject_id, string_agg(DISTINCT ref, ',' ORDER BY ref) AS l, count(*) AS n FROM volumes WHERE ref > 0 GROUP BY 1),
+tv AS (SELECT w.subject_id, w.comparator, CASE WHEN comparator = 'hdglio' AND pred = 4 THEN 2 ELSE pred END AS label, x, y, z, patient_id
+       FROM who w JOIN volumes USING (subject_id) WHERE pred > 0),
+d AS (SELECT subject_id, comparator, string_agg(DISTINCT label, ',' ORDER BY label) AS l, count(*) AS n FROM tv GROUP BY 1, 2),
+pl AS (SELECT tv.subject_id, comparator, label, count(*) AS voxels, count(inside) AS inside
+       FROM tv LEFT JOIN br USING (patient_id, x, y, z) GROUP BY 1, 2, 3)""", select="""
+SELECT w.patient_id, w.timepoint, w.comparator, CASE WHEN dst_ml IS NULL THEN 'missing' ELSE 'ok' END AS status,
+  CASE WHEN dst_ml IS NOT NULL THEN coalesce(s.l, '') = coalesce(d.l, '') END AS labels_preserved,
+  CASE WHEN dst_ml IS NOT NULL THEN coalesce(s.l, '') END AS src_labels, CASE WHEN dst_ml IS NOT NULL THEN coalesce(d.l, '') END AS dst_labels,
+  CASE WHEN dst_ml IS NOT NULL THEN coalesce(s.n, 0) * src_ml END AS src_volume_ml, coalesce(d.n, 0) * dst_ml AS dst_volume_ml,
+  pl.label, pl.voxels, pl.voxels * dst_ml AS volume_ml,
+  CASE WHEN seen THEN pl.inside::DOUBLE / pl.voxels END AS fraction_inside_brain
+FROM who w LEFT JOIN s USING (subject_id) LEFT JOIN d USING (subject_id, comparator)
+  LEFT JOIN pl ON pl.subject_id = w.subject_id AND pl.comparator = w.comparator AND dst_ml IS NOT NULL
+  LEFT JOIN rf USING (patient_id)"""),
+       rounded=["src_volume_ml", "dst_volume_ml", "volume_ml", "fraction_inside_brain"])
+def a32_registration(spark, folder):
+    """Comparator maps before (``ref``) and after (``pred``, where one comparator loses a
+    label); some transforms left no file."""
+    number = F.col("subject_id").cast("int")
+    who = [F.floor(number / 10).cast("int").alias("patient_id"), (number % 10).alias("timepoint")]
+    kinds = F.explode(F.array(F.lit("hdglio"), F.lit("deepbratumia"))).alias("comparator")
+    lost = (F.col("comparator") == "hdglio") & (F.col("_k") % 8 == 5)
+    size = F.aggregate("voxel_size_mm", F.lit(1.0), lambda a, v: a * v) / 1000.0
+    expected = b.grids(spark, folder).select(*who, kinds, number.alias("_k"), size.alias("src_ml")).withColumn(
+        "dst_ml", F.when(~lost, F.lit(0.001))).drop("_k")
+    voxels = b.volumes(spark, folder).select(*who, "x", "y", "z", "pred", "ref", kinds)
+    source = voxels.where("ref > 0").withColumn("label", F.col("ref"))
+    merged = (F.col("comparator") == "hdglio") & (F.col("pred") == 4)
+    target = voxels.where("pred > 0").withColumn("label", F.when(merged, 2).otherwise(F.col("pred")))
+    reference = visits(spark, folder).where("timepoint = 0 AND channel = 'T1'")
+    return ops.registration_coverage(expected, source, target, reference)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from voxtally.llm import components, leaks, near_dedup, passages, shingles
 from voxtally.llm.common import table
+from voxtally.session import cut_lineage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -150,7 +151,7 @@ class TestNearCopies:
         nodes = classes.select(F.substring("key", 2, 9).cast("string").cast("long").alias("node"), "key",
                                F.lit(1 << 5).cast("bigint").alias("used"))
         for depth in (2, 3, 4):
-            nodes = near_dedup._children(nodes, classes).localCheckpoint()
+            nodes = near_dedup._children(nodes, classes).transform(cut_lineage)
             assert {r[0] for r in nodes.select(F.bit_count("used")).distinct().collect()} == {depth}
         together = nodes.groupBy("node").agg(F.count_distinct("key").alias("n"), F.first("key").alias("key")).where("n = 2")
         left = together.select(F.substring("key", 2, 9)).distinct().count()

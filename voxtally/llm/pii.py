@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCUMENTS = 600
+# Training only: texts drawn, and the longest stretch used (a table of numbers teaches nothing
+# about single spans). Every stretch of every text is searched, whatever its length.
+TRAIN_DOCUMENTS, TRAIN_TOKENS = 600, 64
 MAX_TOKENS = 6
 EPOCHS, RATE, DECAY = 12, 0.2, 1e-4
 # Left out of every other training step, so that the rest of a span has to speak for it too.
@@ -223,8 +225,8 @@ def train(texts: list[str]) -> np.ndarray:
         step = RATE / (1 + 0.3 * epoch)
         for r in order.permutation(len(runs)):
             n, segments, gold = runs[r]
-            if n > 64:
-                continue  # a table of numbers teaches nothing about single spans
+            if n > TRAIN_TOKENS:
+                continue
             if order.random() < 0.5:
                 segments = {key: tuple(i for i in f if i not in dropped) for key, f in segments.items()}
             scores = _scores(segments, weights)
@@ -268,9 +270,8 @@ def all_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int, bool]
     added = []
     for kind, start, end in field_spans(text, weights):
         if start < end and not any(s < end and start < e for s, e in ends):
-            added.append((f"{kind}_like", start, end, False))
-    added.sort(key=lambda s: (KINDS.index(s[0].removesuffix("_like")), s[1]))
-    return [(*s, True) for s in base] + added
+            added.append((kind, start, end, False))
+    return sorted([(*s, True) for s in base] + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def sample(documents: DataFrame, most: int = TRAIN_DOCUMENTS) -> list[str]:
@@ -289,7 +290,7 @@ def sample(documents: DataFrame, most: int = TRAIN_DOCUMENTS) -> list[str]:
 def find(documents: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """``doc_id`` and ``spans`` (kind, start, end, base), one row per row of ``documents``.
 
-    Base spans come first, by kind and start; the field's follow under ``<kind>_like``, and
+    Spans come by kind as listed, then start; those the field adds are not ``base``, and stand
     only where they overlap no base span. Offsets are code points of the whole text, ends
     exclusive. A null or empty text has no spans; repeated rows have equal ones; other
     columns are left out; an empty table gives an empty one.

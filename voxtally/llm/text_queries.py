@@ -21,6 +21,7 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *map(count, pii.KINDS),
         F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
     )
 
 

@@ -2,8 +2,8 @@
 
 Benchmark items come in blocks of ``ITEMS``, so memory does not grow with the benchmark. For
 a block, the words of its items are the terms (any other word scores 0 against every item);
-words that stand in many items are stop words. Documents are read once into positions of
-terms. Over all their passages come document frequencies, then a randomised singular value
+words that stand in many items are stop words, terms without weight. Documents are read once
+into positions of terms, from which all that follows is decided. Over all their passages come document frequencies, then a randomised singular value
 decomposition of the TF-IDF matrix: each pass multiplies it by a thin matrix where the
 passages are and sums the small products by term. Every window of every document is compared
 by cosine in that space with every item of whose terms its part of the text has enough at all;
@@ -31,6 +31,7 @@ STOP_SHARE, STOP_ITEMS = 0.05, 20
 COSINE = 0.5
 COPIED, REWORDED, ANSWERED = 0.75, 0.55, 0.8
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
+FOUND = "doc_id bigint, item_id bigint, start bigint, stop bigint, cosine double, shared double, answered double"
 _OUTER = b".,;:!?\"'()[]{}<>"
 
 
@@ -86,6 +87,10 @@ class Block:
             for w in ([x for x in words if seen[x] <= most] or words)  # no item loses every word
         })
         self.terms = {w: i for i, w in enumerate(terms)}
+        # Stop words, and words that only an answer's other splitting makes, are numbered after the
+        # terms, so that whole items and answers can be compared where terms stand in a text.
+        rest = sorted({w for words in [*self.words, *self.answers] for w in words} - set(terms))
+        self.numbers = self.terms | {w: i for i, w in enumerate(rest, len(terms))}
         self.sequences = [[self.terms[w] for w in words if w in self.terms] for words in self.words]
         # Terms in order without which an item cannot be found, were every other word of it there.
         self.enough = [
@@ -109,27 +114,30 @@ class _Terms(dict):
 
 
 def _occurrences(documents: DataFrame, block: Block) -> DataFrame:
-    """``doc_id``, ``at``, ``term``: word positions of terms in each document that has any."""
-    terms = block.terms
+    """``doc_id``, ``words`` (their number), ``at``, ``term``: positions of terms, and of stop
+    words under the numbers beyond the terms, in each document that has a term."""
+    numbers, d = block.numbers, len(block.terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms(terms)
+        known = _Terms(numbers)
         kind = pa.list_(pa.int32())
         for batch in batches:
-            ids, at, term = [], [], []
+            ids, sizes, at, term = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.large_binary())):
                 words = (text.as_py() or b"").lower().split()
                 found = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                 where = np.flatnonzero(found >= 0)
-                if len(where):
+                if np.any(found[where] < d):
                     ids.append(doc_id.as_py())
+                    sizes.append(len(words))
                     at.append(where.astype(np.int32))
                     term.append(found[where])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(at, kind), pa.array(term, kind)],
-                names=["doc_id", "at", "term"])
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(at, kind), pa.array(term, kind)],
+                names=["doc_id", "words", "at", "term"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, at array<int>, term array<int>")
+    return documents.select("doc_id", "text").mapInArrow(
+        run, "doc_id bigint, words int, at array<int>, term array<int>")
 
 
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -138,13 +146,15 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
 
 
-def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
-    """Passage number and term of every occurrence of a batch, and the number of passages.
+def _passages(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Passage number and term of every occurrence of the ``d`` terms in a batch, and the number
+    of passages.
 
     Passages do not overlap here; a repeated term within one counts once.
     """
     rows, terms, base = [], [], 0
     for at, term in zip(_lists(batch.column("at")), _lists(batch.column("term"))):
+        at, term = at[term < d], term[term < d]
         rows.append(base + at // PASSAGE)
         terms.append(term)
         base += int(at[-1]) // PASSAGE + 1
@@ -159,7 +169,7 @@ def _frequencies(found: DataFrame, d: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(d + 1, np.int64), 0
         for batch in batches:
-            _, terms, n = _passages(batch)
+            _, terms, n = _passages(batch, d)
             total[:d] += np.bincount(terms, minlength=d)
             passages += n
         total[d] = passages
@@ -178,7 +188,7 @@ def _product(found: DataFrame, weights: np.ndarray, thin: np.ndarray) -> np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((d, k))
         for batch in batches:
-            rows, terms, _ = _passages(batch)
+            rows, terms, _ = _passages(batch, d)
             for part in range(0, len(rows), 1 << 18):  # bounds the dense products
                 r, t = rows[part : part + (1 << 18)], terms[part : part + (1 << 18)]
                 starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
@@ -225,12 +235,16 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    """``doc_id``, ``item`` (number in the block), ``start``, ``stop`` (words), ``cosine``."""
+    """``doc_id``, ``item_id``, ``start``, ``stop`` (words), ``cosine``, ``shared``, ``answered``
+    of every stretch near an item that the words of both confirm."""
     terms = weights[:, None] * vectors
     queries = _units(np.stack([terms[s].sum(axis=0) if s else np.zeros(terms.shape[1]) for s in block.sequences]))
     queries = queries.astype(np.float32)
     sequences = block.sequences
     masks = [masks_of(s) for s in sequences]
+    d, ids = len(weights), block.ids
+    whole, answers = ([masks_of([block.numbers[w] for w in words]) for words in side]
+                      for side in (block.words, block.answers))
     longest = max(map(len, block.words), default=0)
     # Which items hold a term, and how often: flat lists by term.
     held = sorted((t, i) for i, own in enumerate(sequences) for t in own)
@@ -249,13 +263,21 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
     # Whatever a window can find lies within one of the overlapping parts of a text.
     reach = -(-(max(WINDOWS) + 2 * longest) // STEP) * STEP
 
-    def parts(at: np.ndarray, term: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    def parts(all_at: np.ndarray, all_term: np.ndarray) -> Iterator[tuple]:
+        at, term = all_at[all_term < d], all_term[all_term < d]
         for begin in range(0, max(1, int(at[-1]) - reach + 1), reach):
             low, high = np.searchsorted(at, (begin, begin + 2 * reach))
             items = possible(term[low:high]) if low < high else ()
             if len(items):
                 for item, start, stop, cosine in near(at[low:high] - begin, term[low:high], items):
-                    yield item, start + begin, stop + begin, cosine
+                    start, stop = start + begin, stop + begin
+                    low_, high_ = np.searchsorted(all_at, (start, stop))
+                    region = all_term[low_:high_].tolist()
+                    shared = common(whole[item], region) / max(1, whole[item][None])
+                    if shared >= REWORDED:
+                        answered = common(answers[item], region) / max(1, answers[item][None])
+                        if shared >= COPIED or answered >= ANSWERED:
+                            yield ids[item], start, stop, cosine, shared, answered
 
     def near(at: np.ndarray, term: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         cell = at // STEP
@@ -281,54 +303,19 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
                     yield int(item), start, stop, float(scores[run, column].max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [
-                (doc_id.as_py(), *hit)
-                for doc_id, at, term in zip(
-                    batch.column("doc_id"), _lists(batch.column("at")), _lists(batch.column("term")))
-                for hit in parts(at, term)
-            ]
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)],
-                names=["doc_id", "item", "start", "stop", "cosine"])
-
-    return found.mapInArrow(run, "doc_id bigint, item bigint, start bigint, stop bigint, cosine double")
-
-
-def _checked(documents: DataFrame, candidates: DataFrame, block: Block) -> DataFrame:
-    """Candidates that hold on the words of the texts."""
-    ids, words, answers = block.ids, block.words, block.answers
-    grouped = candidates.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_list(F.struct("item", "start", "stop", "cosine")).alias("__hits"))
-    grouped = cut_lineage(grouped)  # per document no more than its stretches by the block's items
-    side = F.broadcast(grouped) if grouped.count() <= BROADCAST_IDS // 10 else grouped
-    texts = documents.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("__id")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = [(masks_of(w), masks_of(a)) for w, a in zip(words, answers)]
         for batch in batches:
             out = []
-            for doc_id, text, hits in zip(*[batch.column(c) for c in ("doc_id", "text", "__hits")]):
-                raw = [w.strip(_OUTER) for w in (text.as_py() or "").encode().lower().split()]
-                for hit in hits.as_py():
-                    item, region = hit["item"], raw[hit["start"] : hit["stop"]]
-                    whole, answer = masks[item]
-                    shared = common(whole, region) / max(1, whole[None])
-                    answered = common(answer, region) / max(1, answer[None])
-                    if shared >= COPIED or shared >= REWORDED and answered >= ANSWERED:
-                        out.append((doc_id.as_py(), ids[item], hit["start"], min(hit["stop"], len(raw)),
-                                    hit["cosine"], shared, answered))
+            for doc_id, n, at, term in zip(
+                    batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(),
+                    _lists(batch.column("at")), _lists(batch.column("term"))):
+                out += [(doc_id, item, start, min(stop, n), *rest) for item, start, stop, *rest in parts(at, term)]
             columns = list(zip(*out)) or [[]] * 7
             kinds = [pa.int64()] * 4 + [pa.float64()] * 3
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds)],
                 names=["doc_id", "item_id", "start", "stop", "cosine", "shared", "answered"])
 
-    schema = ("doc_id bigint, item_id bigint, start bigint, stop bigint, cosine double, "
-              "shared double, answered double")
-    return texts.select("doc_id", "text", "__hits").mapInArrow(run, schema)
+    return found.mapInArrow(run, FOUND)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -353,12 +340,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = cut_lineage(_occurrences(documents, block))
         weights = _frequencies(found, len(block.terms))
         vectors = space(found, weights)
-        candidates = cut_lineage(_candidates(found, block, weights, vectors))
-        results.append(cut_lineage(_checked(documents, candidates, block)))
+        results.append(cut_lineage(_candidates(found, block, weights, vectors)))
     if not results:
-        return empty(
-            documents.sparkSession, "doc_id bigint, item_id bigint, start bigint, stop bigint, cosine double, shared double, "
-            "answered double")
+        return empty(documents.sparkSession, FOUND)
     out = results[0]
     for more in results[1:]:
         out = out.union(more)

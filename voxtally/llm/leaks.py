@@ -260,6 +260,25 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
         counts = np.bincount(items_of[at], minlength=len(sequences))
         return np.flatnonzero((counts > 0) & (counts >= enough))
 
+    # Per item its words as marks by number: one byte for each word of the block.
+    size = len(block.numbers)
+    marks = np.zeros((len(sequences), size), bool)
+    for i, words in enumerate(block.words):
+        marks[i, [block.numbers[w] for w in words]] = True
+    full = [int(np.ceil(REWORDED * len(words) - 1e-9)) for words in block.words]
+
+    def holding(items: np.ndarray, own: np.ndarray, all_at: np.ndarray, all_term: np.ndarray, begin: int) -> np.ndarray:
+        """Of these, items that the part as a whole has in order; none of its windows has more."""
+        low, high = np.searchsorted(all_at, (begin, begin + 2 * reach))
+        region, kept = all_term[low:high], []
+        for i in items.tolist():
+            some = own[marks[i, own]]
+            if len(some) >= enough[i] and common(masks[i], some.tolist()) >= enough[i]:
+                some = region[marks[i, region]]
+                if len(some) >= full[i] and common(whole[i], some.tolist()) >= full[i]:
+                    kept.append(i)
+        return np.array(kept, np.int64)
+
     # Whatever a window can find lies within one of the overlapping parts of a text.
     reach = -(-(max(WINDOWS) + 2 * longest) // STEP) * STEP
 
@@ -268,6 +287,8 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
         for begin in range(0, max(1, int(at[-1]) - reach + 1), reach):
             low, high = np.searchsorted(at, (begin, begin + 2 * reach))
             items = possible(term[low:high]) if low < high else ()
+            if len(items):
+                items = holding(items, term[low:high], all_at, all_term, begin)
             if len(items):
                 for item, start, stop, cosine in near(at[low:high] - begin, term[low:high], items):
                     start, stop = start + begin, stop + begin

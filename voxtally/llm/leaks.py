@@ -152,16 +152,18 @@ def _passages(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, in
 
     Passages do not overlap here; a repeated term within one counts once.
     """
-    rows, terms, base = [], [], 0
-    for at, term in zip(_lists(batch.column("at")), _lists(batch.column("term"))):
-        at, term = at[term < d], term[term < d]
-        rows.append(base + at // PASSAGE)
-        terms.append(term)
-        base += int(at[-1]) // PASSAGE + 1
-    if not rows:
+    at, term = batch.column("at"), batch.column("term")
+    lengths = np.diff(at.offsets.to_numpy())
+    at, term = at.flatten().to_numpy(), term.flatten().to_numpy()
+    if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    keys = np.unique((np.concatenate(rows).astype(np.int64) << 32) | np.concatenate(terms))
-    return keys >> 32, keys & 0xFFFFFFFF, base
+    own = term < d
+    text, at, term = np.repeat(np.arange(len(lengths)), lengths)[own], at[own], term[own]
+    count = np.zeros(len(lengths), np.int64)
+    count[text] = at // PASSAGE + 1  # the last occurrence of a text has the last say
+    base = np.cumsum(count) - count
+    keys = np.unique(((base[text] + at // PASSAGE) << 32) | term)
+    return keys >> 32, keys & 0xFFFFFFFF, int(count.sum())
 
 
 def _frequencies(found: DataFrame, d: int) -> np.ndarray:
@@ -252,13 +254,25 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
     first = np.searchsorted([t for t, _ in held], np.arange(len(weights) + 1))
     enough = np.array(block.enough)
 
-    def possible(term: np.ndarray) -> np.ndarray:
-        """Items of which the part has enough terms, anywhere; no other can be found in it."""
-        own = np.unique(term)
-        low, n = first[own], first[own + 1] - first[own]
-        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        counts = np.bincount(items_of[at], minlength=len(sequences))
-        return np.flatnonzero((counts > 0) & (counts >= enough))
+    def possible(parts: np.ndarray, term: np.ndarray) -> dict[int, np.ndarray]:
+        """Per part of a text the items of whose terms it has enough, anywhere; no other can be
+        found in it. ``parts`` and ``term`` hold one entry per occurrence."""
+        out: dict[int, np.ndarray] = {}
+        own = np.unique(parts * len(weights) + term)
+        parts, term = own // len(weights), own % len(weights)
+        last, step = int(parts[-1]) + 1 if len(parts) else 0, max(1, (1 << 22) // len(sequences))
+        for begin in range(0, last, step):
+            low, high = np.searchsorted(parts, (begin, begin + step))
+            chosen = term[low:high]
+            at, n = first[chosen], first[chosen + 1] - first[chosen]
+            held_by = items_of[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            counts = np.bincount(
+                np.repeat(parts[low:high] - begin, n) * len(sequences) + held_by,
+                minlength=min(step, last - begin) * len(sequences)).reshape(-1, len(sequences))
+            part, item = np.nonzero((counts > 0) & (counts >= enough))
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+            out |= {begin + int(part[k]): item[k:e] for k, e in zip(starts, [*starts[1:], len(part)])}
+        return out
 
     # Per item its words as marks by number: one byte for each word of the block.
     size = len(block.numbers)
@@ -269,7 +283,7 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
 
     def holding(items: np.ndarray, own: np.ndarray, all_at: np.ndarray, all_term: np.ndarray, begin: int) -> np.ndarray:
         """Of these, items that the part as a whole has in order; none of its windows has more."""
-        low, high = np.searchsorted(all_at, (begin, begin + 2 * reach))
+        low, high = np.searchsorted(all_at, (begin, begin + 2 * reach + max(WINDOWS) + longest))
         region, kept = all_term[low:high], []
         for i in items.tolist():
             some = own[marks[i, own]]
@@ -282,13 +296,13 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
     # Whatever a window can find lies within one of the overlapping parts of a text.
     reach = -(-(max(WINDOWS) + 2 * longest) // STEP) * STEP
 
-    def parts(all_at: np.ndarray, all_term: np.ndarray) -> Iterator[tuple]:
-        at, term = all_at[all_term < d], all_term[all_term < d]
-        for begin in range(0, max(1, int(at[-1]) - reach + 1), reach):
+    def parts(all_at: np.ndarray, all_term: np.ndarray, wanted: dict[int, np.ndarray]) -> Iterator[tuple]:
+        content = all_term < d
+        at, term = all_at[content], all_term[content]
+        for part, items in wanted.items():
+            begin = part * reach
             low, high = np.searchsorted(at, (begin, begin + 2 * reach))
-            items = possible(term[low:high]) if low < high else ()
-            if len(items):
-                items = holding(items, term[low:high], all_at, all_term, begin)
+            items = holding(items, term[low:high], all_at, all_term, begin)
             if len(items):
                 for item, start, stop, cosine in near(at[low:high] - begin, term[low:high], items):
                     start, stop = start + begin, stop + begin
@@ -300,6 +314,27 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
                         if shared >= COPIED or answered >= ANSWERED:
                             yield ids[item], start, stop, cosine, shared, answered
 
+    def wanted(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[dict[int, np.ndarray]]:
+        """Per text its parts that can hold an item, with those items; all texts at once."""
+        owners, numbers, terms_, n_parts = [], [], [], [0]
+        for all_at, all_term in rows:
+            content = all_term < d
+            at, term = all_at[content].astype(np.int64), all_term[content]
+            count = len(range(0, max(1, int(at[-1]) - reach + 1), reach))
+            for back in (0, 1):  # an occurrence lies in the part that starts before it and the one before
+                part = at // reach - back
+                inside = (part >= 0) & (part < count)
+                numbers.append(part[inside] + n_parts[-1])
+                terms_.append(term[inside])
+            owners.append(n_parts[-1])
+            n_parts.append(n_parts[-1] + count)
+        out: list[dict[int, np.ndarray]] = [{} for _ in rows]
+        if rows:
+            texts = np.repeat(np.arange(len(rows)), np.diff(n_parts))
+            for part, items in possible(np.concatenate(numbers), np.concatenate(terms_).astype(np.int64)).items():
+                out[texts[part]][part - owners[texts[part]]] = items
+        return out
+
     def near(at: np.ndarray, term: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         cell = at // STEP
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -326,10 +361,11 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, n, at, term in zip(
-                    batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(),
-                    _lists(batch.column("at")), _lists(batch.column("term"))):
-                out += [(doc_id, item, start, min(stop, n), *rest) for item, start, stop, *rest in parts(at, term)]
+            rows = list(zip(_lists(batch.column("at")), _lists(batch.column("term"))))
+            for doc_id, n, (at, term), items in zip(
+                    batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(), rows, wanted(rows)):
+                if items:
+                    out += [(doc_id, item, start, min(stop, n), *rest) for item, start, stop, *rest in parts(at, term, items)]
             columns = list(zip(*out)) or [[]] * 7
             kinds = [pa.int64()] * 4 + [pa.float64()] * 3
             yield pa.RecordBatch.from_arrays(

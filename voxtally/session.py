@@ -37,9 +37,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one for one run's files."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def folders_made() -> int:
+    """How many run folders this process has named so far; see ``folders_since``."""
+    return len(_made)
+
+
+def folders_since(mark: int) -> list[str]:
+    return _made[mark:]
+
+
+def drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete run folders, and no others, that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        if folder in _made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

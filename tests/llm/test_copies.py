@@ -234,6 +234,42 @@ def lcs(a, b):
     return row[-1]
 
 
+class TestEndEdits:
+    """Near passages of 50 to 60 words that are changed near one end or both."""
+
+    @pytest.mark.parametrize("n, edits", [(50, [1]), (50, [4]), (50, [48]), (50, [1, 46]), (52, [1]), (55, [1, 51]), (60, [1, 57])])
+    def test_frames(self, n, edits):
+        draw = random.Random(n + sum(edits))
+        lost = 0
+        for _ in range(50):
+            word = lambda: "w%d" % draw.randrange(10**9)
+            passage = [word() for _ in range(n)]
+            changed = [word() if i in edits else w for i, w in enumerate(passage)]
+            sides = []
+            for own in (passage, changed):
+                text = [word() for _ in range(draw.randrange(8, 60))] + own + [word() for _ in range(draw.randrange(8, 60))]
+                sides.append(shingles.sequence(shingles.word_hashes(" ".join(text).encode())))
+            full = [shingles.sequence(shingles.word_hashes(" ".join(x).encode())) for x in (passage, changed)]
+            near = len(set(full[0]) & set(full[1])) / len(set(full[0]) | set(full[1]))
+            assert near >= 0.75
+            found = passages.shared_passages(*[(x >> np.uint64(32)).astype(np.uint32) for x in sides])
+            lost += not found
+            assert all(j >= 0.75 and s1 - s0 + 1 >= passages.SHINGLES for s0, s1, _, _, j in found)
+        assert lost == 0
+
+    def test_operator(self, spark):
+        draw = random.Random(5)
+        word = lambda: "w%d" % draw.randrange(10**9)
+        rows = []
+        for k in range(40):
+            passage = [word() for _ in range(52)]
+            changed = [word() if i == 1 else w for i, w in enumerate(passage)]
+            for j, own in enumerate((passage, changed)):
+                rows.append((2 * k + j, " ".join([word() for _ in range(30)] + own + [word() for _ in range(30)])))
+        got = {r["doc_id"] for r in passages.repeated_passages(documents(spark, rows)).collect()}
+        assert len(got) == 40
+
+
 class TestLeaks:
     def test_common_subsequence(self):
         draw = random.Random(8)

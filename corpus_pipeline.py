@@ -1,11 +1,13 @@
 """From documents to a training mix: quality, lines, near copies, benchmark leaks, weights.
 
 Each stage takes and returns whole tables; ``run`` writes each stage's result to the shared
-folder and reads it back, so an executor lost later costs one stage at most.
+folder and reads it back, so an executor lost later costs one stage at most. A stage first
+deletes the intermediate tables of the one before it, whose result stands written by then.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +15,38 @@ from pyspark.sql import functions as F
 
 from voxtally.llm import leaks, line_dedup, mixing, near_dedup, quality
 from voxtally.llm.common import WORD, table
-from voxtally.session import cut_lineage
+from voxtally.session import cut_lineage, drop_folders, folders_made, folders_since
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+_left: list[str] = []
 
+
+def stage(work: Stage) -> Stage:
+    """Frees what the stage before left, unless ``docs`` still reads it (a result not written)."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _left else []
+        # A folder's name is unique, however the file system spells its path.
+        if not any(folder.rsplit("/", 1)[-1] in file for folder in _left for file in read):
+            drop_folders(spark, _left)
+        mark = folders_made()
+        out = work(spark, docs, sf_dir)
+        _left[:] = folders_since(mark)
+        return out
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule, or whose host does, go."""
     judged = quality.judge(cut_lineage(quality.rule_stats(docs)))
     return judged.where("kept").select(*docs.columns)
 
 
+@stage
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stood in an earlier document go. A document that loses every word, a
     whole copy, goes with them; ``n_chars`` follows the text."""
@@ -34,16 +57,19 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ).select(*docs.columns)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
     return near_dedup.one_of_each(docs).select(*docs.columns)
 
 
+@stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return leaks.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; ``copy`` numbers its copies."""
     return mixing.emit(mixing.mix(docs)).select(*docs.columns, "copy")

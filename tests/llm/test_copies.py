@@ -131,6 +131,24 @@ class TestNearCopies:
         held = {bytes(r["key"]): bytes(r["root"]) for r in join.labels.collect()}
         assert held[bytes(rows[0]["key"])] == held[bytes(rows[9]["key"])]
 
+    @pytest.mark.parametrize("small", [1024, 50])
+    def test_many_copies_just_below_the_threshold(self, spark, monkeypatch, small):
+        monkeypatch.setattr(near_dedup, "APART", 3)
+        monkeypatch.setattr(near_dedup, "SMALL", small)  # at 50 the sketch has to do
+        tried = []
+        confirm = near_dedup._Join.confirm
+        monkeypatch.setattr(near_dedup._Join, "confirm", lambda join, pairs: (
+            tried.append(pairs.count()), confirm(join, pairs))[1])
+        draw = random.Random(14)
+        base = sentence(draw, 100)
+        copies = [[*base[:i], f"x{i}", *base[i + 1 : 50 + i], f"y{i}", *base[51 + i :]] for i in range(6, 42)]
+        copies += [edited(draw, copies[i % 36], 1) for i in range(0, 60, 5)]
+        data = [(i, " ".join(w)) for i, w in enumerate(copies)]
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_copies(documents(spark, data)).collect()}
+        assert got == brute_components(data)
+        if small == 1024:  # some 1100 pairs are at 0.65 to 0.75 and need no confirmation
+            assert sum(tried) < 5 * len(data)
+
     def test_estimate_admits_pairs_at_the_threshold(self, spark):
         a = [f"w23x{i}" for i in range(3504)]
         b = [f"e23x{i // 35}" if i % 35 == 2 and i < 3500 else w for i, w in enumerate(a)]

@@ -9,8 +9,12 @@ every level; three keep it on ever more paths.
 A small node is compared exhaustively. Candidates are confirmed on full sets.
 
 Only components are asked for, so a node needs no further work once its sets are in one
-component. Each node first links its sets to one pivot; what is left apart is then compared
-across components only. That keeps thousands of copies of one text linear.
+component. Each node first links its sets to one pivot; while that leaves many apart, sets
+outside the largest component try further pivots, round by round, until a round gains little.
+Only then is what is left compared across components. That keeps thousands of copies of one
+text linear, also where few of them are close to any one. Where many stay apart, sets of up to
+``SMALL`` shingles are compared in full inside the join, so that pairs just below the
+threshold, which the sketch cannot tell from links, never become rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from voxtally.llm import shingles
 from voxtally.llm.common import empty, row_key
 from voxtally.llm.components import components
-from voxtally.session import cut_lineage
+from voxtally.session import cut_lineage, drop_folders, folders_made, folders_since
 
 PERCENT = 75
 TOKENS = 32
@@ -36,6 +40,10 @@ DEPTH = 16
 BRANCHES = 3
 AGREE = 13  # of 32 tokens; a pair at 0.75 has fewer in one of 100,000 cases
 LIKELY = 61  # percent of 252 hash ranges; 5 standard deviations below a pair at 0.75
+APART = 16  # sets outside a node's largest component from which further pivots are tried
+PIVOTS = 4  # a node and round, half of them of its largest component
+GAIN = 0.75  # a node goes on while a round leaves at most this share of them apart
+SMALL = 1024  # shingles, 8 KB a set
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 BATCH_BYTES = 4_000_000
 
@@ -80,6 +88,13 @@ def _set_batch(keys: list[bytes], members: list[bytes]) -> pa.RecordBatch:
         [pa.array(keys, pa.binary()), pa.array(members, pa.binary())], names=["key", "members"])
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("members")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "small"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [
@@ -127,12 +142,15 @@ class _Join:
 
     def __init__(self, documents: DataFrame):
         self.documents = documents
-        self.signed = cut_lineage(documents.select("doc_id", "text").mapInArrow(_sign, SIGNED))
+        signed, folders = _staged(documents.select("doc_id", "text").mapInArrow(_sign, SIGNED))
         self.classes = cut_lineage(
-            self.signed.where("n > 0").groupBy("key").agg(
+            signed.where("n > 0").groupBy("key").agg(
                 F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"),
                 F.first("sketch").alias("sketch")))
+        # The sketches are kept once, by class.
+        self.signed = cut_lineage(signed.select("doc_id", "key", "n"))
         spark = documents.sparkSession
+        drop_folders(spark, folders)
         self.labels = empty(spark, "key binary, root binary")
         self.tested = empty(spark, "a binary, b binary")
         self.sets = empty(spark, "key binary, members binary")
@@ -203,12 +221,66 @@ class _Join:
             "node", F.col("top.root").alias("major"), (F.col("total") - F.col("top.c")).alias("minor"))
         return known.join(nodes, "node")
 
+    def settle(self, members: DataFrame) -> DataFrame:
+        """``labelled`` members after further pivots, tried where many sets are still apart.
+
+        A round costs ``PIVOTS`` rows a set that is apart. It changes which pairs are tried
+        first and no result: what stays apart is compared or branches as before.
+        """
+        mixed, folders = _staged(self.labelled(members))
+        busy = mixed.where(F.col("minor") > APART)
+        turn = 0
+        while not busy.isEmpty():
+            turn += 1
+            drawn = [F.struct(F.xxhash64(F.lit(turn), F.lit(j), "key").alias("at"), "key", "root")
+                     for j in range(PIVOTS)]
+            pivots = busy.groupBy("node").agg(*[
+                F.min(F.when(F.col("root") == F.col("major"), x) if j % 2 == 0 else x).alias(f"p{j}")
+                for j, x in enumerate(drawn)
+            ]).select("node", F.explode(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("p"))
+            tried = busy.where("root <> major").join(pivots, "node").where(F.col("root") != F.col("p.root")).select(
+                F.col("p.key").alias("a"), F.col("key").alias("b")).distinct()
+            best = self.estimate(tried.join(self.tested, ["a", "b"], "left_anti")).groupBy("b").agg(
+                F.max_by("a", F.struct("like", "a")).alias("a"))
+            self.confirm(cut_lineage(best.select("a", "b")))
+            before = busy.groupBy("node").agg(F.first("minor").alias("before"))
+            busy = cut_lineage(
+                self.labelled(busy.select("node", "key", "place", "used")).join(before, "node")
+                .where((F.col("minor") <= GAIN * F.col("before")) & (F.col("minor") > APART)).drop("before"))
+        if not turn:
+            return mixed
+        settled = cut_lineage(self.labelled(mixed.select("node", "key", "place", "used")))
+        drop_folders(members.sparkSession, folders)
+        return settled
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with the present components of both ends, those within one left out."""
+        out = pairs.select("a", "b", "like")
+        for side in ("a", "b"):
+            out = out.join(self.labels.select(F.col("key").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+        return out.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
+
+    def small(self, members: DataFrame) -> DataFrame:
+        """``key``, ``small``: the whole set, where that is not above ``SMALL``, of the members of
+        nodes in which many are apart."""
+        keys = cut_lineage(
+            members.where(F.col("minor") > APART).select("key").distinct()
+            .join(self.classes.where(F.col("n") <= SMALL).select("key"), "key"))
+        if keys.isEmpty():
+            return empty(members.sparkSession, "key binary, small array<bigint>")
+        self.fetch(keys)
+        return cut_lineage(
+            self.sets.join(keys, "key", "left_semi").mapInArrow(_small, "key binary, small array<bigint>"))
+
     def across(self, mixed: DataFrame, large: DataFrame) -> DataFrame:
         """Candidate pairs of different components within nodes: each set outside the node's
         largest component with every set of another component. ``large``: nodes that branch."""
-        full = mixed.withColumnRenamed("key", "a").join(self.side("a"), "a")
+        small = self.small(mixed)
+        whole = {x: small.select(F.col("key").alias(x), F.col("small").alias(f"{x}_small")) for x in ("a", "b")}
+        full = mixed.withColumnRenamed("key", "a").join(self.side("a"), "a").join(whole["a"], "a", "left")
         few = mixed.where(F.col("root") != F.col("major")).select(
-            "node", F.col("key").alias("b"), F.col("root").alias("rb")).join(self.side("b"), "b")
+            "node", F.col("key").alias("b"), F.col("root").alias("rb")).join(self.side("b"), "b").join(
+            whole["b"], "b", "left")
         # A pair meets in every node it shares; at the roots only the first of them that is
         # compared counts. One that branches is not, and a set has the same one at its place.
         branching = large.groupBy(F.col("key").alias("b")).agg(
@@ -218,10 +290,16 @@ class _Join:
             F.sequence(F.lit(0), F.lit(len(_root_positions()) - 1)),
             lambda i: (i < F.col("place")) & (_root_token("a_tokens", i) == _root_token("b_tokens", i))
             & (F.getbit(F.coalesce("branching", F.lit(0)), i) == 0))
+        # Two whole sets decide at once; the sketch stands in where one is missing.
+        linked = F.when(
+            F.col("a_small").isNotNull() & F.col("b_small").isNotNull(),
+            (100 + PERCENT) * F.size(F.array_intersect("a_small", "b_small")) >= PERCENT * (F.col("a_n") + F.col("b_n"))
+        ).otherwise(_likeness(F.col("a_sketch"), F.col("b_sketch")) >= LIKELY)
+        one_way = (F.col("root") == F.col("major")) | (F.col("a") < F.col("b"))
         met = full.join(few, "node").where(
-            (F.col("root") != F.col("rb")) & _may(F.col("a_n"), F.col("b_n")) & ~again
+            (F.col("root") != F.col("rb")) & one_way & _may(F.col("a_n"), F.col("b_n")) & ~again
             & (_agreement(F.col("a_tokens"), F.col("b_tokens")) >= AGREE)
-            & (_likeness(F.col("a_sketch"), F.col("b_sketch")) >= LIKELY))
+            & linked)
         return met.select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
             F.least("root", "rb").alias("ra"), F.greatest("root", "rb").alias("rb"),
@@ -230,13 +308,14 @@ class _Join:
     def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
         """Works off one level of ``nodes`` (node, key, place, used); returns what has to branch."""
         shared = nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-        members = cut_lineage(nodes.join(shared, "node").select("node", "key", "place", "used", "c"))
+        members, folders = _staged(nodes.join(shared, "node").select("node", "key", "place", "used", "c"))
         # The pivot is the set that shares its tokens with most others: of many edited copies
         # that is the text they were made from, or one close to it.
         central = members.groupBy("key").agg(F.sum("c").alias("score"))
         pivots = members.join(central, "key").groupBy("node").agg(
             F.max(F.struct("score", "key")).alias("top")).select("node", F.col("top.key").alias("pivot"))
         members = cut_lineage(members.join(pivots, "node").select("node", "key", "place", "used", "pivot"))
+        drop_folders(members.sparkSession, folders)
         # One link to a pivot settles most nodes: each set tries the pivot most like it.
         star = self.estimate(
             members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
@@ -244,29 +323,33 @@ class _Join:
         self.confirm(cut_lineage(best.select("a", "b").join(self.tested, ["a", "b"], "left_anti")))
 
         members = members.select("node", "key", "place", "used")
-        mixed = cut_lineage(self.labelled(members))
+        mixed = self.settle(members)
         ready = mixed if last else mixed.where(F.col("minor") <= NODE)
         large = mixed.where(F.lit(not last) & (F.col("minor") > NODE))
         pairs = self.across(ready, large)
         pairs = cut_lineage(pairs.join(self.tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            # The likeliest pair of two components first; the rest only where it failed.
-            first = pairs.groupBy("ra", "rb").agg(
-                F.max_by(F.struct("a", "b"), F.struct("like", "a", "b")).alias("p"))
-            first = cut_lineage(first.select("p.a", "p.b"))
-            self.confirm(first)
-            rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-            for side in ("a", "b"):
-                rest = rest.join(
-                    self.labels.select(F.col("key").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-            rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-            self.confirm(cut_lineage(rest.select("a", "b")))
+            # The likeliest pair of each component first, then that of any two components;
+            # the rest only where those failed.
+            for ends in (F.explode(F.array("ra", "rb")), F.struct(F.least("ra", "rb"), F.greatest("ra", "rb"))):
+                first = pairs.select("a", "b", "like", ends.alias("ends")).groupBy("ends").agg(
+                    F.max_by(F.struct("a", "b"), F.struct("like", "a", "b")).alias("p"))
+                first = cut_lineage(first.select("p.a", "p.b").distinct())
+                self.confirm(first)
+                pairs = cut_lineage(self.apart(pairs.join(first, ["a", "b"], "left_anti")))
+            self.confirm(pairs)
         if last:
             return None
         large = cut_lineage(large.select("node", "key", "used"))
         return None if large.isEmpty() else large
 
 
+def _staged(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """A written table with its folder, to be dropped when the table has been read for the last time."""
+    mark = folders_made()
+    return cut_lineage(df), folders_since(mark)
+
+
 def _may(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 

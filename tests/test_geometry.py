@@ -73,9 +73,11 @@ def test_surface_of_touching_and_edge_blocks(spark):
     assert got == {"pred": brute_surface(pred), "ref": brute_surface(ref)}
 
 
-@pytest.mark.parametrize("levels", [(5, 2, 0), (5, 3, 1, 0), (6, 0), (0,)])
+@pytest.mark.parametrize("levels, direct", [
+    ((5, 2, 0), 0), ((5, 3, 1, 0), 0), ((6, 0), 0), ((0,), 0), (geometry.BOX_LEVELS, 0), (geometry.BOX_LEVELS, 1 << 16)])
 @pytest.mark.parametrize("spacing", [(1.0, 1.0, 1.0), (0.7, 1.3, 2.9)])
-def test_nearest_distance_equals_brute_force(spark, spacing, levels):
+def test_nearest_distance_equals_brute_force(spark, monkeypatch, spacing, levels, direct):
+    monkeypatch.setattr(geometry, "DIRECT_PAIRS", direct)
     rng = random.Random(7)
     scattered = {tuple(rng.randrange(200) for _ in range(3)) for _ in range(60)}
     far = {tuple(rng.randrange(150, 250) for _ in range(3)) for _ in range(40)}
@@ -89,6 +91,43 @@ def test_nearest_distance_equals_brute_force(spark, spacing, levels):
         assert r.distance_mm == pytest.approx(want[r.side, (r.x, r.y, r.z)], abs=1e-9)
 
 
+def test_volumes_of_any_extent_in_one_table_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "DIRECT_PAIRS", 4)
+    rng, rows, want = random.Random(3), [], {}
+    for subject, extent in (("0001", 3), ("0002", 9), ("0003", 40), ("0004", 600)):
+        at = rng.randrange(1000) - 500
+        sides = {s: {tuple(at + rng.randrange(extent) for _ in range(3)) for _ in range(40)} for s in ("pred", "ref")}
+        want |= {(subject, *k): v for k, v in brute_distances(sides["pred"], sides["ref"], (1.0, 1.0, 2.0)).items()}
+        rows += [(subject, "TC", side, *v) for side, s in sides.items() for v in s]
+    rows += [("0005", "TC", "pred", 1, 2, 3)]
+    surface = spark.createDataFrame(
+        rows, "subject_id STRING, compartment STRING, side STRING, x INT, y INT, z INT")
+    spacing = grid(spark, ["0001", "0002", "0003", "0004", "0005"], (1.0, 1.0, 2.0))
+    volumes = geometry.surface_volumes(surface, spacing)
+    assert [r.top for r in volumes.orderBy("subject_id").collect()] == [0, 2, 4, 8]
+    got = geometry.nearest_surface(surface, spacing).collect()
+    assert {(r.subject_id, r.side, (r.x, r.y, r.z)): pytest.approx(r.distance_mm, abs=1e-9) for r in got} == want
+    assert geometry.nearest_surface(surface.where("subject_id = '0005'"), spacing).collect() == []
+
+
+@pytest.mark.parametrize("gap", [2, 511])
+def test_box_pairs_of_a_large_grid_are_bounded(spark, gap):
+    """Two sheets across a 512^3 grid: pairs grow with the boxes of a sheet, not with their square."""
+    sheet = spark.range(256 * 256).select(
+        F.lit("0001").alias("subject_id"), F.lit("WT").alias("compartment"),
+        (F.floor(F.col("id") / 256) * 2 + 1).cast("int").alias("y"), (F.col("id") % 256 * 2 + 1).cast("int").alias("z"))
+    surface = sheet.withColumns({"side": F.lit("pred"), "x": F.lit(0)}).unionByName(
+        sheet.withColumns({"side": F.lit("ref"), "x": F.lit(gap)}))
+    volumes = geometry.surface_volumes(surface, grid(spark, ["0001"], (1.0, 1.0, 1.0)))
+    assert volumes.first().top == 8
+    points = geometry.surface_points(surface, volumes)
+    for level in (8, 6, 4, 2):
+        boxes = 2 * (512 >> level) ** 2
+        assert geometry.met_boxes(points, [8], geometry.BOX_LEVELS, level).count() <= 25 * boxes
+    far = geometry.nearest_surface(surface, grid(spark, ["0001"], (1.0, 1.0, 1.0)))
+    assert [tuple(r) for r in far.groupBy("distance_mm").count().collect()] == [(float(gap), 2 * 256 * 256)]
+
+
 def test_best_slice_ties_go_to_the_lowest_plane_and_empty_to_the_middle(spark):
     cells = volume(spark, {"0001": (block((1, 1, 4), (3, 3, 6)), set()), "0002": ({(0, 0, 0)}, set())})
     shapes = spark.createDataFrame(

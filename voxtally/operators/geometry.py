@@ -66,26 +66,28 @@ def paired_surfaces(cells: DataFrame, compartments: Sequence[str] = COMPARTMENTS
 GROUP = ["subject_id", "compartment"]
 
 
-def _boxes(surface: DataFrame, shift: int) -> DataFrame:
-    """Occupied cells of edge 2^shift with the bounding box, in mm, of what they hold."""
-    if shift == 0:
-        return surface.select(
-            *GROUP, "side", *[F.col(a).alias(f"c{a}") for a in AXES],
-            *[F.col(f"{a}_mm").alias(f"{a}_{n}") for a in AXES for n in ("lo", "hi")])
-    corner = [F.expr(f"shiftright({a}, {shift})").alias(f"c{a}") for a in AXES]
-    edges = [f(F.col(f"{a}_mm")).alias(f"{a}_{n}") for a in AXES
-             for n, f in (("lo", F.min), ("hi", F.max))]
-    return surface.groupBy(*GROUP, "side", *corner).agg(*edges)
-
-
-def _named(boxes: DataFrame, tag: str, shift: int) -> DataFrame:
-    """Columns prefixed with ``tag``, plus the parent cell ``shift`` levels up."""
-    return boxes.select(
-        *GROUP, F.col("side").alias(f"{tag}_side"),
-        *[F.col(f"c{a}").alias(f"{tag}_c{a}") for a in AXES],
-        *[F.expr(f"shiftright(c{a}, {shift})").alias(f"{tag}_p{a}") for a in AXES],
-        *[F.col(f"{a}_{e}").alias(f"{tag}_{a}_{e}") for a in AXES for e in ("lo", "hi")],
-    )
+# Edges of boxes, as powers of two voxels, that a volume's octree may use.
+BOX_LEVELS = (18, 16, 14, 12, 10, 8, 6, 4, 2, 0)
+ROOT_BOXES = 4  # along an axis, at most, where a volume's octree starts
+DIRECT_PAIRS = 1 << 16  # voxels of one side times those of the other, compared without boxes
+
+
+def _cell(level: int) -> Column:
+    """The cell of edge 2^level in one number, 21 bits an axis."""
+    x, y, z = (f"CAST(shiftright({a}, {level}) AS BIGINT)" for a in AXES)
+    return F.expr(f"shiftleft({x}, 42) | shiftleft({y}, 21) | {z}")
+
+
+def _boxes(points: DataFrame, tag: str, level: int, parent: int) -> DataFrame:
+    """Occupied cells of edge 2^level, the cell of edge 2^parent each lies in, and the bounding
+    box, in mm, of what it holds. ``side`` is that of the query voxels: ``t`` boxes hold the
+    other one."""
+    side = F.col("side") if tag == "q" else ~F.col("side")
+    keys = ["volume", "top", side.alias("side"), _cell(parent).alias(f"{tag}_in"), _cell(level).alias(f"{tag}_cell")]
+    ends = [(F.col(f"{a}_mm"), f"{tag}_{a}_{n}", f) for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+    if level == 0:
+        return points.select(*keys, *[c.alias(name) for c, name, _ in ends])
+    return points.groupBy(*keys).agg(*[f(c).alias(name) for c, name, f in ends])
 
 
 def _squared(gap: str) -> str:
@@ -98,53 +100,91 @@ _FAR2 = _squared("greatest(t_@_hi - q_@_lo, q_@_hi - t_@_lo)")
 _POINT2 = _squared("t_@_lo - q_@_lo")
 
 
+def surface_volumes(surface: DataFrame, spacing: DataFrame, levels: Sequence[int] = BOX_LEVELS) -> DataFrame:
+    """One row per (subject, compartment) with both sides: a number, the lower corner, the voxel
+    size, and ``top``, the smallest level at which no axis has more than ``ROOT_BOXES`` boxes,
+    or 0 where the surfaces make at most ``DIRECT_PAIRS`` pairs."""
+    ends = [F.min(a).alias(f"{a}0") for a in AXES]
+    extent = F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("extent")
+    sides = [F.count_if(F.col("side") == side).alias(f"n_{side}") for side in SIDES]
+    found = surface.groupBy(*GROUP).agg(*ends, extent, *sides)
+    top = F.lit(max(levels))
+    for level in sorted(levels, reverse=True):
+        top = F.when(F.expr(f"shiftright(extent, {level})") < ROOT_BOXES, level).otherwise(top)
+    pred, ref = (F.col(f"n_{side}") for side in SIDES)
+    top = F.when(pred * ref <= DIRECT_PAIRS, 0).otherwise(top)
+    mm = spacing.select("subject_id", *[
+        F.get("voxel_size_mm", F.lit(i)).alias(f"s{a}") for i, a in enumerate(AXES)])
+    return found.where((pred > 0) & (ref > 0)).join(mm, "subject_id").select(
+        F.monotonically_increasing_id().alias("volume"), *GROUP, top.alias("top"),
+        *[f"{a}0" for a in AXES], *[f"s{a}" for a in AXES])
+
+
+def surface_points(surface: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Surface voxels under their volume's number, from its lower corner, with their place in mm."""
+    return surface.join(volumes, GROUP).select(
+        "volume", "top", (F.col("side") == SIDES[0]).alias("side"),
+        *[(F.col(a) - F.col(f"{a}0")).alias(a) for a in AXES],
+        *[(F.col(a) * F.col(f"s{a}")).alias(f"{a}_mm") for a in AXES])
+
+
+def met_boxes(points: DataFrame, tops: Sequence[int], levels: Sequence[int], finest: int = 0) -> DataFrame:
+    """Pairs of boxes of edge 2^finest, or of voxels at 0, that may hold a nearest voxel.
+
+    A volume enters at its ``top``, where all boxes of both sides meet: at most
+    ``ROOT_BOXES`` ** 6 pairs, or ``DIRECT_PAIRS`` of voxels, and as many for the other side.
+    Below, the parts of a pair meet.
+    """
+    used = [level for level in sorted(levels, reverse=True) if finest <= level <= max(tops, default=0)]
+    pairs = None
+    for level, parent in zip(used, (used[0], *used)):
+        inside = points.where(F.col("top") >= level)
+        q, t = _boxes(inside, "q", level, parent), _boxes(inside, "t", level, parent).drop("top")
+        met = None
+        if level in tops:
+            met = q.where(F.col("top") == level).join(t, ["volume", "side"]).withColumn("bound", F.lit(float("inf")))
+        if pairs is not None:
+            opened = pairs.join(q.where(F.col("top") > level), ["volume", "side", "q_in"]).join(
+                t, ["volume", "side", "t_in"])
+            met = opened if met is None else met.unionByName(opened)
+        if level == 0:
+            return met
+        met = met.withColumn("near2", F.expr(_NEAR2)).where(F.col("near2") <= F.col("bound"))
+        of_query = W.partitionBy("volume", "side", "q_cell")
+        kept = met.withColumn("bound", F.least("bound", F.min(F.expr(_FAR2)).over(of_query))).where(
+            F.col("near2") <= F.col("bound"))
+        pairs = kept.select(
+            "volume", "side", "bound", F.col("q_cell").alias("q_in"), F.col("t_cell").alias("t_in"))
+    return pairs
+
+
 def nearest_surface(
-    surface: DataFrame, spacing: DataFrame, *, levels: Sequence[int] = (5, 2, 0)
+    surface: DataFrame, spacing: DataFrame, *, levels: Sequence[int] = BOX_LEVELS
 ) -> DataFrame:
     """Exact distance in mm from every surface voxel to the nearest one of the other side.
 
-    Both surfaces are boxed at a few edge lengths (2^level voxels). From coarse to fine, a
-    pair of boxes survives only while its least possible distance does not exceed the best
-    guaranteed distance of the query box, so no candidate that could be nearest is lost and
-    far-apart voxels are never compared one by one. Only the handful of coarsest boxes of a
-    volume meet all of each other. ``spacing`` holds (subject_id, voxel_size_mm). A voxel
-    whose other side is empty gets no row.
+    Both surfaces of a volume are boxed by an octree that starts at a level fitting the
+    volume's own extent. From coarse to fine, a pair of boxes survives only while its least
+    possible distance does not exceed the best guaranteed distance of the query box, so no
+    candidate that could be nearest is lost and far-apart voxels are never compared one by
+    one. ``spacing`` holds (subject_id, voxel_size_mm). A voxel whose other side is empty
+    gets no row.
     """
     if levels[-1] != 0 or list(levels) != sorted(levels, reverse=True):
         raise ValueError("levels must fall to 0")
-    mm = spacing.select("subject_id", *[
-        F.get("voxel_size_mm", F.lit(i)).alias(f"s{a}") for i, a in enumerate(AXES)])
-    points = cut_lineage(surface.join(mm, "subject_id").select(
-        *GROUP, "side", *AXES, *[(F.col(a) * F.col(f"s{a}")).alias(f"{a}_mm") for a in AXES]))
-
-    q_cell = [f"q_c{a}" for a in AXES]
-    pairs = None
-    for level, coarser in zip(levels, (levels[0], *levels)):
-        boxes = _boxes(points, level)
-        q, t = _named(boxes, "q", coarser - level), _named(boxes, "t", coarser - level)
-        if pairs is None:
-            met = q.join(t, GROUP).where("q_side <> t_side").withColumn(
-                "bound", F.lit(float("inf")))
-        else:
-            met = (
-                pairs.join(q, [*GROUP, "q_side", *[f"q_p{a}" for a in AXES]])
-                .join(t, [*GROUP, "t_side", *[f"t_p{a}" for a in AXES]])
-            )
-        if level == 0:
-            return met.withColumn("near2", F.expr(_POINT2)).groupBy(*GROUP, F.col("q_side").alias("side"), *[
-                F.col(f"q_c{a}").alias(a) for a in AXES
-            ]).agg(F.sqrt(F.min("near2")).alias("distance_mm"))
-        far = F.expr(_FAR2)
-        met = met.withColumn("near2", F.expr(_NEAR2)).where(F.col("near2") <= F.col("bound"))
-        of_query = W.partitionBy(*GROUP, "q_side", *q_cell)
-        pairs = (
-            met.withColumn("bound", F.least("bound", F.min(far).over(of_query)))
-            .where(F.col("near2") <= F.col("bound"))
-            .select(
-                *GROUP, "q_side", "t_side", "bound",
-                *[F.col(f"{s}_c{a}").alias(f"{s}_p{a}") for s in "qt" for a in AXES])
-        )
-    raise AssertionError("unreachable")
+    volumes = cut_lineage(surface_volumes(surface, spacing, levels))
+    tops = [r.top for r in volumes.select("top").distinct().collect()]
+    if not tops:
+        return volumes.select(
+            *GROUP, F.lit("").alias("side"), *[F.lit(0).alias(a) for a in AXES], F.lit(0.0).alias("distance_mm"))
+    points = cut_lineage(surface_points(surface, volumes))
+    nearest = met_boxes(points, tops, levels).withColumn("near2", F.expr(_POINT2)).groupBy(
+        "volume", "side", "q_cell").agg(F.min("near2").alias("near2"))
+    place = {a: F.expr(f"CAST(shiftright(q_cell, {shift}) & 2097151 AS INT)") + F.col(f"{a}0")
+             for a, shift in zip(AXES, (42, 21, 0))}
+    return nearest.join(volumes, "volume").select(
+        *GROUP, F.when(F.col("side"), SIDES[0]).otherwise(SIDES[1]).alias("side"),
+        *[place[a].alias(a) for a in AXES], F.sqrt("near2").alias("distance_mm"))
 
 
 def surface_distance_percentile(

@@ -38,6 +38,53 @@ class TestLanguage:
         assert len(got) == len(rows)
         assert all(0 < r["confidence"] <= 1 for r in got.values())
 
+    def test_posterior_equals_brute_force(self, spark, model):
+        rng = random.Random(5)
+        words = {"de": "der die und ist nicht ein zu".split(), "en": "the of and that is was thing".split()}
+        rows = []
+        for i in range(60):
+            lang = rng.choice(["de", "en"])
+            text = rng.choice([None, "", " ".join(rng.choices(words[lang], k=rng.randrange(1, 9)))])
+            host = rng.choice([None, "www.a.de", "x.a.de", "b.com", f"own{i}.org", "plain"])
+            rows.append((i, text, rng.choice([None, lang, "EN"]), host))
+        k, strength = len(model.languages), language.STRENGTH
+        logs = [model.likelihoods((text or "").encode()) for _, text, _, _ in rows]
+
+        def softmax(x):
+            e = np.exp(x - x.max())
+            return e / e.sum()
+
+        p = np.array([softmax(x * language.TEMPER) for x in logs])
+        overall = (p.sum(axis=0) + 1) / (len(rows) + k)
+        domain = [h and ".".join(h.split(".")[-2:]) for *_, h in rows]
+        suffix = [h.split(".")[-1] if h and "." in h else None for *_, h in rows]
+        said = [d and d.lower() for _, _, d, _ in rows]
+
+        def others(key, values, i):
+            same = [j for j, v in enumerate(values) if v == key and j != i]
+            return p[same].sum(axis=0)
+
+        def towards(counts, parent):
+            return (counts + strength * parent) / (counts.sum() + strength)
+
+        got = {r["page_id"]: r for r in language.identify(
+            spark.createDataFrame(rows, self.ROW), model, ["page_id"]).collect()}
+        for i, (_, _, _, host) in enumerate(rows):
+            fused = logs[i] * language.TEMPER
+            prior = overall
+            if host:
+                parent = towards(others(domain[i], domain, i), overall)
+                prior = towards(others(host, [r[3] for r in rows], i), parent)
+            fused = fused + np.log(prior)
+            for values in (said, suffix):
+                if values[i] is not None:
+                    same = [j for j, v in enumerate(values) if v == values[i]]
+                    fused = fused + np.log(
+                        (p[same].sum(axis=0) + strength * overall) / ((len(same) + strength) * overall))
+            want = softmax(fused)
+            assert got[i]["confidence"] == pytest.approx(want.max(), rel=1e-6)
+            assert got[i]["lang"] == model.languages[int(want.argmax())]
+
     def test_likelihoods_are_summed_by_trigram(self, model):
         text = b"the thing"
         want = sum(model.logs[t].astype(float) for t in language.trigrams(text))

@@ -5,7 +5,8 @@ markup declares, the suffix of its address, and a prior for its host. Everything
 trigram model is counted over all rows by grouped aggregates: what markup and suffixes say
 given the language of the text, and how languages are spread over hosts. Host counts are
 smoothed towards their domain's, these towards the corpus's, so a host seen once hardly
-speaks and one seen often does.
+speaks and one seen often does. A row's own text is left out of its host's and domain's
+counts, so that it is not heard twice.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxtally.llm.common import once
 from voxtally.session import cut_lineage
 
 TRAIN_PER_LANGUAGE = 400  # labelled texts per language that the trigram model is fitted on
@@ -121,6 +123,11 @@ def _towards(counts: Column, parent: Column, k: int) -> Column:
     ])
 
 
+def _others(counts: Column) -> Column:
+    """Summed probabilities of a group without the row at hand."""
+    return F.zip_with(counts, "__p", lambda total, own: F.greatest(total - own, F.lit(0.0)))
+
+
 def _small(df: DataFrame) -> DataFrame:
     df = cut_lineage(df)
     return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
@@ -155,13 +162,11 @@ def identify(rows: DataFrame, model: Model, ids: list[str]) -> DataFrame:
     overall = [((c or 0.0) + 1.0) / (total + k) for c in everywhere["counts"]]
     root = F.array(*[F.lit(p) for p in overall])
 
-    domains = _spread(scored.where("domain IS NOT NULL"), ["domain"], k).select(
-        F.col("domain").alias("__d"), _towards(F.col("counts"), root, k).alias("__domain"))
-    domains = _small(domains)
+    domains = _small(_spread(scored.where("domain IS NOT NULL"), ["domain"], k).select(
+        F.col("domain").alias("__d"), F.col("counts").alias("__of_domain")))
     hosts = _spread(scored.where("host IS NOT NULL"), ["host", "domain"], k).join(
         domains, F.col("domain") == F.col("__d"))
-    hosts = _small(hosts.select(
-        F.col("host").alias("__h"), _towards(F.col("counts"), F.col("__domain"), k).alias("__host")))
+    hosts = _small(hosts.select(F.col("host").alias("__h"), F.col("counts").alias("__of_host"), "__of_domain"))
 
     out = scored.join(hosts, F.col("host") == F.col("__h"), "left")
     # What markup and suffixes are seen with each language, against how often at all.
@@ -177,7 +182,12 @@ def identify(rows: DataFrame, model: Model, ids: list[str]) -> DataFrame:
     def part(column: str, i: int) -> Column:
         return F.coalesce(F.get(column, F.lit(i)), F.lit(0.0))
 
-    prior = F.coalesce("__host", root)
+    domain = once(_others(F.col("__of_domain")), lambda counts: _towards(counts, root, k))
+    by_host = once(F.struct(_others(F.col("__of_host")).alias("counts"), domain.alias("parent")),
+                   lambda x: _towards(x["counts"], x["parent"], k))
+    # No host, no counts: the prior of the corpus.
+    out = out.withColumn("__prior", F.when(F.col("__h").isNotNull(), by_host).otherwise(root))
+    prior = F.col("__prior")
     fused = F.array(*[
         F.log(F.get(prior, F.lit(i))) + part("likelihoods", i) * TEMPER + part("__declared", i) + part("__suffix", i)
         for i in range(k)

@@ -3,6 +3,10 @@
 Each stage takes and returns whole tables; ``run`` writes each stage's result to the shared
 folder and reads it back, so an executor lost later costs one stage at most. A stage first
 deletes the intermediate tables of the one before it, whose result stands written by then.
+
+Further columns of the documents ride along under other names while a stage works, so none
+clashes with an operator's own; one named ``copy`` gives way to the mix's number. Null ids
+and texts are those of the operators; empty tables give an empty mix.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ from voxtally.session import cut_lineage, drop_folders, folders_made, folders_si
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
 _left: list[str] = []
 
 
 def stage(work: Stage) -> Stage:
-    """Frees what the stage before left, unless ``docs`` still reads it (a result not written)."""
+    """Frees what the stage before left, unless ``docs`` still reads it (a result not written),
+    and hides further columns from the stage's operator."""
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +39,10 @@ def stage(work: Stage) -> Stage:
         if not any(folder.rsplit("/", 1)[-1] in file for folder in _left for file in read):
             drop_folders(spark, _left)
         mark = folders_made()
-        out = work(spark, docs, sf_dir)
+        hidden = {c: f"__further_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+        out = work(spark, docs.withColumnsRenamed(hidden), sf_dir)
+        taken = [name for c, name in hidden.items() if c in out.columns]
+        out = out.drop(*taken).withColumnsRenamed({name: c for c, name in hidden.items() if name not in taken})
         _left[:] = folders_since(mark)
         return out
 

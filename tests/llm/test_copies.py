@@ -407,3 +407,33 @@ class TestPipeline:
         names = list(staged[0][0])
         assert all(list(rows[0]) == names for rows in staged[1:-1])
         assert list(staged[-1][0]) == [*names, "copy"]
+
+    DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, copy long, kept string, n int"
+
+    def run(self, spark, tmp_path, docs, items):
+        spark.createDataFrame(docs, self.DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+        return corpus_pipeline.run(spark, str(tmp_path))
+
+    def test_empty_tables(self, spark, tmp_path):
+        out = self.run(spark, tmp_path, [], [])
+        assert out.count() == 0
+        given = table(spark, str(tmp_path), "documents").columns
+        assert out.columns == [*[c for c in given if c != "copy"], "copy"]
+
+    def test_nulls_and_clashing_columns(self, spark, tmp_path):
+        draw = random.Random(21)
+        texts = [" ".join(sentence(draw, 80, 3000)) for _ in range(4)]
+        more = ("k", None, "yes", 7)
+        docs = [(i, t, "en", f"s{i % 2}", len(t), *more) for i, t in enumerate(texts)]
+        docs += [(None, " ".join(sentence(draw, 80, 3000)), None, None, None, None, None, None, None)]
+        docs += [(10, None, "en", "s0", 0, *more), (11, "", "en", None, 0, *more), (None, None, None, None, None, *more)]
+        docs += [(20, texts[0], "en", "s1", len(texts[0]), *more)]
+        out = [r.asDict() for r in self.run(spark, tmp_path, docs, [(1, None), (2, ""), (None, "x y")]).collect()]
+        given = {(r[0], r[1]): r for r in docs}
+        assert out
+        for r in out:
+            # No text short, missing or held by a smaller id is left; further columns stay as they were.
+            assert r["text"] and r["doc_id"] != 20 and r["copy"] is not None
+            key, _, kept, n = given[r["doc_id"], r["text"]][5:]
+            assert (r["key"], r["kept"], r["n"]) == (key, kept, n)

@@ -53,6 +53,13 @@ def test_reasons(spark):
     assert got == dict(cases)
 
 
+def test_ids_of_more_than_four_digits(spark):
+    rows = sidecars.metrics_long(parsed(spark, [document(subject_id="sub-10003"), document(subject_id="0003")]))
+    assert {r.subject_id for r in rows.collect()} == {"10003", "0003"}
+    with pytest.raises(Exception, match="four-digit"):
+        sidecars.metrics_long(parsed(spark, [document(subject_id="003")])).collect()
+
+
 def test_strict_aborts(spark):
     with pytest.raises(Exception, match="missing compartment WT"):
         parsed(spark, [document(metrics__WT=...)], strict=True).select("reason").collect()

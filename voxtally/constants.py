@@ -202,6 +202,7 @@ REGION_TABLE_COLUMNS = (
 BASELINE_ID_PATTERN = r"^UCSF-PDGM-(\d+)$"
 LISTING_ID_PATTERN = r"UCSF-PDGM-(\d{4})_nifti"
 SUBJECT_ID_PATTERN = r"^[0-9]{4}$"
+GROWN_SUBJECT_ID_PATTERN = r"^[0-9]{4,}$"
 
 # Stratified draw, subjects per (sex, survival tertile).
 ALLOCATION = {

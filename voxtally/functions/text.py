@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxtally.constants import (
     BASELINE_ID_PATTERN,
     CORTICAL_STEMS,
+    GROWN_SUBJECT_ID_PATTERN,
     METRIC_DECIMALS,
     SUBCORTICAL_NAMES,
     SUBJECT_ID_PATTERN,
@@ -21,15 +22,20 @@ def zero_fill(text: Column, width: int = 4) -> Column:
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
-def normalize_subject_id(raw: Column, *, strict: bool = True) -> Column:
-    """Drop a leading ``sub-``, trim, and require four digits."""
+def normalize_subject_id(raw: Column, *, strict: bool = True, grown: bool = False) -> Column:
+    """Drop a leading ``sub-``, trim, and require four digits.
+
+    ``grown`` takes more than four as well: counters of a cohort beyond 9,999 subjects, which
+    ``zero_fill`` leaves as long as they are.
+    """
     bare = F.trim(F.regexp_replace(raw, "^sub-", ""))
     bad = (
         F.raise_error(F.concat(F.lit("expected a four-digit subject id, got: "), raw))
         if strict
         else F.lit(None).cast("string")
     )
-    return F.when(bare.rlike(SUBJECT_ID_PATTERN), bare).otherwise(bad)
+    pattern = GROWN_SUBJECT_ID_PATTERN if grown else SUBJECT_ID_PATTERN
+    return F.when(bare.rlike(pattern), bare).otherwise(bad)
 
 
 def subject_id_from_exam(raw: Column, pattern: str = BASELINE_ID_PATTERN) -> Column:

@@ -47,9 +47,10 @@ def run_records(
 ) -> tuple[DataFrame, DataFrame]:
     """(good records, problems) of run documents; of ``expected`` (subject_id, stage) those
     without a document are problems too. Ids are normalised before they are compared."""
-    own = documents.withColumn("subject_id", normalize_subject_id(F.col("subject_id")))
+    own = documents.withColumn("subject_id", normalize_subject_id(F.col("subject_id"), grown=True))
     if expected is not None:
-        wanted = expected.select(normalize_subject_id(F.col("subject_id")).alias("subject_id"), "stage").distinct()
+        wanted = expected.select(
+            normalize_subject_id(F.col("subject_id"), grown=True).alias("subject_id"), "stage").distinct()
         own = wanted.join(own, ["subject_id", "stage"], "left")
     parsed = parse_run_records(own, versions)
     bad = F.col("reason").isNotNull()
@@ -122,7 +123,7 @@ def parse_metric_sidecars(
     return parsed.withColumn(
         "subject_id",
         F.when(F.col("reason").isNull(),
-               normalize_subject_id(F.coalesce(own_id, F.col("subject_id"))))
+               normalize_subject_id(F.coalesce(own_id, F.col("subject_id")), grown=True))
         .otherwise(F.col("subject_id")),
     )
 

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from voxtally.operators import agreement, intensity, regions
+from voxtally.operators import agreement, geometry, intensity, regions
 from voxtally.plans import bindings as b
 from voxtally.session import run_folder
 from voxtally.sources import tables
@@ -43,6 +43,31 @@ def test_statistics_are_broadcast_only_below_the_planners_bound(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
 
 
+def test_expanded_voxels_are_never_broadcast(spark):
+    few = spark.range(40).selectExpr("lpad(id, 4, '0') AS subject_id", "'T1' AS channel", "explode(sequence(0, 99)) AS x",
+                                     "0 AS y", "0 AS z", "double(id) AS v", "1 AS whole", "2 AS label")
+    inner = few.select("subject_id", "x", "y", "z", F.lit(2).alias("inner"))
+    whole = few.select("subject_id", "x", "y", "z", F.lit(18).alias("whole"))
+    grids = spark.createDataFrame([("0001", "dl", [1], 1.0), ("0001", "hdglio", [1], 1.0)],
+                                  "subject_id STRING, source STRING, shape ARRAY<INT>, voxel_mm3 DOUBLE")
+    visits = few.withColumnRenamed("subject_id", "patient_id").withColumn("timepoint", F.lit(0))
+    plans = {
+        "p4": geometry.two_stage_map(whole, inner), "a30": intensity.reference_correlation(visits, F.lit(True)),
+        "p22": intensity.roi_masked(few, inner), "a32": intensity.brain_coverage(few, few),
+        "a29": agreement.checked_comparator_agreement(few, few.withColumn("kind", F.lit("hdglio")), grids, keys=["subject_id"]),
+    }
+    for name, frame in plans.items():
+        for sent in re.findall(r"BroadcastExchange.*\n(?:.*\n){0,6}", physical(frame)):
+            assert name == "a29" and "Generate" not in sent.split("Exchange hashpartitioning")[0], (name, sent)
+    # Of a statistics join the voxels can only be the side that stays.
+    for frame in (intensity.zscore_brain(few), intensity.percentile_rescaled(few)):
+        assert re.findall(r"Join.*(LeftOuter|Inner), Build(\w+)", physical(frame)) == [("LeftOuter", "Right")]
+
+
+def test_tasks_that_expand_grow_with_the_parents(spark):
+    many = spark.range(40 * b.PARENTS_PER_TASK)
+    assert b.spread(many).rdd.getNumPartitions() == 40
+
 
 def test_stored_voxels_join_without_moving_rows(spark):
     path = run_folder(spark, "test-buckets")

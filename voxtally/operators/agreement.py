@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxtally.constants import CLASS_CODES, COMPARATOR_COMPARTMENTS, COMPARTMENTS, RAW_CODES
 from voxtally.functions import agreement as stat
+from voxtally.functions.columns import by_shuffle
 from voxtally.functions.labels import comparator_in_compartment, in_compartment
 
 PAIR_KEYS = ("subject_id", "label", "compartment")
@@ -196,7 +197,7 @@ def checked_comparator_agreement(
         F.count_if(in_compartment(F.col("label"), c)).alias(f"_p_{c}") for c in COMPARTMENTS])
     codes = theirs.select(*keys, "kind", "x", "y", "z", F.col("label").alias("_theirs")).join(fits, [*keys, "kind"], "left_semi")
     n_ref = codes.groupBy(*keys, "kind").agg(*[F.count_if(m).alias(f"_g_{k}_{c}") for (k, c), m in inside.items()])
-    n_both = codes.join(ours.select(*keys, "x", "y", "z", "label"), [*keys, "x", "y", "z"]).groupBy(*keys, "kind").agg(*[
+    n_both = by_shuffle(codes).join(ours.select(*keys, "x", "y", "z", "label"), [*keys, "x", "y", "z"]).groupBy(*keys, "kind").agg(*[
         F.count_if(m & in_compartment(F.col("label"), c)).alias(f"_b_{k}_{c}") for (k, c), m in inside.items()])
 
     wide = pairs.join(n_pred, keys, "left").join(n_ref, [*keys, "kind"], "left").join(n_both, [*keys, "kind"], "left") \

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxtally.constants import COMPARTMENTS, WHOLE_TUMOR_CODE
-from voxtally.functions.columns import computed_once
+from voxtally.functions.columns import by_shuffle, computed_once
 from voxtally.functions.labels import in_compartment, two_stage_label
 from voxtally.operators.agreement import confusion_counts, overlap_metrics
 from voxtally.session import cut_lineage
@@ -122,7 +122,7 @@ def surface_volumes(surface: DataFrame, spacing: DataFrame, levels: Sequence[int
 
 def surface_points(surface: DataFrame, volumes: DataFrame) -> DataFrame:
     """Surface voxels under their volume's number, from its lower corner, with their place in mm."""
-    return surface.join(volumes, GROUP).select(
+    return by_shuffle(surface).join(volumes, GROUP).select(
         "volume", "top", (F.col("side") == SIDES[0]).alias("side"),
         *[(F.col(a) - F.col(f"{a}0")).alias(a) for a in AXES],
         *[(F.col(a) * F.col(f"s{a}")).alias(f"{a}_mm") for a in AXES])
@@ -237,7 +237,7 @@ def reoriented(voxels: DataFrame, transform: DataFrame, shape: str = "shape") ->
     from (``source``, 0-2) and its direction (``flip``, 1 or -1). Values ride along.
     """
     old = F.array(*AXES)
-    joined = voxels.join(transform.select("subject_id", shape, "source", "flip"), "subject_id")
+    joined = by_shuffle(voxels).join(transform.select("subject_id", shape, "source", "flip"), "subject_id")
 
     def axis(i: int) -> Column:
         src = F.get("source", F.lit(i))
@@ -254,7 +254,7 @@ def display_slice(voxels: DataFrame, planes: DataFrame, grids: DataFrame) -> Dat
     size = grids.select("subject_id", F.get("shape", F.lit(0)).alias("_i"),
                         F.get("shape", F.lit(1)).alias("_j"))
     cut = voxels.join(planes.select("subject_id", "z"), ["subject_id", "z"], "left_semi")
-    return cut.join(size, "subject_id").withColumns({
+    return by_shuffle(cut).join(size, "subject_id").withColumns({
         "row": F.col("_j") - 1 - F.col("y"),
         "col": F.col("_i") - 1 - F.col("x"),
     }).drop("_i", "_j")
@@ -283,7 +283,7 @@ def best_slices(voxels: DataFrame, grids: DataFrame, mask: Column) -> DataFrame:
     size = grids.select("subject_id", axis.cast("int").alias("axis"), F.array_min("shape").alias("n"))
     place = F.get(F.array(*AXES), F.col("axis"))
     planes = (
-        voxels.where(mask).join(size, "subject_id")
+        by_shuffle(voxels.where(mask)).join(size, "subject_id")
         .groupBy("subject_id", place.alias("plane")).agg(F.count(F.lit(1)).alias("voxels"))
     )
     best = planes.groupBy("subject_id").agg(
@@ -303,7 +303,7 @@ def two_stage_map(whole: DataFrame, inner: DataFrame) -> DataFrame:
     keys = ["subject_id", *AXES]
     sizes = whole.groupBy("subject_id").agg(
         F.count_if(F.col("whole") == WHOLE_TUMOR_CODE).alias("_n"))
-    joined = whole.join(inner, keys, "left").join(sizes, "subject_id")
+    joined = by_shuffle(by_shuffle(whole).join(inner, keys, "left")).join(sizes, "subject_id")
     label = two_stage_label(F.col("whole"), F.coalesce("inner", F.lit(0)))
     return joined.select(*keys, F.when(
         F.col("_n") == 0,

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtally.functions.columns import by_shuffle
 from voxtally.operators.order_statistics import exact_percentiles
 from voxtally.session import cut_lineage
 
@@ -18,10 +19,16 @@ VOLUME = ("subject_id", "channel")
 VOXEL = ("subject_id", "x", "y", "z")
 
 
+def _with_statistics(voxels: DataFrame, stats: DataFrame) -> DataFrame:
+    """Voxels with the statistics of their volume. Every volume has some, so an outer join gives
+    the same rows as an inner one, and only the statistics may be broadcast."""
+    return voxels.dropna(subset=list(VOLUME)).join(cut_lineage(stats), list(VOLUME), "left")
+
+
 def roi_masked(intensity: DataFrame, mask: DataFrame) -> DataFrame:
     """Intensity inside a mask, zero outside; ``mask`` lists the voxels it holds."""
     inside = mask.select(*VOXEL).withColumn("_in", F.lit(True))
-    return intensity.join(inside, list(VOXEL), "left").withColumn(
+    return by_shuffle(intensity).join(inside, list(VOXEL), "left").withColumn(
         "v", F.when(F.col("_in"), F.col("v")).otherwise(0.0)).drop("_in")
 
 
@@ -48,7 +55,7 @@ def zscore_brain(intensity: DataFrame) -> DataFrame:
         .when(F.col("_sd") > 0, centred / F.col("_sd"))
         .otherwise(centred)
     )
-    return intensity.join(cut_lineage(stats), list(VOLUME)).withColumn(
+    return _with_statistics(intensity, stats).withColumn(
         "z_score", score).drop("_mu", "_sd")
 
 
@@ -56,7 +63,7 @@ def percentile_rescaled(intensity: DataFrame, low: float = 1.0, high: float = 99
     """Clip to two percentiles and scale to [0, 1]; a flat volume becomes zero."""
     ends = exact_percentiles(intensity, VOLUME, "v", {"_lo": low / 100.0, "_hi": high / 100.0}).drop("n")
     scaled = (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    return intensity.join(cut_lineage(ends), list(VOLUME)).withColumn(
+    return _with_statistics(intensity, ends).withColumn(
         "scaled",
         F.when(F.col("_hi") <= F.col("_lo"), 0.0)
         .otherwise(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))),
@@ -73,9 +80,10 @@ def bounding_boxes(
     """
     cut = exact_percentiles(intensity, VOLUME, "v", {"_cut": percentile / 100.0}).drop("n")
     cut = cut_lineage(cut)
-    above = intensity.join(cut, list(VOLUME)).where(F.col("v") > F.col("_cut"))
-    box = above.groupBy(*VOLUME).agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    above = lambda c: F.when(F.col("v") > F.col("_cut"), F.col(c))
+    box = intensity.join(cut, list(VOLUME), "left").groupBy(*VOLUME).agg(
+        F.min(above("x")).alias("x0"), F.max(above("x")).alias("x1"),
+        F.min(above("y")).alias("y0"), F.max(above("y")).alias("y1"))
     full = cut.join(shapes.select("subject_id", "shape"), "subject_id").join(box, list(VOLUME), "left")
     size = {"i": F.get("shape", F.lit(0)), "j": F.get("shape", F.lit(1))}
 
@@ -96,7 +104,7 @@ def reference_correlation(
     """Pearson correlation with the reference visit per (visit, channel); NULL when flat."""
     keys = [group, "channel", "x", "y", "z"]
     base = volumes.where(reference).select(*keys, F.col("v").alias("_ref"))
-    both = volumes.join(base, keys)
+    both = by_shuffle(volumes).join(base, keys)
     spread = (F.stddev_pop("v") > 0) & (F.stddev_pop("_ref") > 0)
     return both.groupBy(group, visit, "channel").agg(
         F.when(spread, F.try_divide(
@@ -133,10 +141,10 @@ def brain_coverage(
     """
     size = voxel_ml if isinstance(voxel_ml, Column) else F.lit(float(voxel_ml))
     top = reference.groupBy("subject_id").agg(F.max("v").alias("_max"))
-    brain = reference.join(top, "subject_id").where(F.col("v") > F.col("_max") * threshold).select(
+    brain = by_shuffle(reference).join(top, "subject_id").where(F.col("v") > F.col("_max") * threshold).select(
         *VOXEL, F.lit(True).alias("_in"))
     return (
-        labels.where(F.col("label") != 0).join(brain, list(VOXEL), "left")
+        by_shuffle(labels.where(F.col("label") != 0)).join(brain, list(VOXEL), "left")
         .groupBy("subject_id", "label")
         .agg(F.count(F.lit(1)).alias("voxels"), F.count("_in").alias("inside"), F.max(size).alias("_ml"))
         .select("subject_id", "label", "voxels", (F.col("voxels") * F.col("_ml")).alias("volume_ml"),
@@ -167,10 +175,10 @@ def registration_coverage(
     place = [group, "x", "y", "z"]
     before, after = (side.where(F.col("label") != 0) for side in (source, target))
     top = cut_lineage(reference.groupBy(group).agg(F.max("v").alias("_max")))
-    brain = reference.join(top, group).where(F.col("v") > F.col("_max") * threshold).select(
+    brain = by_shuffle(reference).join(top, group).where(F.col("v") > F.col("_max") * threshold).select(
         *place, F.lit(True).alias("_in"))
     per_label = cut_lineage(
-        after.join(brain, place, "left").groupBy(*keys, "label")
+        by_shuffle(after).join(brain, place, "left").groupBy(*keys, "label")
         .agg(F.count(F.lit(1)).alias("voxels"), F.count("_in").alias("inside")))
     counted = before.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
     # A map has as many labels as its scheme.

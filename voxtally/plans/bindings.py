@@ -20,9 +20,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+PARENTS_PER_TASK = 400
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a few parent rows over all cores before each is expanded into many voxels."""
-    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+    """Deal a few parent rows over all cores before each is expanded into many voxels.
+
+    The number of tasks grows with the rows, so that what one task expands does not.
+    """
+    tasks = -(-df.count() // PARENTS_PER_TASK)
+    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism, tasks))
 
 
 def with_ctes(*ctes: str, select: str) -> str:

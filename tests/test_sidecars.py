@@ -199,6 +199,42 @@ def test_run_files_by_time_of_writing(spark):
         ("0004", "seg", "schema_version not accepted"), ("0005", "seg", "sidecar not found")}
 
 
+def test_many_runs_in_a_file(spark):
+    path = run_folder(spark, "test-run-lines")
+    for first, end in ((990, 1000), (0, 990)):
+        spark.range(first, end).selectExpr(
+            "lpad(id, 4, '0') AS subject_id", "'seg' AS stage",
+            """if(id % 5 = 0, '{bad', '{"schema_version":"1.0","elapsed_s":2.5}') AS value""",
+        ).coalesce(2).write.mode("append").json(path)
+        time.sleep(0.05)
+    assert len([p for p in pathlib.Path(path).rglob("part-*")]) == 4
+    good, problems = sidecars.run_records(sidecars.read_run_lines(spark, path))
+    assert (good.count(), problems.count()) == (800, 200)
+    phases = grids.cold_and_warm(good.withColumn("run_id", F.col("subject_id")))
+    assert [r.subject_id for r in phases.where("phase = 'cold'").collect()] == ["0991"]
+
+
+def test_documents_in_folders_and_in_lines_read_alike(spark):
+    docs = spark.createDataFrame([("0001", "dl_vs_gt", document()), ("0002", "dl_vs_gt", "{bad")], sidecars.DOCUMENT_SCHEMA)
+    path = run_folder(spark, "test-documents")
+    docs.write.partitionBy("pair_id", "subject_id").text(f"{path}/folders")
+    docs.write.json(f"{path}/lines")
+    read = [sidecars.read_documents(spark, f"{path}/folders"), sidecars.read_document_lines(spark, f"{path}/lines")]
+    rows = [sorted(map(tuple, sidecars.parse_metric_sidecars(d).select("subject_id", "pair_id", "reason").collect()), key=str)
+            for d in read]
+    assert rows[0] == rows[1] and len(rows[0]) == 2
+
+
+def test_packed_files_are_listed_without_their_content(spark):
+    path = run_folder(spark, "test-packs")
+    files = spark.range(3000).selectExpr("concat('a/', id) AS path", "cast(repeat('x', int(id % 7)) AS BINARY) AS content")
+    sinks.pack_files(files.coalesce(2), path)
+    listed = tables.read_packed_inventory(spark, path)
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert len(list(pathlib.Path(path).glob("part-*"))) == 2
+    assert listed.count() == 3000 and listed.where("size_bytes = cast(substr(path, 3) AS INT) % 7").count() == 3000
+
+
 def test_inventory_lists_files_without_reading_them(spark):
     path = run_folder(spark, "test-files")
     root = pathlib.Path(path)

@@ -30,8 +30,8 @@ def long(spark, folder):
 @query("s4_sidecar_scan", with_ctes(*DOCUMENT_CTES, select="SELECT subject_id, pair_id, reason FROM docs"))
 def s4(spark, folder):
     path = run_folder(spark, "sidecars")
-    documents(spark, folder).write.partitionBy("pair_id", "subject_id").text(path)
-    read = sidecars.parse_metric_sidecars(sidecars.read_documents(spark, path))
+    documents(spark, folder).write.json(path)
+    read = sidecars.parse_metric_sidecars(sidecars.read_document_lines(spark, path))
     return read.select("subject_id", "pair_id", "reason")
 
 

@@ -169,6 +169,13 @@ def read_file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> D
         F.col("modificationTime").alias("modified"))
 
 
+def read_packed_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of ``read_file_inventory`` for files that ``sinks.pack_files`` keeps; no
+    content is read, and files of zero bytes are listed."""
+    return spark.read.schema("path STRING, modificationTime TIMESTAMP, length BIGINT").parquet(path).select(
+        "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+
+
 def volume_inventory(files: DataFrame, headers: DataFrame) -> DataFrame:
     """Per file: path, size_bytes, shape, voxel_size_mm, orientation, dtype.
 

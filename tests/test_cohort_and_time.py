@@ -69,3 +69,15 @@ def test_missing_member_and_wrong_length_abort(spark):
     with pytest.raises(Exception, match="declares n=3"):
         cohort.join_cohort(ids.where("subject_id = '0001'"), exams, declared_n=3).collect()
     assert [r.subject_id for r in cohort.missing_ids(ids, exams).collect()] == ["0002"]
+
+
+def test_only_rows_of_top_regions_are_ordered(spark):
+    rows = [("s", t, label, f"r{label % 4}", "WT", float(label), 1000.0 * label) for t in (1, 2) for label in range(1, 9)]
+    table = spark.createDataFrame(
+        rows, "subject_id STRING, timepoint INT, label INT, name STRING, compartment STRING, pct_of_parcel DOUBLE, "
+        "overlap_volume_mm3 DOUBLE")
+    frame = longitudinal.region_by_timepoint(table, (1, 2, 3), 2)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" in plan and "LeftSemi" in plan
+    assert sorted(map(tuple, frame.drop("max_ml").collect())) == [
+        ("s", "WT", "r0", 1, 4.0, 4.0, 0.0), ("s", "WT", "r3", 2, 3.0, 3.0, 0.0)]

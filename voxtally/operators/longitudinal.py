@@ -17,6 +17,7 @@ from voxtally.constants import (
     PROGRESSION,
 )
 from voxtally.functions.labels import in_compartment
+from voxtally.session import cut_lineage
 
 CURVES = ("WT", "TC", "ET", "ED", "NCR")
 
@@ -143,8 +144,10 @@ def region_by_timepoint(table: DataFrame, timepoints: Sequence, k: int) -> DataF
 
     Labels that share a name keep the last row of the table order, not their sum.
     """
-    top = top_regions_over_time(table, k)
-    last = _follow_up(table).groupBy("subject_id", "compartment", "name", "timepoint").agg(
+    keys = ["subject_id", "compartment", "name"]
+    top = cut_lineage(top_regions_over_time(table, k))
+    # Rows are ordered within a key, by sorting; only those of the few top regions need be.
+    last = _follow_up(table).join(top.select(*keys), keys, "left_semi").groupBy("subject_id", "compartment", "name", "timepoint").agg(
         F.min_by("vol_ml", F.struct(F.col("pct_of_parcel"), -F.col("label"))).alias("vol_ml"))
     wide = (
         last.groupBy("subject_id", "compartment", "name")
@@ -154,7 +157,7 @@ def region_by_timepoint(table: DataFrame, timepoints: Sequence, k: int) -> DataF
     wide = wide.select(
         "subject_id", "compartment", "name",
         *[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(f"tp_{t}") for t in names])
-    return top.join(wide, ["subject_id", "compartment", "name"])
+    return top.join(wide, keys)
 
 
 def timepoint_totals(table: DataFrame) -> DataFrame:

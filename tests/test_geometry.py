@@ -148,3 +148,20 @@ def test_repeated_voxels_change_no_surface(spark):
     want = {("pred", *v) for v in brute_surface(pred)} | {("ref", *v) for v in brute_surface(ref)}
     assert surfaces(once) == want
     assert surfaces(once.union(once).union(once.where("x = 4"))) == want
+
+
+def test_small_surfaces_meet_in_arrays_and_make_no_rows_of_pairs(spark, monkeypatch):
+    def no_boxes(*_):
+        raise AssertionError("boxes of small surfaces")
+
+    want = brute_distances(brute_surface(A), brute_surface(B), (0.7, 1.3, 2.9))
+    rows = [(s, "ET", side, *v) for s in ("0001", "0002") for side, m in (("pred", A), ("ref", B)) for v in brute_surface(m)]
+    surface = spark.createDataFrame(
+        rows + [("0003", "ET", "ref", 1, 1, 1)], "subject_id STRING, compartment STRING, side STRING, x INT, y INT, z INT")
+    spacing = grid(spark, ["0001", "0002", "0003"], (0.7, 1.3, 2.9))
+    monkeypatch.setattr(geometry, "DIRECT_VOLUMES", 1)
+    monkeypatch.setattr(geometry, "met_boxes", no_boxes)
+    got = geometry.nearest_surface(surface, spacing).collect()
+    for subject in ("0001", "0002"):
+        assert {(r.side, (r.x, r.y, r.z)): pytest.approx(r.distance_mm, abs=1e-9) for r in got if r.subject_id == subject} == want
+    assert len(got) == 2 * len(want)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,7 +71,10 @@ GROUP = ["subject_id", "compartment"]
 # Edges of boxes, as powers of two voxels, that a volume's octree may use.
 BOX_LEVELS = (18, 16, 14, 12, 10, 8, 6, 4, 2, 0)
 ROOT_BOXES = 4  # along an axis, at most, where a volume's octree starts
-DIRECT_PAIRS = 1 << 16  # voxels of one side times those of the other, compared without boxes
+DIRECT_PAIRS = 1 << 20  # voxels of one side times those of the other, compared without boxes
+DIRECT_SIDE = 1 << 11  # voxels of a side compared so, which bounds the arrays of a batch
+DIRECT_VOLUMES = 256  # volumes whose places a task holds at once
+DISTANCES = "subject_id string, compartment string, side string, x int, y int, z int, distance_mm double"
 
 
 def _cell(level: int) -> Column:
@@ -103,7 +108,7 @@ _POINT2 = _squared("t_@_lo - q_@_lo")
 def surface_volumes(surface: DataFrame, spacing: DataFrame, levels: Sequence[int] = BOX_LEVELS) -> DataFrame:
     """One row per (subject, compartment) with both sides: a number, the lower corner, the voxel
     size, and ``top``, the smallest level at which no axis has more than ``ROOT_BOXES`` boxes,
-    or 0 where the surfaces make at most ``DIRECT_PAIRS`` pairs."""
+    or 0 where the surfaces make at most ``DIRECT_PAIRS`` pairs of ``DIRECT_SIDE`` voxels a side."""
     ends = [F.min(a).alias(f"{a}0") for a in AXES]
     extent = F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("extent")
     sides = [F.count_if(F.col("side") == side).alias(f"n_{side}") for side in SIDES]
@@ -112,7 +117,8 @@ def surface_volumes(surface: DataFrame, spacing: DataFrame, levels: Sequence[int
     for level in sorted(levels, reverse=True):
         top = F.when(F.expr(f"shiftright(extent, {level})") < ROOT_BOXES, level).otherwise(top)
     pred, ref = (F.col(f"n_{side}") for side in SIDES)
-    top = F.when(pred * ref <= DIRECT_PAIRS, 0).otherwise(top)
+    direct = (pred * ref <= DIRECT_PAIRS) & (F.greatest(pred, ref) <= DIRECT_SIDE)
+    top = F.when(direct, 0).otherwise(top)
     mm = spacing.select("subject_id", *[
         F.get("voxel_size_mm", F.lit(i)).alias(f"s{a}") for i, a in enumerate(AXES)])
     return found.where((pred > 0) & (ref > 0)).join(mm, "subject_id").select(
@@ -158,13 +164,61 @@ def met_boxes(points: DataFrame, tops: Sequence[int], levels: Sequence[int], fin
     return pairs
 
 
+def compared_directly(surface: DataFrame, volumes: DataFrame) -> DataFrame:
+    """``DISTANCES`` of the volumes that start at level 0: both sides of one in one row, all its
+    pairs in one product of arrays, so that no pair becomes a row."""
+    held = by_shuffle(surface).join(volumes.where("top = 0").drop("volume", "top"), GROUP)
+    cell = _cell(0)
+    moved = held.withColumns({a: F.col(a) - F.col(f"{a}0") for a in AXES}).select(
+        *GROUP, "side", cell.alias("cell"), *[f"{a}0" for a in AXES], *[f"s{a}" for a in AXES])
+    once = [F.first(c).alias(c) for a in AXES for c in (f"{a}0", f"s{a}")]
+    rows = moved.groupBy(*GROUP).agg(
+        *once, *[F.collect_set(F.when(F.col("side") == s, F.col("cell"))).alias(s) for s in SIDES])
+
+    few = DIRECT_VOLUMES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            of_a, of_b, step = [], np.full(b.shape[1], np.inf), max(1, (1 << 16) // b.shape[1])
+            for at in range(0, a.shape[1], step):
+                x, y, z = (p[at : at + step, None] - t for p, t in zip(a, b))
+                square = x * x + y * y + z * z
+                of_a.append(square.min(axis=1))
+                np.minimum(of_b, square.min(axis=0), out=of_b)
+            return np.concatenate(of_a), of_b
+
+        for batch in (b.slice(at, few) for b in batches for at in range(0, b.num_rows, few)):
+            corner = np.stack([batch.column(f"{a}0").to_numpy() for a in ("x", "y", "z")])
+            size = np.stack([batch.column(f"s{a}").to_numpy() for a in ("x", "y", "z")])
+            ends, places = {}, {}
+            for side in ("pred", "ref"):
+                column = batch.column(side)
+                ends[side] = column.offsets.to_numpy() - column.offsets[0].as_py()
+                cells = column.flatten().to_numpy()
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(ends[side]))
+                places[side] = owner, np.stack([cells >> 42, (cells >> 21) & 2097151, cells & 2097151]) + corner[:, owner]
+            mm = {side: place * size[:, owner] for side, (owner, place) in places.items()}
+            found = {side: np.empty(at.shape[1]) for side, at in mm.items()}
+            for i in range(batch.num_rows):
+                p, r = (slice(ends[side][i], ends[side][i + 1]) for side in ("pred", "ref"))
+                found["pred"][p], found["ref"][r] = nearest(mm["pred"][:, p], mm["ref"][:, r])
+            for side, (owner, place) in places.items():
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(pa.array(owner)) for c in ("subject_id", "compartment")],
+                     pa.array(np.full(len(owner), side, object), pa.string()),
+                     *[pa.array(p.astype(np.int32)) for p in place], pa.array(np.sqrt(found[side]))],
+                    names=["subject_id", "compartment", "side", "x", "y", "z", "distance_mm"])
+
+    return rows.mapInArrow(run, DISTANCES)
+
+
 def nearest_surface(
     surface: DataFrame, spacing: DataFrame, *, levels: Sequence[int] = BOX_LEVELS
 ) -> DataFrame:
     """Exact distance in mm from every surface voxel to the nearest one of the other side.
 
-    Both surfaces of a volume are boxed by an octree that starts at a level fitting the
-    volume's own extent. From coarse to fine, a pair of boxes survives only while its least
+    Small surfaces are compared directly. Of the others, both surfaces of a volume are boxed by
+    an octree that starts at a level fitting the volume's own extent. From coarse to fine, a pair of boxes survives only while its least
     possible distance does not exceed the best guaranteed distance of the query box, so no
     candidate that could be nearest is lost and far-apart voxels are never compared one by
     one. ``spacing`` holds (subject_id, voxel_size_mm). A voxel whose other side is empty
@@ -172,19 +226,20 @@ def nearest_surface(
     """
     if levels[-1] != 0 or list(levels) != sorted(levels, reverse=True):
         raise ValueError("levels must fall to 0")
+    surface = cut_lineage(surface)
     volumes = cut_lineage(surface_volumes(surface, spacing, levels))
-    tops = [r.top for r in volumes.select("top").distinct().collect()]
+    tops = [r.top for r in volumes.where("top > 0").select("top").distinct().collect()]
+    small = compared_directly(surface, volumes)
     if not tops:
-        return volumes.select(
-            *GROUP, F.lit("").alias("side"), *[F.lit(0).alias(a) for a in AXES], F.lit(0.0).alias("distance_mm"))
-    points = cut_lineage(surface_points(surface, volumes))
+        return small
+    points = cut_lineage(surface_points(surface, volumes.where("top > 0")))
     nearest = met_boxes(points, tops, levels).withColumn("near2", F.expr(_POINT2)).groupBy(
         "volume", "side", "q_cell").agg(F.min("near2").alias("near2"))
     place = {a: F.expr(f"CAST(shiftright(q_cell, {shift}) & 2097151 AS INT)") + F.col(f"{a}0")
              for a, shift in zip(AXES, (42, 21, 0))}
     return nearest.join(volumes, "volume").select(
         *GROUP, F.when(F.col("side"), SIDES[0]).otherwise(SIDES[1]).alias("side"),
-        *[place[a].alias(a) for a in AXES], F.sqrt("near2").alias("distance_mm"))
+        *[place[a].alias(a) for a in AXES], F.sqrt("near2").alias("distance_mm")).unionByName(small)
 
 
 def surface_distance_percentile(

@@ -238,6 +238,44 @@ class TestPassages:
         found = {r["doc_id"] for r in passages.repeated_passages(documents(spark, rows)).collect()}
         assert len(found) >= 298
 
+    def test_a_smaller_document_with_a_part_hides_no_passage(self, spark):
+        draw = random.Random(21)
+        rows = []
+        for i in range(150):
+            passage = sentence(draw, 50, 10**6)
+            for k, own in enumerate((passage[:40], passage, passage)):
+                rows.append((3 * i + k, " ".join(sentence(draw, 40, 10**6) + own + sentence(draw, 40, 10**6))))
+        found = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(documents(spark, rows)).collect()}
+        assert all((3 * i + 2, 3 * i + 1) in found for i in range(150))
+
+    def test_many_holders_of_a_passage_with_a_part_in_a_smaller_document(self, spark):
+        draw = random.Random(22)
+        passage = sentence(draw, 60, 10**6)
+        rows = [(i, " ".join(sentence(draw, 60, 10**6) + (passage[5:45] if i < 2 else passage) + sentence(draw, 60, 10**6)))
+                for i in range(40)]
+        got = passages.repeated_passages(documents(spark, rows)).collect()
+        assert {r["doc_id"] for r in got if r["stop"] - r["start"] >= 58} >= set(range(3, 40))
+
+    def test_a_passage_at_a_later_place_of_a_repeated_line(self, spark):
+        draw = random.Random(23)
+        rows = []
+        for i in range(20):
+            line, passage = sentence(draw, 12, 10**6), sentence(draw, 45, 10**6)
+            fill = lambda: sentence(draw, 60, 10**6)
+            rows += [(2 * i, " ".join(line + fill() + line + fill() + line + passage)),
+                     (2 * i + 1, " ".join(fill() + line + passage))]
+        found = {r["doc_id"] for r in passages.repeated_passages(documents(spark, rows)).collect()}
+        assert found >= set(range(1, 40, 2))
+
+    def test_windows_of_texts_together_are_those_of_each(self):
+        draw = np.random.default_rng(5)
+        texts = [draw.integers(1, 2**62, n).astype(np.uint64) for n in (46, 47, 300, 50, 1000)]
+        owner = np.repeat(np.arange(5), [len(t) for t in texts])
+        start = np.searchsorted(owner, np.arange(5))
+        found = passages._compact(np.concatenate(texts), owner, passages.SHINGLES)
+        got = {(int(owner[c]), *(int(x - start[owner[c]]) for x in (low, c, high))) for low, c, high in zip(*found)}
+        assert got == {(i, *w) for i, t in enumerate(texts) for w in passages.compact_windows(t)}
+
     def test_empty(self, spark):
         assert passages.repeated_passages(documents(spark, [])).count() == 0
         assert passages.repeated_passages(documents(spark, [(1, "a"), (2, None)])).count() == 0

@@ -333,6 +333,31 @@ class TestLeaks:
             a, b = ([draw.choice("abcd") for _ in range(draw.randrange(1, 40))] for _ in range(2))
             assert leaks.common(leaks.masks_of(a), b) == lcs(a, b)
 
+    def test_common_subsequences_of_many_pairs_at_once(self):
+        rng = random.Random(5)
+        pairs = [([rng.randrange(9) for _ in range(n)], [rng.randrange(9) for _ in range(rng.randrange(90))])
+                 for n in (1, 2, 7, 30, 63, 64) for _ in range(20)]
+        masks = [leaks.masks_of(a) for a, _ in pairs]
+        others = [[x for x in other if x in own] for own, (_, other) in zip(masks, pairs)]
+        got = leaks.common_each(
+            np.cumsum([0, *map(len, others)]), np.array([own[x] for own, other in zip(masks, others) for x in other], np.uint64),
+            np.array([len(a) for a, _ in pairs]))
+        assert got.tolist() == [leaks.common(own, other) for own, (_, other) in zip(masks, pairs)]
+
+    def test_items_beyond_the_bits_of_a_number(self, spark, monkeypatch):
+        rng = random.Random(6)
+        items = {n: [f"w{n}x{rng.randrange(40)}" for _ in range(n)] for n in (30, 64, 65, 140)}
+        rest = [f"o{i}" for i in range(500)]
+        data = [(k, " ".join(rest[:k * 37] + [w for i, w in enumerate(words) if k < 4 or i % 5])) for k, words in enumerate(
+            [*items.values(), *items.values()])]
+        got = []
+        for together in (leaks.TOGETHER, 20):
+            monkeypatch.setattr(leaks, "TOGETHER", together)
+            rows = leaks.leaks(documents(spark, data), spark.createDataFrame(
+                [(n, " ".join(words)) for n, words in items.items()], "item_id bigint, text string"))
+            got.append({(r["doc_id"], r["item_id"]) for r in rows.collect()})
+        assert got[0] == got[1] == {(k, n) for k, n in enumerate([*items, *items])}
+
     def test_planted_items(self, spark):
         draw = random.Random(9)
         items = [(i, " ".join(sentence(draw, n, 3000)) + ". " + " ".join(sentence(draw, 4, 3000)) + ".")

@@ -31,6 +31,7 @@ STOP_SHARE, STOP_ITEMS = 0.05, 20
 COSINE = 0.5
 COPIED, REWORDED, ANSWERED = 0.75, 0.55, 0.8
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
+TOGETHER = 1_000_000  # positions of words that are worked on at once
 FOUND = "doc_id bigint, item_id bigint, start bigint, stop bigint, cosine double, shared double, answered double"
 _OUTER = b".,;:!?\"'()[]{}<>"
 
@@ -70,6 +71,33 @@ def masks_of(items) -> dict:
     return out
 
 
+def common_each(starts: np.ndarray, marks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``common`` of many pairs at once, each of a first sequence of at most 64 elements.
+
+    ``marks``: for each element of the second sequences, one after the other, its positions in
+    the first one as bits, none 0; ``starts``: where each pair's begin, the end last.
+    """
+    sizes = np.diff(starts)
+    order = np.argsort(-sizes, kind="stable")
+    begin, left = starts[:-1][order], -sizes[order]
+    full = ~np.uint64(0) >> (np.uint64(64) - lengths[order].astype(np.uint64))
+    row = full.copy()
+    for k in range(int(sizes.max(initial=0))):
+        active = np.searchsorted(left, -k)  # pairs with more than k elements
+        x = row[:active]
+        hit = x & marks[begin[:active] + k]
+        row[:active] = (x + hit) | (x - hit)
+    out = np.empty(len(order), np.int64)
+    out[order] = lengths[order] - np.bitwise_count(row & full)
+    return out
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once; for long arrays of numbers faster than ``np.unique``."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 class Block:
     """Some items with their terms."""
 
@@ -162,7 +190,7 @@ def _passages(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, in
     count = np.zeros(len(lengths), np.int64)
     count[text] = at // PASSAGE + 1  # the last occurrence of a text has the last say
     base = np.cumsum(count) - count
-    keys = np.unique(((base[text] + at // PASSAGE) << 32) | term)
+    keys = _distinct(((base[text] + at // PASSAGE) << 32) | term)
     return keys >> 32, keys & 0xFFFFFFFF, int(count.sum())
 
 
@@ -258,7 +286,7 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
         """Per part of a text the items of whose terms it has enough, anywhere; no other can be
         found in it. ``parts`` and ``term`` hold one entry per occurrence."""
         out: dict[int, np.ndarray] = {}
-        own = np.unique(parts * len(weights) + term)
+        own = _distinct(parts * len(weights) + term)
         parts, term = own // len(weights), own % len(weights)
         last, step = int(parts[-1]) + 1 if len(parts) else 0, max(1, (1 << 22) // len(sequences))
         for begin in range(0, last, step):
@@ -279,38 +307,97 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
     marks = np.zeros((len(sequences), size), bool)
     for i, words in enumerate(block.words):
         marks[i, [block.numbers[w] for w in words]] = True
-    full = [int(np.ceil(REWORDED * len(words) - 1e-9)) for words in block.words]
-
-    def holding(items: np.ndarray, own: np.ndarray, all_at: np.ndarray, all_term: np.ndarray, begin: int) -> np.ndarray:
-        """Of these, items that the part as a whole has in order; none of its windows has more."""
-        low, high = np.searchsorted(all_at, (begin, begin + 2 * reach + max(WINDOWS) + longest))
-        region, kept = all_term[low:high], []
-        for i in items.tolist():
-            some = own[marks[i, own]]
-            if len(some) >= enough[i] and common(masks[i], some.tolist()) >= enough[i]:
-                some = region[marks[i, region]]
-                if len(some) >= full[i] and common(whole[i], some.tolist()) >= full[i]:
-                    kept.append(i)
-        return np.array(kept, np.int64)
+    full = np.array([int(np.ceil(REWORDED * len(words) - 1e-9)) for words in block.words])
+
+    def flat(side: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """(item * size + number, positions as bits) of items of at most 64 words, ascending."""
+        rows = sorted((i * size + w, bits) for i, own in enumerate(side) if own[None] <= 64
+                      for w, bits in own.items() if w is not None)
+        return np.array([k for k, _ in rows], np.int64), np.array([bits for _, bits in rows], np.uint64)
+
+    flat_terms, flat_words = flat(masks), flat(whole)
+    term_sizes, word_sizes = (np.array([own[None] for own in side], np.int64) for side in (masks, whole))
+
+    def in_order(side: list[dict], flat: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, least: np.ndarray,
+                 items: np.ndarray, low: np.ndarray, high: np.ndarray, sequence: np.ndarray) -> np.ndarray:
+        """Which pairs of an item and a stretch of ``sequence`` have ``least`` of its words in order."""
+        kept, pairs, keys, held = np.zeros(len(items), bool), [], [], 0
+
+        def compare() -> None:
+            if pairs:
+                starts = np.cumsum([0, *map(len, keys)])
+                bits = flat[1][np.searchsorted(flat[0], np.concatenate(keys))]
+                kept[pairs] = common_each(starts, bits, sizes[items[pairs]]) >= least[items[pairs]]
+                pairs.clear()
+                keys.clear()
+
+        for k, (item, a, b) in enumerate(zip(items.tolist(), low.tolist(), high.tolist())):
+            some = sequence[a:b]
+            some = some[marks[item, some]]
+            if len(some) >= least[item]:
+                if sizes[item] <= 64:
+                    pairs.append(k)
+                    keys.append(some + item * size)
+                    held += len(some)
+                else:
+                    kept[k] = common(side[item], some.tolist()) >= least[item]
+            if held > TOGETHER:
+                compare()
+                held = 0
+        compare()
+        return kept
 
     # Whatever a window can find lies within one of the overlapping parts of a text.
     reach = -(-(max(WINDOWS) + 2 * longest) // STEP) * STEP
 
+    def holding(rows: list[tuple[np.ndarray, np.ndarray]], wanted: list[dict[int, np.ndarray]]) -> list[dict[int, np.ndarray]]:
+        """Of these, items that the part as a whole has in order; none of its windows has more."""
+        found = [(t, p, items) for t, own in enumerate(wanted) for p, items in own.items()]
+        if not found:
+            return wanted
+        n = np.array([len(items) for _, _, items in found])
+        text, part = (np.repeat([x[j] for x in found], n) for j in (0, 1))
+        item = np.concatenate([items for _, _, items in found])
+        for side, flat, sizes, least, content, beyond in (
+                (masks, flat_terms, term_sizes, enough, True, 0),
+                (whole, flat_words, word_sizes, full, False, max(WINDOWS) + longest)):
+            if not len(item):
+                break
+            low, high, sequence, base = np.empty_like(item), np.empty_like(item), [], 0
+            firsts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+            for a, b in zip(firsts, [*firsts[1:], len(text)]):
+                at, term = rows[text[a]]
+                if content:
+                    own = term < d
+                    at, term = at[own], term[own]
+                begin = part[a:b] * reach
+                low[a:b] = np.searchsorted(at, begin) + base
+                high[a:b] = np.searchsorted(at, begin + 2 * reach + beyond) + base
+                sequence.append(term)
+                base += len(term)
+            kept = in_order(side, flat, sizes, least, item, low, high, np.concatenate(sequence).astype(np.int64))
+            text, part, item = text[kept], part[kept], item[kept]
+        out: list[dict[int, np.ndarray]] = [{} for _ in rows]
+        firsts = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (part[1:] != part[:-1])]) if len(item) else []
+        for a, b in zip(firsts, [*firsts[1:], len(item)]):
+            out[text[a]][int(part[a])] = item[a:b]
+        return out
+
     def parts(all_at: np.ndarray, all_term: np.ndarray, wanted: dict[int, np.ndarray]) -> Iterator[tuple]:
         content = all_term < d
         at, term = all_at[content], all_term[content]
         for part, items in wanted.items():
             begin = part * reach
             low, high = np.searchsorted(at, (begin, begin + 2 * reach))
-            items = holding(items, term[low:high], all_at, all_term, begin)
-            if len(items):
+            if high > low:
                 for item, start, stop, cosine in near(at[low:high] - begin, term[low:high], items):
                     start, stop = start + begin, stop + begin
                     low_, high_ = np.searchsorted(all_at, (start, stop))
-                    region = all_term[low_:high_].tolist()
+                    region = all_term[low_:high_]
+                    answer_region, region = region.tolist(), region[marks[item, region]].tolist()
                     shared = common(whole[item], region) / max(1, whole[item][None])
                     if shared >= REWORDED:
-                        answered = common(answers[item], region) / max(1, answers[item][None])
+                        answered = common(answers[item], answer_region) / max(1, answers[item][None])
                         if shared >= COPIED or answered >= ANSWERED:
                             yield ids[item], start, stop, cosine, shared, answered
 
@@ -355,16 +442,21 @@ def _candidates(found: DataFrame, block: Block, weights: np.ndarray, vectors: np
                 start = max(0, int(chosen[run[0]]) * STEP - longest)
                 stop = (int(chosen[run[-1]]) + span) * STEP + longest
                 low, high = np.searchsorted(at, (start, stop))
-                if common(masks[item], term[low:high].tolist()) >= enough[item]:
+                own_terms = term[low:high]
+                own_terms = own_terms[marks[item, own_terms]]
+                if len(own_terms) >= enough[item] and common(masks[item], own_terms.tolist()) >= enough[item]:
                     yield int(item), start, stop, float(scores[run, column].max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             rows = list(zip(_lists(batch.column("at")), _lists(batch.column("term"))))
-            for doc_id, n, (at, term), items in zip(
-                    batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(), rows, wanted(rows)):
-                if items:
+            ids_, sizes_ = batch.column("doc_id").to_pylist(), batch.column("words").to_pylist()
+            turn = np.cumsum([len(at) for at, _ in rows]) // TOGETHER
+            firsts = np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]]).tolist() if rows else []
+            for a, b in zip(firsts, [*firsts[1:], len(rows)]):
+                chosen = holding(rows[a:b], wanted(rows[a:b]))
+                for doc_id, n, (at, term), items in zip(ids_[a:b], sizes_[a:b], rows[a:b], chosen):
                     out += [(doc_id, item, start, min(stop, n), *rest) for item, start, stop, *rest in parts(at, term, items)]
             columns = list(zip(*out)) or [[]] * 7
             kinds = [pa.int64()] * 4 + [pa.float64()] * 3

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,29 @@ class TestNearCopies:
         if small == 1024:  # some 1100 pairs are at 0.65 to 0.75 and need no confirmation
             assert sum(tried) < 5 * len(data)
 
+    def test_a_tile_gives_fewer_links_than_sets(self):
+        draw = random.Random(15)
+        base = sentence(draw, 100)
+        data = [(i, " ".join(edited(draw, base, 1 + draw.randrange(3)))) for i in range(40)]
+        data += [(40 + i, " ".join(sentence(draw, 60))) for i in range(5)]
+        sets = [shingles.shingle_set(t.encode()) for _, t in data]
+        factors = shingles.multipliers(near_dedup.TOKENS)
+        rows = [{"key": shingles.set_key(x), "root": shingles.set_key(x), "major": b"none", "n": len(x), "place": 0,
+                 "branching": 0, "tokens": shingles.minwise(x, factors).tolist(), "sketch": shingles.sketch(x).tolist(),
+                 "members": x.tobytes(), "node": 1, "low": (shingles.minwise(x, factors) & 0x7F).tolist()} for x in sets]
+        tile = pa.Table.from_pylist([r | {"few": few} for few in (False, True) for r in rows])
+        links = near_dedup._links(tile).to_pylist()
+        ids = {r["key"]: i for i, r in enumerate(rows)}
+        want = brute_components(data)
+        assert all(r["sure"] for r in links) and len(links) == len(want) - len(set(want.values()))
+        root = {i: i for i in want}
+        for r in links:
+            x, y = root[ids[r["a"]]], root[ids[r["b"]]]
+            root = {i: min(x, y) if c in (x, y) else c for i, c in root.items()}
+        assert root == want
+        near = {ids[k.as_py()] for k in near_dedup._partners(tile).column("key")}
+        assert {i for i in want if list(want.values()).count(want[i]) > 1} <= near and near.isdisjoint(range(40, 45))
+
     def test_estimate_admits_pairs_at_the_threshold(self, spark):
         a = [f"w23x{i}" for i in range(3504)]
         b = [f"e23x{i // 35}" if i % 35 == 2 and i < 3500 else w for i, w in enumerate(a)]

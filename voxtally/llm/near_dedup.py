@@ -9,12 +9,14 @@ every level; three keep it on ever more paths.
 A small node is compared exhaustively. Candidates are confirmed on full sets.
 
 Only components are asked for, so a node needs no further work once its sets are in one
-component. Each node first links its sets to one pivot; while that leaves many apart, sets
-outside the largest component try further pivots, round by round, until a round gains little.
-Only then is what is left compared across components. That keeps thousands of copies of one
-text linear, also where few of them are close to any one. Where many stay apart, sets of up to
-``SMALL`` shingles are compared in full inside the join, so that pairs just below the
-threshold, which the sketch cannot tell from links, never become rows.
+component. Each node first links its sets to one pivot; while that leaves more apart than a node
+may compare, sets outside the largest component try further pivots, round by round, until a
+round gains little. Only then is what is left compared across components. That keeps thousands
+of copies of one text linear, also where few of them are close to any one. Where many are
+apart, bounded tiles of a node are compared in Arrow batches: tokens alone first, which most
+sets of a node formed by chance do not pass, then whole sets of up to ``SMALL`` shingles. Links
+merge components as they are found, so a tile gives fewer links than it has sets, and pairs
+just below the threshold, which the sketch cannot tell from links, never become rows.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ DEPTH = 16
 BRANCHES = 3
 AGREE = 13  # of 32 tokens; a pair at 0.75 has fewer in one of 100,000 cases
 LIKELY = 61  # percent of 252 hash ranges; 5 standard deviations below a pair at 0.75
-APART = 16  # sets outside a node's largest component from which further pivots are tried
+APART = 16  # sets outside a node's largest component from which it is compared in tiles
+TILE = 4096  # sets of a node that up to ``NODE`` others are compared with in one task
 PIVOTS = 4  # a node and round, half of them of its largest component
 GAIN = 0.75  # a node goes on while a round leaves at most this share of them apart
 SMALL = 1024  # shingles, 8 KB a set
@@ -88,11 +91,91 @@ def _set_batch(keys: list[bytes], members: list[bytes]) -> pa.RecordBatch:
         [pa.array(keys, pa.binary()), pa.array(members, pa.binary())], names=["key", "members"])
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("members")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "small"])
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    column = column.combine_chunks()
+    return column.flatten().to_numpy().astype(kind).reshape(len(column), -1)
+
+
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of ``x`` and each of ``y`` whether at least ``AGREE`` tokens are equal."""
+    count = np.zeros((len(x), len(y)), np.uint8)
+    for i in range(TOKENS):
+        count += x[:, i, None] == y[None, :, i]
+    return count >= AGREE
+
+
+def _partners(tile: pa.Table) -> pa.Table:
+    """The sets of a tile that may have a link into another component, by sizes and low bits of
+    tokens, which agree at least as often as whole ones."""
+    few = tile.column("few").to_numpy()
+    low, n = _matrix(tile.column("low"), np.uint8), tile.column("n").to_numpy()
+    root = tile.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+    all_, few = np.flatnonzero(~few), np.flatnonzero(few)
+    found = np.zeros(len(n), bool)
+    step = max(1, (1 << 22) // max(1, len(all_)))
+    for part in range(0, len(few), step):
+        own = few[part : part + step]
+        x, y = n[own, None], n[None, all_]
+        meet = _agreeing(low[own], low[all_]) & (root[own, None] != root[None, all_])
+        meet &= 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
+        found[own] |= meet.any(axis=1)
+        found[all_] |= meet.any(axis=0)
+    return tile.select(["node", "key"]).filter(pa.array(found))
+
+
+def _links(tile: pa.Table) -> pa.Table:
+    """Links of a tile between components, as many as merge them (``sure``), and pairs that the
+    sketch admits where a whole set is missing."""
+    keys, roots = tile.column("key").to_pylist(), tile.column("root").to_pylist()
+    major = np.array([r == m for r, m in zip(roots, tile.column("major").to_pylist())])
+    _, code = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)
+    _, rank = np.unique(np.array([k.hex() for k in keys]), return_inverse=True)
+    component = np.arange(code.max() + 1)
+    n, place, branching = (tile.column(c).to_numpy() for c in ("n", "place", "branching"))
+    tokens = _matrix(tile.column("tokens"), np.int32)
+    cells = _matrix(tile.column("sketch"), np.int64).view(np.uint8)
+    sets = [None if x is None else np.frombuffer(x, np.uint64) for x in tile.column("members").to_pylist()]
+    few = tile.column("few").to_numpy()
+    all_ = np.flatnonzero(~few)
+    out = []
+    for b in np.flatnonzero(few).tolist():
+        may = (component[code[all_]] != component[code[b]]) & (major[all_] | (rank[all_] < rank[b]))
+        may &= 100 * np.minimum(n[all_], n[b]) >= PERCENT * np.maximum(n[all_], n[b])
+        near = all_[may]
+        near = near[_agreeing(tokens[near], tokens[b][None])[:, 0]]
+        # A pair meets in every node it shares; at the roots only the first that is compared counts.
+        for i, (_, position) in enumerate(_root_positions()[: place[b]]):
+            if not branching[b] >> i & 1:
+                near = near[tokens[near, position] != tokens[b, position]]
+        if not len(near):
+            continue
+        union = np.count_nonzero(cells[near] | cells[b], axis=1)
+        like = 100.0 * (union - np.count_nonzero(cells[near] ^ cells[b], axis=1)) / union
+        for k in np.argsort(-like, kind="stable").tolist():
+            a = int(near[k])
+            if component[code[a]] == component[code[b]]:
+                continue
+            sure = sets[a] is not None and sets[b] is not None
+            if shingles.similar(sets[a], sets[b], PERCENT) if sure else like[k] >= LIKELY:
+                out.append((*sorted((keys[a], keys[b])), float(like[k]), sure))
+                if sure:
+                    component[component == component[code[a]]] = component[code[b]]
+    columns = list(zip(*out)) or [[]] * 4
+    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.float64(), pa.bool_()))],
+                    names=["a", "b", "like", "sure"])
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """Members of nodes dealt to tiles (node, m, f): of those outside the largest component
+    (``few``) some, to be compared with some of all."""
+    chunks = members.withColumns({
+        "ms": F.ceil(F.col("minor") / NODE), "fs": F.ceil(F.col("total") / TILE)})
+    own_m, own_f = F.pmod(F.xxhash64("key"), F.col("ms")), F.pmod(F.xxhash64(F.lit(1), "key"), F.col("fs"))
+    all_ = chunks.withColumns({
+        "m": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ms") - 1)), "f": own_f, "few": F.lit(False)})
+    few = chunks.where(F.col("root") != F.col("major")).withColumns({
+        "m": own_m, "f": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fs") - 1)), "few": F.lit(True)})
+    return all_.unionByName(few).drop("ms", "fs", "minor", "total")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +230,8 @@ class _Join:
             signed.where("n > 0").groupBy("key").agg(
                 F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"),
                 F.first("sketch").alias("sketch")))
+        self.low = cut_lineage(self.classes.select(
+            "key", "n", F.transform("tokens", lambda t: t.bitwiseAND(0x7F).cast("byte")).alias("low")))
         # The sketches are kept once, by class.
         self.signed = cut_lineage(signed.select("doc_id", "key", "n"))
         spark = documents.sparkSession
@@ -156,7 +241,14 @@ class _Join:
         self.sets = empty(spark, "key binary, members binary")
 
     def estimate(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sizes and sketches allow the similarity, with ``like``."""
+        """Pairs (a, b) whose sizes and sketches allow the similarity, with ``like``.
+
+        Sizes and low bits of tokens decide first, so that few sketches travel.
+        """
+        low = {x: self.low.select(*[F.col(c).alias(f"{x}_{c}" if c != "key" else x) for c in ("key", "n", "low")])
+               for x in ("a", "b")}
+        pairs = pairs.select("a", "b").join(low["a"], "a").join(low["b"], "b").where(
+            _may(F.col("a_n"), F.col("b_n")) & (_agreement(F.col("a_low"), F.col("b_low")) >= AGREE)).select("a", "b")
         left, right = self.side("a"), self.side("b")
         like = _likeness(F.col("a_sketch"), F.col("b_sketch"))
         return (
@@ -218,17 +310,17 @@ class _Join:
         nodes = sizes.groupBy("node").agg(
             F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("total"), F.count("*").alias("roots")
         ).where("roots > 1").select(
-            "node", F.col("top.root").alias("major"), (F.col("total") - F.col("top.c")).alias("minor"))
+            "node", F.col("top.root").alias("major"), (F.col("total") - F.col("top.c")).alias("minor"), "total")
         return known.join(nodes, "node")
 
     def settle(self, members: DataFrame) -> DataFrame:
-        """``labelled`` members after further pivots, tried where many sets are still apart.
+        """``labelled`` members after further pivots, tried where more than ``NODE`` sets are apart.
 
         A round costs ``PIVOTS`` rows a set that is apart. It changes which pairs are tried
         first and no result: what stays apart is compared or branches as before.
         """
         mixed, folders = _staged(self.labelled(members))
-        busy = mixed.where(F.col("minor") > APART)
+        busy = mixed.where(F.col("minor") > NODE)
         turn = 0
         while not busy.isEmpty():
             turn += 1
@@ -246,7 +338,7 @@ class _Join:
             before = busy.groupBy("node").agg(F.first("minor").alias("before"))
             busy = cut_lineage(
                 self.labelled(busy.select("node", "key", "place", "used")).join(before, "node")
-                .where((F.col("minor") <= GAIN * F.col("before")) & (F.col("minor") > APART)).drop("before"))
+                .where((F.col("minor") <= GAIN * F.col("before")) & (F.col("minor") > NODE)).drop("before"))
         if not turn:
             return mixed
         settled = cut_lineage(self.labelled(mixed.select("node", "key", "place", "used")))
@@ -260,49 +352,52 @@ class _Join:
             out = out.join(self.labels.select(F.col("key").alias(side), F.col("root").alias(f"r{side}")), side, "left")
         return out.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
 
-    def small(self, members: DataFrame) -> DataFrame:
-        """``key``, ``small``: the whole set, where that is not above ``SMALL``, of the members of
-        nodes in which many are apart."""
+    def branching(self, large: DataFrame) -> DataFrame:
+        """``key``, ``branching``: the places at which a set's root node branches, as bits."""
+        return large.groupBy("key").agg(F.bit_or(_bit(F.col("place"))).alias("branching"))
+
+    def meet(self, busy: DataFrame, large: DataFrame) -> DataFrame:
+        """Compares the members of nodes with many apart in tiles and takes in their links. Returns
+        pairs (a, b, like) that await confirmation, of sets above ``SMALL`` shingles."""
+        tiled = _tiles(busy.join(self.low, "key"))
+        near, folders = _staged(
+            tiled.groupBy("node", "m", "f").applyInArrow(_partners, "node bigint, key binary").distinct())
         keys = cut_lineage(
-            members.where(F.col("minor") > APART).select("key").distinct()
-            .join(self.classes.where(F.col("n") <= SMALL).select("key"), "key"))
-        if keys.isEmpty():
-            return empty(members.sparkSession, "key binary, small array<bigint>")
+            near.select("key").distinct().join(self.classes.where(F.col("n") <= SMALL).select("key"), "key"))
         self.fetch(keys)
-        return cut_lineage(
-            self.sets.join(keys, "key", "left_semi").mapInArrow(_small, "key binary, small array<bigint>"))
+        whole = self.sets.join(keys, "key", "left_semi")
+        rows = (
+            busy.join(near, ["node", "key"]).join(self.classes.drop("rep"), "key").join(whole, "key", "left")
+            .join(self.branching(large), "key", "left").withColumn("branching", F.coalesce("branching", F.lit(0)))
+        )
+        found = cut_lineage(_tiles(rows).groupBy("node", "m", "f").applyInArrow(
+            _links, "a binary, b binary, like double, sure boolean"))
+        drop_folders(self.documents.sparkSession, folders)
+        held = found.where("sure").select("a", "b").distinct()
+        if not held.isEmpty():
+            self.label(held)
+        return found.where("NOT sure").select("a", "b", "like")
 
     def across(self, mixed: DataFrame, large: DataFrame) -> DataFrame:
         """Candidate pairs of different components within nodes: each set outside the node's
         largest component with every set of another component. ``large``: nodes that branch."""
-        small = self.small(mixed)
-        whole = {x: small.select(F.col("key").alias(x), F.col("small").alias(f"{x}_small")) for x in ("a", "b")}
-        full = mixed.withColumnRenamed("key", "a").join(self.side("a"), "a").join(whole["a"], "a", "left")
+        full = mixed.withColumnRenamed("key", "a").join(self.side("a"), "a")
         few = mixed.where(F.col("root") != F.col("major")).select(
-            "node", F.col("key").alias("b"), F.col("root").alias("rb")).join(self.side("b"), "b").join(
-            whole["b"], "b", "left")
+            "node", F.col("key").alias("b"), F.col("root").alias("rb")).join(self.side("b"), "b")
         # A pair meets in every node it shares; at the roots only the first of them that is
         # compared counts. One that branches is not, and a set has the same one at its place.
-        branching = large.groupBy(F.col("key").alias("b")).agg(
-            F.bit_or(_bit(F.col("place"))).alias("branching"))
-        few = few.join(branching, "b", "left")
+        few = few.join(self.branching(large).withColumnRenamed("key", "b"), "b", "left")
         again = F.exists(
             F.sequence(F.lit(0), F.lit(len(_root_positions()) - 1)),
             lambda i: (i < F.col("place")) & (_root_token("a_tokens", i) == _root_token("b_tokens", i))
             & (F.getbit(F.coalesce("branching", F.lit(0)), i) == 0))
-        # Two whole sets decide at once; the sketch stands in where one is missing.
-        linked = F.when(
-            F.col("a_small").isNotNull() & F.col("b_small").isNotNull(),
-            (100 + PERCENT) * F.size(F.array_intersect("a_small", "b_small")) >= PERCENT * (F.col("a_n") + F.col("b_n"))
-        ).otherwise(_likeness(F.col("a_sketch"), F.col("b_sketch")) >= LIKELY)
         one_way = (F.col("root") == F.col("major")) | (F.col("a") < F.col("b"))
         met = full.join(few, "node").where(
             (F.col("root") != F.col("rb")) & one_way & _may(F.col("a_n"), F.col("b_n")) & ~again
             & (_agreement(F.col("a_tokens"), F.col("b_tokens")) >= AGREE)
-            & linked)
+            & (_likeness(F.col("a_sketch"), F.col("b_sketch")) >= LIKELY))
         return met.select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-            F.least("root", "rb").alias("ra"), F.greatest("root", "rb").alias("rb"),
             _likeness(F.col("a_sketch"), F.col("b_sketch")).alias("like")).distinct()
 
     def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
@@ -326,8 +421,12 @@ class _Join:
         mixed = self.settle(members)
         ready = mixed if last else mixed.where(F.col("minor") <= NODE)
         large = mixed.where(F.lit(not last) & (F.col("minor") > NODE))
-        pairs = self.across(ready, large)
-        pairs = cut_lineage(pairs.join(self.tested, ["a", "b"], "left_anti"))
+        busy = cut_lineage(ready.where(F.col("minor") > APART).select(
+            "node", "key", "place", "root", "major", "minor", "total"))
+        pairs = self.across(ready.where(F.col("minor") <= APART), large)
+        if not busy.isEmpty():
+            pairs = pairs.union(self.meet(busy, large)).groupBy("a", "b").agg(F.max("like").alias("like"))
+        pairs = cut_lineage(self.apart(pairs.join(self.tested, ["a", "b"], "left_anti")))
         if not pairs.isEmpty():
             # The likeliest pair of each component first, then that of any two components;
             # the rest only where those failed.

@@ -173,6 +173,52 @@ class TestNearCopies:
         near = {ids[k.as_py()] for k in near_dedup._partners(tile).column("key")}
         assert {i for i in want if list(want.values()).count(want[i]) > 1} <= near and near.isdisjoint(range(40, 45))
 
+    def test_forest_joins_what_candidate_pairs_join(self):
+        draw = random.Random(16)
+        factors = shingles.multipliers(near_dedup.TOKENS)
+        rows = []
+        for node, many in ((3, 1), (5, 2), (8, 40), (9, 2), (12, 25)):
+            base = sentence(draw, 100)
+            texts = [edited(draw, base, draw.randrange(4)) if i % 3 else sentence(draw, 90) for i in range(1, many + 1)]
+            sets = {shingles.set_key(x): x for x in (shingles.shingle_set(" ".join(t).encode()) for t in texts)}
+            rows += [{"node": node, "key": k, "n": len(x), "low": (shingles.minwise(x, factors) & 0x7F).tolist(),
+                      "sketch": shingles.sketch(x).tolist()} for k, x in sorted(sets.items())]
+        table_ = pa.Table.from_pylist(rows)
+        sketches = np.array([r["sketch"] for r in rows]).view(np.uint8)
+        root = list(range(len(rows)))
+        for i, x in enumerate(rows):
+            for j, y in enumerate(rows[:i]):
+                union = np.count_nonzero(sketches[i] | sketches[j])
+                like = 100 * (union - np.count_nonzero(sketches[i] ^ sketches[j])) / union
+                agree = sum(s == t for s, t in zip(x["low"], y["low"]))
+                if x["node"] == y["node"] and agree >= near_dedup.AGREE and like >= near_dedup.LIKELY and (
+                        100 * min(x["n"], y["n"]) >= 75 * max(x["n"], y["n"])):
+                    root = [root[j] if r == root[i] else r for r in root]
+        at = {(r["node"], r["key"]): i for i, r in enumerate(rows)}
+        for rows_a_batch in (1, 7, 100):  # nodes go on from batch to batch
+            out = pa.Table.from_batches(near_dedup._forest(iter(table_.to_batches(max_chunksize=rows_a_batch)))).to_pylist()
+            got = list(range(len(rows)))
+            for r in out:
+                i, j = at[r["node"], r["a"]], at[r["node"], r["b"]]
+                assert got[i] != got[j] and r["a"] < r["b"]
+                got = [got[j] if x == got[i] else x for x in got]
+            groups = lambda root: {frozenset(i for i, x in enumerate(root) if x == r) for r in root}
+            assert groups(got) == groups(root) and len(groups(root)) < len(rows)
+
+    def test_nodes_of_links_need_no_pairs_but_their_forest(self, spark, monkeypatch):
+        tried = []
+        confirm = near_dedup._Join.confirm
+        monkeypatch.setattr(near_dedup._Join, "confirm", lambda join, pairs: (
+            tried.append(pairs.count()), confirm(join, pairs))[1])
+        monkeypatch.setattr(near_dedup._Join, "estimate", None)  # no pivots
+        draw = random.Random(17)
+        base = sentence(draw, 200)
+        data = [(i, " ".join(edited(draw, base, 2))) for i in range(60)]
+        data += [(60 + i, " ".join(base[:30] + sentence(draw, 100))) for i in range(30)]
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_copies(documents(spark, data)).collect()}
+        assert got == brute_components(data)
+        assert sum(tried) < 3 * len(data)
+
     def test_estimate_admits_pairs_at_the_threshold(self, spark):
         a = [f"w23x{i}" for i in range(3504)]
         b = [f"e23x{i // 35}" if i % 35 == 2 and i < 3500 else w for i, w in enumerate(a)]

@@ -6,12 +6,15 @@ Several independent trees branch the sets: at each node ``BRANCHES`` token posit
 used on its path are chosen, and sets with the same token there go on together. One position
 over the similarity sought would only just keep a pair at the threshold and lose more with
 every level; three keep it on ever more paths.
-A small node is compared exhaustively. Candidates are confirmed on full sets.
+Candidates are confirmed on full sets.
 
 Only components are asked for, so a node needs no further work once its sets are in one
-component. Each node first links its sets to one pivot; while that leaves more apart than a node
-may compare, sets outside the largest component try further pivots, round by round, until a
-round gains little. Only then is what is left compared across components. That keeps thousands
+component. A node of up to ``WHOLE`` times ``NODE`` sets gives the likeliest tree of its
+candidate pairs, found in one task: where each edge holds, or its ends are linked elsewhere, no
+candidate pair of the node is left. Only nodes with an edge that failed are compared
+exhaustively. A larger node first links its sets to one pivot; while that leaves more apart than
+a node may compare, sets outside the largest component try further pivots, round by round, until
+a round gains little. Only then is what is left compared across components, or branches. That keeps thousands
 of copies of one text linear, also where few of them are close to any one. Where many are
 apart, bounded tiles of a node are compared in Arrow batches: tokens alone first, which most
 sets of a node formed by chance do not pass, then whole sets of up to ``SMALL`` shingles. Links
@@ -38,6 +41,7 @@ PERCENT = 75
 TOKENS = 32
 TREES = 8
 NODE = 1024  # sets outside a node's largest component that are compared exhaustively
+WHOLE = 8  # times ``NODE``: sets of a node that one task compares by their sketches
 DEPTH = 16
 BRANCHES = 3
 AGREE = 13  # of 32 tokens; a pair at 0.75 has fewer in one of 100,000 cases
@@ -165,6 +169,97 @@ def _links(tile: pa.Table) -> pa.Table:
                     names=["a", "b", "like", "sure"])
 
 
+def _equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bytes of each row of ``x`` and of ``y`` are equal; a row is whole words, fewer than 2048 bytes."""
+    return _ones(x == y)
+
+
+def _ones(held: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(held).view(np.uint64)
+    lanes = words.sum(axis=1, dtype=np.uint64)
+    lanes = (lanes & _LANES) + ((lanes >> np.uint64(8)) & _LANES)
+    return ((lanes * _LANE_ONES) >> np.uint64(48)).astype(np.int64)
+
+
+_LANES, _LANE_ONES = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
+
+
+def _alike(low: np.ndarray, cells: np.ndarray, n: np.ndarray, own: tuple) -> np.ndarray:
+    """Estimated similarity in percent of each set with its own one, 0 for what is no candidate."""
+    out = np.zeros(len(n))
+    may = 100 * np.minimum(n, own[2]) >= PERCENT * np.maximum(n, own[2])
+    at = np.flatnonzero(may & (_equal_bytes(low, own[0]) >= AGREE))
+    if len(at):
+        x, y = cells[at], own[1][at] if own[1].ndim == 2 else own[1]
+        union = _ones((x | y) != 0)
+        out[at] = 100.0 * (union - _ones(x != y)) / union
+        out[out < LIKELY] = 0
+    return out
+
+
+def _tree(low: np.ndarray, cells: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """The likeliest forest of the candidate pairs of one node: (i, j, like), one edge at most a set.
+
+    Of any two sets joined by a chain of candidate pairs, it holds a chain. The sets not yet in
+    it stand first in the arrays, which are used up.
+    """
+    left = len(n)
+    place, best, other = np.arange(left), np.zeros(left), np.zeros(left, np.int64)
+    pick = 0
+    while True:
+        taken, own = int(place[pick]), (low[pick].copy(), cells[pick].copy(), n[pick])
+        if best[pick]:
+            yield int(other[pick]), taken, float(best[pick])
+        left -= 1
+        for x in (low, cells, n, place, best, other):
+            x[pick] = x[left]
+        if not left:
+            return
+        like = _alike(low[:left], cells[:left], n[:left], own)
+        closer = np.flatnonzero(like > best[:left])
+        best[closer], other[closer] = like[closer], taken
+        pick = int(best[:left].argmax())
+
+
+def _trees(rows: pa.Table) -> pa.RecordBatch:
+    """The forests of whole nodes, whose rows lie together."""
+    node, n = rows.column("node").to_numpy(), rows.column("n").to_numpy().copy()
+    low = _matrix(rows.column("low"), np.uint8)
+    cells = _matrix(rows.column("sketch"), np.int64).view(np.uint8)
+    start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    size = np.diff(np.r_[start, len(node)])
+    a = start[size == 2]
+    like = _alike(low[a], cells[a], n[a], (low[a + 1], cells[a + 1], n[a + 1]))
+    edges = [np.column_stack((a, a + 1, like))[like > 0]]
+    for at, many in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        part = slice(at, at + many)
+        if found := list(_tree(low[part], cells[part], n[part])):
+            edges.append(np.array(found) + (at, at, 0))
+    found = np.concatenate(edges)
+    i, j = found[:, :2].astype(np.int64).T
+    keys = rows.column("key").combine_chunks()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(node[i]), keys.take(pa.array(np.minimum(i, j))), keys.take(pa.array(np.maximum(i, j))), pa.array(found[:, 2])],
+        names=["node", "a", "b", "like"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forests of nodes that follow one another; the last of a batch waits for the rest of its rows."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        node = batch.column("node").to_numpy()
+        if not len(node):
+            continue
+        last = int(np.searchsorted(node, node[-1]))
+        if last or waiting and waiting[-1].column("node")[-1].as_py() != node[0]:
+            if len(whole := pa.Table.from_batches([*waiting, batch.slice(0, last)])):
+                yield _trees(whole)
+            waiting = []
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield _trees(pa.Table.from_batches(waiting))
+
+
 def _tiles(members: DataFrame) -> DataFrame:
     """Members of nodes dealt to tiles (node, m, f): of those outside the largest component
     (``few``) some, to be compared with some of all."""
@@ -230,8 +325,7 @@ class _Join:
             signed.where("n > 0").groupBy("key").agg(
                 F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"),
                 F.first("sketch").alias("sketch")))
-        self.low = cut_lineage(self.classes.select(
-            "key", "n", F.transform("tokens", lambda t: t.bitwiseAND(0x7F).cast("byte")).alias("low")))
+        self.low = cut_lineage(self.classes.select("key", "n", _low("tokens")))
         # The sketches are kept once, by class.
         self.signed = cut_lineage(signed.select("doc_id", "key", "n"))
         spark = documents.sparkSession
@@ -291,8 +385,9 @@ class _Join:
         """Tests staged pairs on full sets and takes in what holds."""
         if pairs.isEmpty():
             return
-        self.fetch(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-        sets = self.sets
+        keys = cut_lineage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+        self.fetch(keys)
+        sets = self.sets.join(keys, "key", "left_semi")  # the others do not travel
         full = (
             pairs.select("a", "b")
             .join(sets.select(F.col("key").alias("a"), F.col("members").alias("x")), "a")
@@ -345,9 +440,9 @@ class _Join:
         drop_folders(members.sparkSession, folders)
         return settled
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
+    def apart(self, pairs: DataFrame, *more: str) -> DataFrame:
         """``pairs`` with the present components of both ends, those within one left out."""
-        out = pairs.select("a", "b", "like")
+        out = pairs.select("a", "b", "like", *more)
         for side in ("a", "b"):
             out = out.join(self.labels.select(F.col("key").alias(side), F.col("root").alias(f"r{side}")), side, "left")
         return out.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
@@ -400,27 +495,42 @@ class _Join:
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
             _likeness(F.col("a_sketch"), F.col("b_sketch")).alias("like")).distinct()
 
-    def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
-        """Works off one level of ``nodes`` (node, key, place, used); returns what has to branch."""
-        shared = nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-        members, folders = _staged(nodes.join(shared, "node").select("node", "key", "place", "used", "c"))
+    def span(self, members: DataFrame) -> DataFrame:
+        """Takes in what holds of the likeliest forest of each node. Returns the members of the
+        nodes of which an edge failed and its ends are still apart; in all others every
+        candidate pair lies in one component.
+        """
+        rows = members.select("node", "key").join(
+            self.classes.select("key", "n", _low("tokens"), "sketch"), "key")
+        edges, folders = _staged(rows.select("node", "key", "n", "low", "sketch").repartition("node")
+                                 .sortWithinPartitions("node", "key")
+                                 .mapInArrow(_forest, "node bigint, a binary, b binary, like double"))
+        pairs = edges.select("a", "b", "like").distinct().join(self.tested, ["a", "b"], "left_anti")
+        # The likeliest edge of each set first; the others where their ends are still apart.
+        best = pairs.select("a", "b", "like", F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(
+            F.max_by(F.struct("a", "b"), F.struct("like", "a", "b")).alias("p"))
+        best = cut_lineage(best.select("p.a", "p.b").distinct())
+        self.confirm(best)
+        self.confirm(cut_lineage(self.apart(pairs.join(best, ["a", "b"], "left_anti")).select("a", "b")))
+        failed = self.apart(edges, "node").select("node").distinct()
+        out = cut_lineage(members.join(failed, "node", "left_semi").select("node", "key", "place", "used"))
+        drop_folders(members.sparkSession, folders)
+        return out
+
+    def star(self, members: DataFrame) -> None:
+        """One link to a pivot settles most of a large node: each set tries the pivot most like it."""
         # The pivot is the set that shares its tokens with most others: of many edited copies
         # that is the text they were made from, or one close to it.
         central = members.groupBy("key").agg(F.sum("c").alias("score"))
         pivots = members.join(central, "key").groupBy("node").agg(
             F.max(F.struct("score", "key")).alias("top")).select("node", F.col("top.key").alias("pivot"))
-        members = cut_lineage(members.join(pivots, "node").select("node", "key", "place", "used", "pivot"))
-        drop_folders(members.sparkSession, folders)
-        # One link to a pivot settles most nodes: each set tries the pivot most like it.
-        star = self.estimate(
-            members.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
-        best = star.groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a"))
+        tried = members.join(pivots, "node").where("key <> pivot").select(
+            F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+        best = self.estimate(tried).groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a"))
         self.confirm(cut_lineage(best.select("a", "b").join(self.tested, ["a", "b"], "left_anti")))
 
-        members = members.select("node", "key", "place", "used")
-        mixed = self.settle(members)
-        ready = mixed if last else mixed.where(F.col("minor") <= NODE)
-        large = mixed.where(F.lit(not last) & (F.col("minor") > NODE))
+    def compare(self, ready: DataFrame, large: DataFrame) -> None:
+        """Compares labelled nodes across their components. ``large``: nodes that may branch."""
         busy = cut_lineage(ready.where(F.col("minor") > APART).select(
             "node", "key", "place", "root", "major", "minor", "total"))
         pairs = self.across(ready.where(F.col("minor") <= APART), large)
@@ -437,10 +547,32 @@ class _Join:
                 self.confirm(first)
                 pairs = cut_lineage(self.apart(pairs.join(first, ["a", "b"], "left_anti")))
             self.confirm(pairs)
-        if last:
-            return None
-        large = cut_lineage(large.select("node", "key", "used"))
-        return None if large.isEmpty() else large
+
+    def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
+        """Works off one level of ``nodes`` (node, key, place, used); returns what has to branch."""
+        shared = nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
+        members, folders = _staged(nodes.join(shared, "node").select("node", "key", "place", "used", "c"))
+        huge = members.where(F.col("c") > WHOLE * NODE)
+        open_ = self.span(members.where(F.col("c") <= WHOLE * NODE))
+        large = None
+        if huge.isEmpty():
+            ready = None if open_.isEmpty() else cut_lineage(self.labelled(open_))
+        else:
+            self.star(huge)
+            mixed = self.settle(huge.select("node", "key", "place", "used"))
+            ready = cut_lineage(self.labelled(open_)).unionByName(
+                mixed if last else mixed.where(F.col("minor") <= NODE))
+            if not last:
+                large = cut_lineage(mixed.where(F.col("minor") > NODE).select("node", "key", "used"))
+        # A huge node branches or not; that its sets also meet elsewhere is left to each node.
+        if ready is not None:
+            self.compare(ready, huge)
+        drop_folders(members.sparkSession, folders)
+        return None if large is None or large.isEmpty() else large
+
+
+def _low(tokens: str) -> Column:
+    return F.transform(tokens, lambda t: t.bitwiseAND(0x7F).cast("byte")).alias("low")
 
 
 def _staged(df: DataFrame) -> tuple[DataFrame, list[str]]:
